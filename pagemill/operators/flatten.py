@@ -106,7 +106,7 @@ def path_tables(nodes: DataFrame, keys: list[str]) -> DataFrame:
     Each ``schema_path`` is one flat table; a row is found from its parent by
     ``keys`` and ``parent`` = the parent's ``dewey``.
     """
-    return nodes.select(*keys, "schema_path", "dewey", parent_label(F.col("dewey")).alias("parent"), F.element_at("dewey", -1).alias("ordinal"), "kind", "value")
+    return nodes.select(*keys, "schema_path", "dewey", parent_label(F.col("dewey")).alias("parent"), F.try_element_at("dewey", F.lit(-1)).alias("ordinal"), "kind", "value")
 
 
 #: Geometry entries: a path below one of the three members, through arrays and page wrappers only.
