@@ -66,10 +66,10 @@ def block_token(word: Column, block: int, blocks: int = BLOCKS) -> Column:
 def near_words(words: DataFrame) -> DataFrame:
     """Pairs of different fingerprints that differ in at most MAX_BITS bits: a < b.
 
-    ``words`` has one column ``simhash`` of distinct values. Keys with many
-    fingerprints are split by each of the tokens not in the key, of which at least
-    one more must be shared once they are cut into MAX_BITS + 1 parts; so the large
-    group is not compared pair by pair, and nothing is lost.
+    ``words`` has one column ``simhash`` of distinct values. A key with many
+    fingerprints is split further: of MAX_BITS + 1 other blocks of bits at least one
+    is equal in each pair, so the key is joined together with each of them. The large
+    group is thus not compared pair by pair, and nothing is lost.
     """
     pairs = list(combinations(range(BLOCKS), 2))
     tokens = words.select("simhash", *[block_token(F.col("simhash"), b).alias(f"t{b}") for b in range(BLOCKS)])
