@@ -81,7 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_limits, p1_by_source, p2_found, p2_paragraphs, p5_found, p5_classes, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_texts)
 }
 
-_RE = {n: getattr(truncation, n).replace("'", "''") for n in ("OMISSION", "TERMINAL", "COMPLETE", "SENTENCE", "CREDIT", "FRESH", "SEEMING")}
+_RE = {n: getattr(truncation, n).replace("'", "''") for n in ("OMISSION", "TERMINAL", "COMPLETE", "SENTENCE", "CREDIT", "FRESH", "SEEMING", "ABBREVIATION")}
 
 _P1 = rf"""
 WITH rows AS (SELECT DISTINCT ON (doc_id, source_index) * FROM paper_content_list WHERE doc_id IS NOT NULL AND source_index IS NOT NULL),
@@ -103,7 +103,7 @@ lim AS (SELECT source, field, measure, n AS store_limit FROM (SELECT *, max(n) O
 judged AS (SELECT t.*, coalesce(length(t.text) >= c.store_limit, false) OR coalesce(strlen(t.text) >= b.store_limit - 3, false) AS at_limit
   FROM texts t LEFT JOIN lim c ON c.measure = 'chars' AND c.source IS NOT DISTINCT FROM t.source AND c.field = t.field
   LEFT JOIN lim b ON b.measure = 'utf8' AND b.source IS NOT DISTINCT FROM t.source AND b.field = t.field),
-ends AS (SELECT *, ((regexp_matches(text, '\S') AND (marked OR (NOT regexp_matches(text, '{_RE["TERMINAL"]}')
+ends AS (SELECT *, ((regexp_matches(text, '\S') AND (marked OR regexp_matches(text, '{_RE["ABBREVIATION"]}') OR (NOT regexp_matches(text, '{_RE["TERMINAL"]}')
       AND NOT (regexp_matches(text, '{_RE["COMPLETE"]}') AND (NOT regexp_matches(text, '{_RE["SENTENCE"]}') OR regexp_matches(text, '{_RE["CREDIT"]}'))))))
     OR (at_limit AND regexp_matches(text, '{_RE["SEEMING"]}')))
     AND NOT (coalesce(regexp_matches(following, '\S') AND NOT regexp_matches(following, '{_RE["FRESH"]}'), false) AND NOT marked) AS cut FROM judged)

@@ -46,13 +46,16 @@ CONFUSIONS = (
     ("vv", "w"), ("w", "vv"), ("ri", "n"), ("n", "ri"), ("$", "s"), ("@", "a"), ("€", "e"),
 )
 
+#: Where a line at a page's edge shows the page's number: alone, before or behind the running line; one of them at most matches.
+PAGE_OF_LINE = (r"^\W*(?:[Pp]age\s+|S)?(\d{1,6})\W*$", r"^\s*(\d{1,6})\s+(?:·\s+)?\p{L}", r"\p{L}.*\s[·|]\s*(\d{1,6})\s*$")
+
 LABELS = ("running", "number", "body", "break")
 RUNNING, NUMBER, BODY, BREAK = range(4)
 #: Weights of a label after another one (rows: before), of the first label of a page.
 AFTER = ((0.5, 1.0, 0.5, 0.5), (1.0, 0.0, 0.5, 0.5), (0.0, 0.0, 1.0, 0.5), (0.0, 0.0, 1.0, 0.5))
 FIRST = (1.0, 0.5, 0.0, 0.5)
 
-_NUMBER = re.compile(r"\s*(?:[-–—]\s*(?P<a>\w{1,6})\s*[-–—]|\[\s*(?P<b>\w{1,6})\s*\]|[Pp]age\s+(?P<c>\w{1,6})|(?P<d>\w{1,6})\s*\||\|\s*(?P<e>\w{1,6})|(?P<f>\w{1,7}))\s*\.?\s*")
+_NUMBER = re.compile(r"\s*(?:[-–—]\s*(?P<a>\w{1,10})\s*[-–—]|\[\s*(?P<b>\w{1,10})\s*\]|[Pp]age\s+(?P<c>\w{1,10})|(?P<d>\w{1,10})\s*\||\|\s*(?P<e>\w{1,10})|(?P<f>\w{1,10}))\s*\.?\s*")
 _ARABIC = re.compile(r"[\dlIiOoSsZzB|]{1,6}")
 _ROMAN = re.compile(r"(?i)m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _DIGITS = str.maketrans("lIiOoSsZzB|", "11100552281")
@@ -243,8 +246,12 @@ class Page:
                 self.keys.setdefault(len(k), []).append(k)
         self.long = [k for ks in self.keys.values() for k in ks if len(k) >= 15 and k.count(" ") >= 2]
 
-    def scores(self, line: str, zone: str, alone: bool, kind: str, level: bool, page: int | None) -> tuple[float, float, float, float]:
-        """Weights of the four labels for one line of an element."""
+    def scores(self, line: str, zone: str, alone: bool, kind: str, level: bool, page: int | None, inner: bool = False) -> tuple[float, float, float, float]:
+        """Weights of the four labels for one line of an element.
+
+        ``inner``: the line is short, and a full line of the element precedes and a
+        line follows it, so it is not the end of a paragraph.
+        """
         number = page_number(line)
         run = num = body = other = 0.0
         edge = zone in ("top", "bottom")
@@ -263,7 +270,7 @@ class Page:
                 num += 10.0
             elif not alone:
                 # a line inside a body element: its value must fit the page, or be set off where nothing is known
-                num += 8.0 if expected else 4.0 if set_off and (self.offset is None or page is None) else -4.0
+                num += 8.0 if expected else 7.0 if (set_off or inner) and (self.offset is None or page is None) else -4.0
             elif kind == "page_number" and zone == "none":
                 num += 6.0
             body += 1.5
@@ -323,9 +330,11 @@ def read_block(doc: str, blk: int, rows: list[tuple], page: Page, words: Words)
                 continue
             own = [x for x in text.split("\n") if x.strip()]
             zone = bbox_zone(box)
-            for x in own:
+            full = max(map(len, own)) * 0.6
+            for i, x in enumerate(own):
                 lines.append((k, x))
-                scores.append(page.scores(x, zone, len(own) == 1, kind or "", level is not None, page_idx))
+                inner = 0 < i < len(own) - 1 and len(x) < full <= len(own[i - 1])
+                scores.append(page.scores(x, zone, len(own) == 1, kind or "", level is not None, page_idx, inner))
         labels = viterbi(scores)
         by: dict[int, list[tuple[str, int]]] = {}
         for (k, x), label in zip(lines, labels):
@@ -416,8 +425,8 @@ def vocabulary(elements: DataFrame) -> tuple[dict[str, int], float]:
 def running_lines(elements: DataFrame) -> DataFrame:
     """The usual running lines and the page number's offset of each package: doc_id, lines, offset."""
     edge = elements.filter(_zone(F.col("bbox")).isNotNull() & F.col("text").isNotNull() & (F.length("text") < 200))
-    keyed = edge.select("doc_id", "page_idx", F.lower(F.regexp_replace("text", r"\d+", "9")).alias("line"), F.regexp_extract("text", r"^\W*(?:[Pp]age\s+)?(\d{1,6})\W*$", 1).alias("number"))
-    lines = keyed.filter("number = ''").groupBy("doc_id", "line").agg(F.count("*").alias("n"))
+    keyed = edge.select("doc_id", "page_idx", F.lower(F.regexp_replace("text", r"\d+", "9")).alias("line"), F.concat(*[F.regexp_extract("text", x, 1) for x in PAGE_OF_LINE]).alias("number"))
+    lines = keyed.filter(r"line rlike '\\p{L}{3}'").groupBy("doc_id", "line").agg(F.count("*").alias("n"))
     # a window over distinct lines, of which there are few beside the elements
     top = Window.partitionBy("doc_id").orderBy(F.desc("n"), "line")
     best = lines.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= RUNNING_LINES).groupBy("doc_id").agg(F.collect_list("line").alias("lines"))

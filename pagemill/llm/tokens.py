@@ -40,27 +40,25 @@ def read_ranks(name: str, folder: str | None = None) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-_ENCODERS: dict[tuple[str, str | None], object] = {}
+def _encoder(pattern: str, name: str, folder: str | None):
+    """One encoder for each process, kept with the library, as functions come to a worker anew for each task."""
+    import tiktoken
 
+    kept = tiktoken.__dict__.setdefault("_pagemill_encoders", {})
+    key = (pattern, name, folder)
+    if key not in kept:
+        kept[key] = tiktoken.Encoding("pagemill", pat_str=pattern, mergeable_ranks=read_ranks(name, folder), special_tokens={})
+    return kept[key]
 
-def piece_encoder(name: str, folder: str | None = None):
-    """Encoder that takes a whole text as one piece; made once in each process."""
-    if (name, folder) not in _ENCODERS:
-        import tiktoken
 
-        _ENCODERS[name, folder] = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(name, folder), special_tokens={})
-    return _ENCODERS[name, folder]
+def piece_encoder(name: str, folder: str | None = None):
+    """Encoder that takes a whole text as one piece."""
+    return _encoder(r"[\s\S]+", name, folder)
 
 
 def text_encoder(name: str, folder: str | None = None):
     """Encoder of whole texts with the library's own pattern."""
-    key = (f"text:{name}", folder)
-    if key not in _ENCODERS:
-        import tiktoken
-
-        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        _ENCODERS[key] = tiktoken.Encoding("texts", pat_str=pattern, mergeable_ranks=read_ranks(name, folder), special_tokens={})
-    return _ENCODERS[key]
+    return _encoder(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", name, folder)
 
 
 def pretokens(text: Column) -> Column:

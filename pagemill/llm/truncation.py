@@ -5,8 +5,8 @@ HTML-escaped, JSON-escaped and with CR LF line ends. A length at which the items
 source pile up, and beyond which there are none, is a storage limit. Then the endings
 are inspected: an item is cut if it ends in a mark of omission, or open (without a
 terminal mark, and in no style that is complete without one), and no later item of
-the same array goes on with it. At a limit, an ending that only looks terminal (a
-decimal point, an abbreviation) is open too.
+the same array goes on with it. An abbreviation before a number is no ending, and at a
+limit neither is a number's decimal point.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ LABEL = r"(?:(?:Fig(?:ure)?|Table|Tab|Abb|Abbildung|Tabelle)\.?|图|表)\s*\d+\s
 PANEL = r"\(?[A-Za-z][.)]?|\([ivx]+\)"
 OMISSION = r"(?:\.\.\.|…|\[\s*(?:\.\.\.|…)\s*\])\s*$"
 TERMINAL = r"[.!?。！？][\"'”’»)\]]*\s*$"
-#: Endings that look terminal but are not: a number's decimal point, an abbreviation before a number.
-SEEMING = r"(?:\s\d+\.|\b(?:Fig|Figs|Abb|Tab|Eq|No|Vol|Ref|vs|ca|cf)\.)\s*$"
+#: Endings that look terminal but are not: an abbreviation before a number and, at a limit, a number's decimal point.
+ABBREVIATION = r"\b(?:Fig|Figs|Abb|Tab|Eq|No|Vol|Ref|vs|ca|cf)\.\s*$"
+SEEMING = r"\s\d+\.\s*$"
 #: What a caption of a sentence begins with; a title has no determiner.
 OPENER = r"(?:The|A|An|This|That|These|Our|We|Every|Each|No|It|In|At|On|Both|Der|Die|Das|Ein|Eine|Wir)\s"
 #: Styles of captions that are complete without a full stop.
@@ -113,7 +114,7 @@ def storage_limits(items: DataFrame) -> DataFrame:
 def open_ending(text: Column) -> Column:
     """Whether a text ends in the middle of a word or sentence; null for null, false for blank texts."""
     whole = text.rlike(COMPLETE) & (~text.rlike(SENTENCE) | text.rlike(CREDIT))
-    return text.rlike(r"\S") & (text.rlike(OMISSION) | (~text.rlike(TERMINAL) & ~whole))
+    return text.rlike(r"\S") & (text.rlike(OMISSION) | text.rlike(ABBREVIATION) | (~text.rlike(TERMINAL) & ~whole))
 
 
 def judge(items: DataFrame, limits: DataFrame) -> DataFrame:
