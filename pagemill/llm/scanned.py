@@ -63,7 +63,8 @@ _EQUATION = re.compile(r"\s*\(\s*\d+[a-z]?\s*\)\s*")
 _LIST = re.compile(r"\s*\d+[.)]\s+\S")
 _CLOSED = re.compile(r"[.!?。！？:：;；][\"'”’»)\]]*\s*$")
 _SEEMING = re.compile(r"\b(?:Fig|Figs|Abb|Tab|Eq|No|Vol|Ref|vs|ca|cf)\.\s*$")
-_BREAK = re.compile(r"(\S*[^\W\d_])([-‐¬­])(\s+|(?<=[¬­])\s*)(?=[^\W\d_])(\S+)")
+_MAY_BREAK = re.compile(r"[^\W\d_](?:[-‐]\s|[¬­])")
+_BREAK = re.compile(r"(?<!\S)(\S*[^\W\d_])([-‐¬­])(\s+|(?<=[¬­])\s*)(?=[^\W\d_])(\S+)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _INSIDE_NUMBER = re.compile(r"(?<=\S)\s+[-–—] (\w{1,6}) [-–—]\s+(?=\S)")
 
@@ -211,7 +212,8 @@ def mend(text: str, words: Words, from_word: bool, to_word: bool) -> tuple[str,
         return m[1] + m[4]
 
     for _ in range(2):  # a word can be divided twice
-        text = _BREAK.sub(join, text)
+        if _MAY_BREAK.search(text):
+            text = _BREAK.sub(join, text)
     tokens = text.split()
     misread = False
     for i, t in enumerate(tokens):
