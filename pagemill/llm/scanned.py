@@ -414,10 +414,13 @@ def vocabulary(elements: DataFrame) -> tuple[dict[str, int], float]:
 
     Their number is bounded by 1/VOCABULARY_SHARE, so they fit in one table.
     """
-    joined = F.regexp_replace("text", r"(?<=\p{L})[-‐¬\x{AD}]\s+(?=\p{L})", "")
+    divided = F.col("text").rlike(r"[-‐¬\x{AD}]\s")
+    joined = F.when(divided, F.regexp_replace("text", r"(?<=\p{L})[-‐¬\x{AD}]\s+(?=\p{L})", "")).otherwise(F.col("text"))
     tokens = elements.filter("text is not null").select(F.explode(F.split(joined, r"[\s\x{A0}]+")).alias("w"))
-    words = tokens.select(F.lower(F.btrim("w", F.lit(STRIP))).alias("w")).filter(r"length(w) between 1 and 64 and w rlike '\\p{L}'")
-    counts = words.groupBy("w").agg(F.count("*").alias("n"))
+    # count the tokens as they stand, then trim and fold each distinct one
+    raw = tokens.groupBy("w").agg(F.count("*").alias("n"))
+    words = raw.select(F.lower(F.btrim("w", F.lit(STRIP))).alias("w"), "n").filter(r"length(w) between 1 and 64 and w rlike '\\p{L}'")
+    counts = words.groupBy("w").agg(F.sum("n").alias("n"))
     counts = checkpoint(counts.filter("n > 1"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     floor = max(2.0, VOCABULARY_SHARE * total)
