@@ -117,9 +117,22 @@ def same_line(key: str, keys: dict[int, list[str]]) -> bool:
 
 
 def viterbi(scores: list[tuple[float, float, float, float]]) -> list[int]:
-    """The sequence of labels with the highest sum of weights."""
+    """The sequence of labels with the highest sum of weights.
+
+    Two labels of a line differ by 1 at most in the weight towards either neighbour,
+    so where each line's best label leads by more than 2, these are the sequence.
+    """
     if not scores:
         return []
+    top = []
+    for s in scores:
+        a, b, c, d = s
+        m = max(s)
+        if (a > m - 2.001) + (b > m - 2.001) + (c > m - 2.001) + (d > m - 2.001) > 1:
+            break
+        top.append(s.index(m))
+    else:
+        return top
     best = [f + s for f, s in zip(FIRST, scores[0])]
     back: list[list[int]] = []
     for s in scores[1:]:
@@ -142,6 +155,8 @@ class Words:
     def __init__(self, counts: dict[str, int], floor: float):
         self.counts, self.floor = counts, floor
         self.seen: dict[str, str | None] = {}
+        #: Tokens as they stand in texts in which there is nothing to mend.
+        self.clean: set[str] = set()
 
     def count(self, word: str) -> int:
         return self.counts.get(word, 0)
@@ -212,12 +227,17 @@ def mend(text: str, words: Words, from_word: bool, to_word: bool) -> tuple[str,
         return m[1] + m[4]
 
     for _ in range(2):  # a word can be divided twice
-        if _MAY_BREAK.search(text):
+        if (("-" in text or "‐" in text or "¬" in text or "\xad" in text) and _MAY_BREAK.search(text)):
             text = _BREAK.sub(join, text)
     tokens = text.split()
     misread = False
+    clean = words.clean
+    if clean.issuperset(tokens):
+        return " ".join(tokens), hyphen, misread
+    if len(clean) > 500_000:
+        clean.clear()
     for i, t in enumerate(tokens):
-        if (i == 0 and from_word) or (i == len(tokens) - 1 and to_word):
+        if t in clean or (i == 0 and from_word) or (i == len(tokens) - 1 and to_word):
             continue
         w = _strip(t)
         low = w.lower()
@@ -234,6 +254,8 @@ def mend(text: str, words: Words, from_word: bool, to_word: bool) -> tuple[str,
             if w[:1].isupper():
                 true = true[:1].upper() + true[1:]
             tokens[i] = t.replace(w, true.upper() if w.isupper() and len(w) > 1 else true)
+        else:
+            clean.add(t)
     return " ".join(tokens), hyphen, misread
 
 
@@ -246,6 +268,8 @@ class Page:
         for k in dict.fromkeys(map(running_key, lines)):
             if len(k) >= 6:
                 self.keys.setdefault(len(k), []).append(k)
+        #: Lengths that a line can have that is one of the running lines, with its number.
+        self.shortest, self.longest = min(self.keys, default=0) * 0.9 - 1, max(self.keys, default=-1) * 1.1 + 24
         self.long = [k for ks in self.keys.values() for k in ks if len(k) >= 15 and k.count(" ") >= 2]
 
     def scores(self, line: str, zone: str, alone: bool, kind: str, level: bool, page: int | None, inner: bool = False) -> tuple[float, float, float, float]:
@@ -254,7 +278,7 @@ class Page:
         ``inner``: the line is short, and a full line of the element precedes and a
         line follows it, so it is not the end of a paragraph.
         """
-        number = page_number(line)
+        number = page_number(line) if len(line) < 24 else None
         run = num = body = other = 0.0
         edge = zone in ("top", "bottom")
         if edge and alone:
@@ -279,7 +303,7 @@ class Page:
             run -= 4.0
         else:
             num -= 20.0
-            if same_line(running_key(line), self.keys):
+            if self.shortest <= len(line) <= self.longest and same_line(running_key(line), self.keys):
                 run += 6.0 if not level else -6.0
             elif not edge:
                 run -= 4.0
@@ -369,7 +393,7 @@ def read_block(doc: str, blk: int, rows: list[tuple], page: Page, words: Words)
                         i = low.index(s)
                         flat = flat[:i] + flat[i + len(s) :]
                         break
-            m = _INSIDE_NUMBER.search(flat)
+            m = _INSIDE_NUMBER.search(flat) if " - " in flat or " – " in flat or " — " in flat else None
             if m and page_idx is not None and page.offset is not None and (got := page_number(f"- {m[1]} -")) and got[0] == page_idx + page.offset:
                 defects.append("inline")
                 flat = flat[: m.start()] + " " + flat[m.end() :]
@@ -396,7 +420,8 @@ def read_block(doc: str, blk: int, rows: list[tuple], page: Page, words: Words)
                 pending, para = False, index
             yield doc, blk, index, page_idx, "body", sorted(set(defects)), clean, pending, para, None
             if not (listed and open_):
-                open_ = not _CLOSED.search(tail) or bool(_SEEMING.search(tail))
+                last = tail[-16:]
+                open_ = not _CLOSED.search(last) or bool(_SEEMING.search(last))
                 from_word = to_word
             pending = pending and open_ is not False
         at = end
@@ -430,12 +455,14 @@ def vocabulary(elements: DataFrame) -> tuple[dict[str, int], float]:
 def running_lines(elements: DataFrame) -> DataFrame:
     """The usual running lines and the page number's offset of each package: doc_id, lines, offset."""
     edge = elements.filter(_zone(F.col("bbox")).isNotNull() & F.col("text").isNotNull() & (F.length("text") < 200))
-    keyed = edge.select("doc_id", "page_idx", F.lower(F.regexp_replace("text", r"\d+", "9")).alias("line"), F.concat(*[F.regexp_extract("text", x, 1) for x in PAGE_OF_LINE]).alias("number"))
-    lines = keyed.filter(r"line rlike '\\p{L}{3}'").groupBy("doc_id", "line").agg(F.count("*").alias("n"))
-    # a window over distinct lines, of which there are few beside the elements
+    number = F.concat(*[F.regexp_extract("text", x, 1) for x in PAGE_OF_LINE])
+    keyed = edge.select("doc_id", F.lower(F.regexp_replace("text", r"\d+", "9")).alias("line"), (F.nullif(number, F.lit("")).cast("int") - F.col("page_idx")).alias("offset"))
+    # distinct lines and offsets, of which there are few beside the elements; both results start from this shuffle
+    seen = keyed.groupBy("doc_id", "line", "offset").agg(F.count("*").alias("n"))
+    lines = seen.filter(r"line rlike '\\p{L}{3}'").groupBy("doc_id", "line").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("doc_id").orderBy(F.desc("n"), "line")
     best = lines.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= RUNNING_LINES).groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
-    offsets = keyed.filter("number <> '' and page_idx is not null").groupBy("doc_id", (F.col("number").cast("int") - F.col("page_idx")).alias("offset")).agg(F.count("*").alias("n"))
+    offsets = seen.filter("offset is not null").groupBy("doc_id", "offset").agg(F.sum("n").alias("n"))
     offset = offsets.groupBy("doc_id").agg(F.max_by("offset", F.struct("n", "offset")).alias("offset"))
     return best.join(offset, "doc_id", "full")
 
@@ -454,7 +481,7 @@ def label_elements(elements: DataFrame) -> DataFrame:
     counts, floor = vocabulary(with_text)
     table = spark.sparkContext.broadcast((counts, floor))
     blk = F.floor(F.col("source_index") / BLOCK).cast("int")
-    known = running_lines(with_text).join(with_text.groupBy("doc_id").agg(F.max(blk).alias("last")), "doc_id")
+    known = running_lines(with_text).join(base.groupBy("doc_id").agg(F.max(blk).alias("last")), "doc_id")
     known = known.select(
         "doc_id", F.explode(F.sequence(F.lit(0), "last")).alias("blk"), F.lit(-1).alias("source_index"), F.col("offset").alias("page_idx"),
         F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("level"),
