@@ -13,8 +13,10 @@ import base64
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,28 +93,37 @@ def encode(documents: DataFrame, name: str = "byte_bpe_50k", key: str = "doc_id"
     coded = checkpoint(encode_words(words.groupBy("word").agg(F.count("*").alias("n")), name, folder))
     total = coded.agg(F.sum("n")).first()[0] or 0
     floor = max(1.0, FREQUENT * total)
-    frequent = {r.word: r.ids for r in coded.filter(F.col("n") >= floor).select("word", "ids").toLocalIterator()}
+    frequent = [(r.word, r.ids) for r in coded.filter(F.col("n") >= floor).select("word", "ids").toLocalIterator()]
     table = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
+        known = pa.array([w for w, _ in table.value], pa.string())
+        size = np.array([len(i) for _, i in table.value] + [1], np.int64)
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        # behind the known words' ids stands the mark of a word that is not at hand
+        flat = np.array([x for _, i in table.value for x in i] + [-1], np.int32)
         for b in batches:
-            ids: list[list[int]] = []
-            rest: list[list[str]] = []
-            for cut in b.column(1).to_pylist():
-                row: list[int] = []
-                open_: list[str] = []
-                for w in cut or ():
-                    got = known.get(w)
-                    if got is None:
-                        # the place of the n-th word that is not at hand is -n
-                        open_.append(w)
-                        row.append(-len(open_))
-                    else:
-                        row.extend(got)
-                ids.append(row)
-                rest.append(open_)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))], names=["key", "ids", "rest"])
+            cut = b.column(1)
+            at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            words = cut.flatten()
+            row = pc.fill_null(pc.index_in(words, value_set=known), len(known)).to_numpy(zero_copy_only=False).astype(np.int64)
+            n = size[row]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids = flat[np.repeat(start[row] - ends[:-1], n) + np.arange(ends[-1])]
+            missing = row == len(known)
+            upto = np.concatenate([[0], np.cumsum(missing)])
+            # the place of a text's n-th word that is not at hand is -n
+            doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            ids[ends[:-1][missing]] = -(upto[1:][missing] - upto[at[:-1]][doc[missing]])
+            rest = words.filter(pa.array(missing))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0),
+                    pa.ListArray.from_arrays(pa.array(ends[at], pa.int32()), pa.array(ids, pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(upto[at], pa.int32()), rest),
+                ],
+                names=["key", "ids", "rest"],
+            )
 
     kind = documents.schema[key].dataType.simpleString()
     placed = checkpoint(docs.select("key", pretokens(F.col("t")).alias("cut")).mapInArrow(place, f"key {kind}, ids array<int>, rest array<string>"))
