@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.operators import drift, flatten
+from pagemill.plans import contracts, documents, elements, events, identity  # noqa: F401
+from pagemill.plans.registry import QUERIES, SQL, query  # noqa: F401
 from pagemill.runtime import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its name, with the SQL that gives the same rows."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 @query()
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
