@@ -225,3 +225,11 @@ def figure_label(c: Column, fallback: Column) -> Column:
     """The label at the start of a caption (``Fig. 3``), else the fallback."""
     got = F.regexp_extract(c, r"(?i)^\s*((?:fig(?:ure)?|table|chart)\.?\s*[A-Za-z]?\d+[A-Za-z]?|[图表]\s*\d+)", 1)
     return F.when(F.length(got) > 0, got).otherwise(fallback)
+
+
+def fold_python(text: str) -> str:
+    """As ``normalize_title``, for a single text."""
+    import re
+
+    folded = unicodedata.normalize("NFKC", text).lower()
+    return " ".join(re.sub(r"[\W_]+", " ", folded).split())
