@@ -11,6 +11,10 @@ from pagemill.functions import patterns as P
 from pagemill.functions import text as X
 from pagemill.functions.paths import asset_path
 
+COLUMNS = (
+    "doc_id", "source_index", "page_idx", "source", "type", "text", "text_level", "bbox", "img_path", "image_caption", "image_footnote", "table_caption",
+    "table_footnote", "table_body", "sub_type", "received_at",
+)
 CAPTIONS = ("image_caption", "table_caption")
 FOOTNOTES = ("image_footnote", "table_footnote")
 
@@ -30,8 +34,8 @@ def role(kind: Column, level: Column) -> Column:
 
 
 def delivered_once(elements: DataFrame) -> DataFrame:
-    """Each element once; rows without a key are left out."""
-    return elements.filter("doc_id is not null and source_index is not null").dropDuplicates(["doc_id", "source_index"])
+    """Each element once, with the columns of the elements table; rows without a key are left out."""
+    return elements.select(*[c for c in COLUMNS if c in elements.columns]).filter("doc_id is not null and source_index is not null").dropDuplicates(["doc_id", "source_index"])
 
 
 def block_id(page: Column, index: Column) -> Column:
