@@ -3,8 +3,8 @@
 Similarity is twice the shared tokens over all tokens. Titles are compared by their
 normal form, so documents with one title are one class; pairs are formed between
 classes. Candidates come from a prefix filter: with the tokens of each title in order
-of their frequency, rarest first, two titles within the threshold share a token among
-the first of each, so frequent words never bring titles together.
+of their frequency, rarest first, two titles within the threshold share two tokens
+among the first of each, so frequent words hardly bring titles together.
 """
 
 from __future__ import annotations
@@ -35,17 +35,21 @@ def title_classes(documents: DataFrame, least_tokens: int = 4) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
-    """Rows (title, token) of the rarest tokens: as many as the threshold needs.
+    """Rows (title, key): the pairs of each title's rarest tokens, as many as the threshold needs.
 
-    At least share * n tokens are shared by a title within the threshold, so one of
-    the first n - ceil(share * n) + 1 is.
+    A title of n tokens shares at least ceil(share * n) tokens with one within the
+    threshold, and that is two or more from four tokens on; so two of the first
+    n - ceil(share * n) + 2 tokens are shared. Keys are hashes; what collides falls
+    to the exact comparison.
     """
     share = threshold / (2 - threshold)
     tokens = classes.select("title", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
     ranked = tokens.join(counts, "token").groupBy("title").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("t"))
     n = F.size("t")
-    return ranked.select("title", F.explode(F.slice("t", 1, n - F.ceil(n * share - 1e-9).cast("int") + 1)).alias("token"))
+    first = ranked.select("title", F.slice("t", 1, F.least(n, n - F.ceil(n * share - 1e-9).cast("int") + 2)).alias("t"))
+    pairs = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
+    return first.select("title", F.explode(pairs).alias("token"))
 
 
 def title_pairs(documents: DataFrame, threshold: float = RELEVANT) -> DataFrame:
