@@ -33,8 +33,9 @@ HOT_KEY = 512
 
 def hex_number(text: Column, bits: int) -> Column:
     """A hexadecimal text by its number: lower case, without blanks, prefix and leading zeros; null if it is none."""
-    plain = F.regexp_extract(F.lower(F.trim(text)), r"^(?:0x)?0*([0-9a-f]{0,%d})$" % (bits // 4), 1)
-    return F.when(F.lower(F.trim(text)).rlike(r"^(?:0x)?[0-9a-f]+$") & (F.length(plain) <= bits // 4), plain)
+    low = F.lower(F.trim(text))
+    fits = low.rlike(r"^(?:0x)?[0-9a-f]+$") & low.rlike(r"^(?:0x)?0*[0-9a-f]{0,%d}$" % (bits // 4))
+    return F.when(fits, F.regexp_replace(low, r"^(?:0x)?0*", ""))
 
 
 def fingerprints(blocks: DataFrame) -> DataFrame:
