@@ -233,3 +233,73 @@ def fold_python(text: str) -> str:
 
     folded = unicodedata.normalize("NFKC", text).lower()
     return " ".join(re.sub(r"[\W_]+", " ", folded).split())
+
+
+def explicit_label(c: Column) -> Column:
+    """The label that a caption, alt text or file name states (``Extended Data Fig. 3``), else null."""
+    plain = F.regexp_replace(decode_entities(c), r"[_-]+", " ")
+    number = r"\s*([A-Za-z]?\d+[A-Za-z]?)\b"
+    out = F.lit(None).cast("string")
+    kinds = (
+        (r"(?i)[图表]" + number, None), (r"(?i)\bTable" + number, "Table "), (r"(?i)\bFig(?:ure)?\.?" + number, "Fig. "),
+        (r"(?i)\bSupp(?:lementary)?\s+Fig(?:ure)?\.?" + number, "Supplementary Fig. "), (r"(?i)\bExtended\s+Data\s+Fig(?:ure)?\.?" + number, "Extended Data Fig. "),
+    )
+    for pattern, prefix in kinds:
+        head = F.lit(prefix) if prefix else F.when(plain.contains("表"), "表 ").otherwise("图 ")
+        out = F.when(plain.rlike(pattern), F.concat(head, F.regexp_extract(plain, pattern, 1))).otherwise(out)
+    return out
+
+
+def readable_caption(c: Column) -> Column:
+    """A caption without entities, links, images, tags, escapes and emphasis."""
+    steps = (
+        (r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"(?i)<br\s*/?>", " "), (r"<[^>]+>", ""), (r"\\([\\`*{}\[\]()#+\-.!_>])", "$1"),
+        (r"(?:\*\*|__|~~|`)(.+?)(?:\*\*|__|~~|`)", "$1"), (r"\s+", " "),
+    )
+    out = decode_entities(c)
+    for pattern, by in steps:
+        out = F.regexp_replace(out, pattern, by)
+    return trim(out)
+
+
+def caption_segments(c: Column) -> Column:
+    """Parts of a caption: array of kind (text, sup, sub or math) and text.
+
+    Superscripts and subscripts are tags, math stands between dollar signs on one
+    line, at most 512 characters; a dollar sign behind a backslash is text.
+    """
+
+    @F.pandas_udf("array<struct<kind:string,text:string>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import re
+
+        mark = re.compile(r"<(sup|sub)>([^<>]*)</\1>|(?<!\\)\$((?:[^$\n\\]|\\.){1,512})(?<!\\)\$", re.I)
+
+        def cut(s: str) -> list[dict[str, str]]:
+            out, at = [], 0
+            for m in mark.finditer(s):
+                if m.start() > at:
+                    out.append({"kind": "text", "text": s[at : m.start()]})
+                out.append({"kind": m[1].lower(), "text": m[2]} if m[1] else {"kind": "math", "text": m[3]})
+                at = m.end()
+            return out + ([{"kind": "text", "text": s[at:]}] if at < len(s) else [])
+
+        for s in batches:
+            yield s.map(cut, na_action="ignore")
+
+    return run(c)
+
+
+def is_caption_line(c: Column) -> Column:
+    """Whether a line can be a caption: not blank and no heading, fence, quote, list item, footnote, rule or image."""
+    t = trim(c)
+    return F.coalesce((F.length(t) > 0) & ~t.rlike(r"^(?:#{1,6}\s|```|~~~|>|[-+*]\s|\d+[.)]\s|\[\^[^\]]+\]:|---+$|___+$|!\[[^\]]*\]\([^)]*\)$|(?i)<img\b[^>]*>$)"), F.lit(False))
+
+
+def local_resources(c: Column) -> Column:
+    """Resources that a Markdown text names: array of target and whether it is local."""
+    inline = F.regexp_extract_all(c, F.lit(r"!\[[^\]]*\]\(\s*<?([^\s)>]+)"), F.lit(1))
+    html = F.regexp_extract_all(c, F.lit(r"(?i)<(?:img|source|video|audio)\b[^>]*\bsrc=[\"']([^\"']+)[\"']"), F.lit(1))
+    wiki = F.regexp_extract_all(c, F.lit(r"!\[\[([^\]|#]+)"), F.lit(1))
+    local = lambda x: ~x.rlike(P.SCHEME) & ~x.rlike(r"^[/\\]|(?:^|/)\.\.(?:/|$)")
+    return F.transform(F.concat(inline, html, wiki), lambda x: F.struct(x.alias("target"), local(x).alias("local")))

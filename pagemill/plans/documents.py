@@ -21,7 +21,7 @@ _COMPAT = [
     for c in r
     if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n != chr(c) and unicodedata.category(n)[0] in "LN"
 ]
-_NFKC = f"translate(nfc_normalize(%s), {quoted(''.join(a for a, _ in _COMPAT))}, {quoted(''.join(b for _, b in _COMPAT))})"
+_NFKC = f"nfc_normalize(translate(nfc_normalize(%s), {quoted(''.join(a for a, _ in _COMPAT))}, {quoted(''.join(b for _, b in _COMPAT))}))"
 _FIRST = r"regexp_extract(text, '^[\r\n]*([^\r\n]*)', 1)"
 _NORMAL = f"trim(regexp_replace(lower({_NFKC % _FIRST}), {quoted(P.NOT_WORD)}, ' ', 'g'))"
 _TITLES = f"""t AS (SELECT doc_id, title, list_sort(list_distinct(list_filter(string_split(title, ' '), lambda x: x <> ''))) AS tokens
@@ -85,7 +85,7 @@ def text_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     r"""WITH l AS (SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS text FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL))
-    SELECT doc_id, line_no, coalesce(sum(length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, text FROM l"""
+    SELECT doc_id, line_no, coalesce(sum(length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, text FROM l"""
 )
 def line_table(spark: SparkSession, d: str) -> DataFrame:
     """STR-26: lines with their place in UTF-16 units."""
@@ -150,16 +150,16 @@ def bounded_section(spark: SparkSession, d: str) -> DataFrame:
     return markdown.bounded_section(table(spark, d, "documents"), 1, 6, 500)
 
 
-@query("SELECT doc_id, source, n_chars FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 25")
+@query("SELECT doc_id, source, coalesce(n_chars, -1) AS n_chars FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 25")
 def keyset_page(spark: SparkSession, d: str) -> DataFrame:
     """TOPK-05: the page of a listing that follows a cursor."""
-    return table(spark, d, "documents").filter("doc_id > 100").select("doc_id", "source", "n_chars").orderBy("doc_id").limit(25)
+    return table(spark, d, "documents").filter("doc_id > 100").select("doc_id", "source", F.coalesce("n_chars", F.lit(-1)).alias("n_chars")).orderBy("doc_id").limit(25)
 
 
-@query("SELECT doc_id, received_at, n_chars FROM documents ORDER BY received_at DESC, doc_id LIMIT 500")
+@query("SELECT doc_id, received_at, coalesce(n_chars, -1) AS n_chars FROM documents ORDER BY received_at DESC, doc_id LIMIT 500")
 def latest_documents(spark: SparkSession, d: str) -> DataFrame:
     """TOPK-06: the 500 latest documents."""
-    return table(spark, d, "documents").select("doc_id", "received_at", "n_chars").orderBy(F.desc_nulls_last("received_at"), "doc_id").limit(500)
+    return table(spark, d, "documents").select("doc_id", "received_at", F.coalesce("n_chars", F.lit(-1)).alias("n_chars")).orderBy(F.desc_nulls_last("received_at"), "doc_id").limit(500)
 
 
 @query("SELECT doc_id, title FROM (SELECT doc_id, regexp_extract(text, '^[\\r\\n]*([^\\r\\n]*)', 1) AS title FROM documents) ORDER BY doc_id LIMIT 100 OFFSET 100")

@@ -266,14 +266,14 @@ def page_anchors(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {ONCE}, t AS (SELECT doc_id, source_index, text, lag(source_index) OVER w AS prev_source_index, lead(source_index) OVER w AS next_source_index, lag(text) OVER w AS pt, lead(text) OVER w AS nt
     FROM e WHERE {ROLE} IN ('text', 'title') WINDOW w AS (PARTITION BY doc_id ORDER BY source_index))
-    SELECT doc_id, source_index, prev_source_index, next_source_index, coalesce(length(pt), 0) AS prev_chars, coalesce(length(nt), 0) AS next_chars FROM t"""
+    SELECT doc_id, source_index, coalesce(prev_source_index, -1) AS prev_source_index, coalesce(next_source_index, -1) AS next_source_index, coalesce(length(pt), 0) AS prev_chars, coalesce(length(nt), 0) AS next_chars FROM t"""
 )
 def text_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """WIN-08: each text block with the text blocks before and after it."""
     e = E.delivered_once(table(spark, d, "paper_content_list")).filter(E.role(F.col("type"), F.col("text_level")).isin("text", "title"))
     rows = e.select("doc_id", "source_index", F.length("text").alias("chars"))
     out = ordered.with_neighbours(rows, "doc_id", "source_index", ["source_index", "chars"])
-    return out.select("doc_id", "source_index", "prev_source_index", "next_source_index", F.coalesce("prev_chars", F.lit(0)).alias("prev_chars"), F.coalesce("next_chars", F.lit(0)).alias("next_chars"))
+    return out.select("doc_id", "source_index", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("prev_source_index", "next_source_index")], F.coalesce("prev_chars", F.lit(0)).alias("prev_chars"), F.coalesce("next_chars", F.lit(0)).alias("next_chars"))
 
 
 _PARA = rf"""length(t) BETWEEN 48 AND 6000 AND regexp_matches(t, '^[\p{{Lu}}\p{{N}}]') AND regexp_matches(t, '[.!?。！？]["''”’)\]]*$')

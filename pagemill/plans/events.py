@@ -43,7 +43,7 @@ def hourly_limit(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH g AS (SELECT *, CASE WHEN coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 MINUTE, true) THEN 1 ELSE 0 END AS n FROM events WHERE user_id IS NOT NULL),
-    s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, session, count(*) AS events, min(ts) AS first, max(ts) AS last FROM s GROUP BY 1, 2"""
+    s AS (SELECT *, (sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS session FROM g) SELECT user_id, session, count(*) AS events, min(ts) AS first, max(ts) AS last FROM s GROUP BY 1, 2"""
 )
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     """Runs of events with gaps of at most 30 minutes, as in AGG-23."""

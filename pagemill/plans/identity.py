@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import patterns as P
 from pagemill.functions import paths as Q
+from pagemill.functions import text as X
 from pagemill.operators import identity as I
+from pagemill.operators import repairs as R
 from pagemill.plans.registry import query, quoted
 
 ASKED = (
@@ -112,3 +114,64 @@ def acquisition_plans(spark: SparkSession, d: str) -> DataFrame:
 def ranked_identities(spark: SparkSession, d: str) -> DataFrame:
     """AGG-26, JOIN-36 to JOIN-40, TOPK-01: merged and ranked records of providers (tested on fixtures)."""
     return I.rank_candidates(spark.createDataFrame(RECORDS, "query string, provider string, pos int, title string, year int, pmid string, pmcid string, doi string"))
+
+
+LOST = "�"
+ARTICLES = (("a", f"One {LOST} here, two {LOST}{LOST} there. Twice x{LOST}. Twice x{LOST}."), ("b", "nothing lost"))
+REPAIRS = (
+    ("a", "r1", f"One {LOST} here", "One ν here"), ("a", "r2", f"two {LOST}{LOST} there", "two αβ there"), ("a", "r3", f"x{LOST}", "xy"), ("a", "r4", f"{LOST} here, two", "μ here, two"),
+    ("a", "r5", f"there. Twice x{LOST}. T", "there. twice xy. T"), ("b", "r6", f"{LOST}", "q"), ("c", "r7", f"{LOST}", "q"),
+)
+_ONCE = "strpos(markdown, source_text) > 0 AND strpos(substr(markdown, strpos(markdown, source_text) + 1), source_text) = 0"
+
+
+@query(
+    f"""WITH {_values(ARTICLES, 'a', 'doc_id, markdown')}, {_values(REPAIRS, 'r', 'doc_id, repair_id, source_text, replacement')},
+    p AS (SELECT r.*, markdown, CASE WHEN {_ONCE} THEN strpos(markdown, source_text) - 1 END AS s,
+      len(string_split(source_text, '{LOST}')) > 1 AND regexp_full_match(replacement, replace(regexp_replace(source_text, '([.,])', '\\\\\\1', 'g'), '{LOST}', '[\\p{{L}}\\p{{N}}]{{1,4}}')) AS passive FROM r LEFT JOIN a USING (doc_id)),
+    q AS (SELECT *, s + length(source_text) AS e, CASE WHEN markdown IS NULL THEN 'no-article' WHEN s IS NULL THEN 'not-unique' WHEN NOT passive THEN 'not-passive' ELSE 'ready' END AS st FROM p)
+    SELECT doc_id, repair_id, coalesce(s, -1) AS start, coalesce(e, -1) AS "end", replacement, CASE WHEN st = 'ready' AND max(CASE WHEN st = 'ready' THEN e END) OVER (PARTITION BY doc_id ORDER BY s NULLS FIRST, repair_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > s THEN 'overlap' ELSE st END AS status FROM q"""
+)
+def placed_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """JOIN-29, PRD-33, STR-48: where repairs apply."""
+    articles = spark.createDataFrame(ARTICLES, "doc_id string, markdown string")
+    repairs = spark.createDataFrame(REPAIRS, "doc_id string, repair_id string, source_text string, replacement string")
+    return R.placed_repairs(articles, repairs).na.fill(-1, ["start", "end"])
+
+
+DECISIONS = (("d", 0, "c1", "accept", 0.9), ("d", 1, "c1", "reject", 0.9), ("d", 2, "c2", "accept", 0.5), ("d", 3, "c3", "maybe", 0.9), ("d", 4, "zz", "accept", 0.9), ("e", 0, "c4", "abstain", 0.1), ("f", 0, "zz", "reject", None))
+CANDIDATES = (("d", "c1"), ("d", "c2"), ("d", "c3"), ("e", "c4"))
+_JUDGED = f"""WITH {_values(CANDIDATES, 'c', 'doc_id, candidate_id')}, {_values(DECISIONS, 'd', 'doc_id, pos, candidate_id, verdict, confidence')},
+n AS (SELECT d.*, c.candidate_id AS known, row_number() OVER (PARTITION BY d.doc_id, d.candidate_id ORDER BY pos) AS nth FROM d LEFT JOIN c ON c.doc_id = d.doc_id AND c.candidate_id = d.candidate_id),
+j AS (SELECT doc_id, candidate_id, pos, verdict, CASE WHEN known IS NULL THEN 'unknown' WHEN nth > 1 THEN 'duplicate' WHEN NOT coalesce(verdict IN ('accept', 'reject', 'abstain') AND confidence BETWEEN 0 AND 1, false) THEN 'invalid'
+  WHEN verdict = 'accept' AND confidence < 0.85 THEN 'low' ELSE 'applied' END AS outcome FROM n)"""
+
+
+def _judged(spark: SparkSession) -> DataFrame:
+    return R.judged_decisions(spark.createDataFrame(CANDIDATES, "doc_id string, candidate_id string"), spark.createDataFrame(DECISIONS, "doc_id string, pos int, candidate_id string, verdict string, confidence double"))
+
+
+@query(f"{_JUDGED} SELECT * FROM j")
+def judged_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """JSN-13, JSN-23, JSN-24: decisions of a review and their outcome."""
+    return _judged(spark)
+
+
+@query(
+    f"{_JUDGED}, p AS (SELECT doc_id, count(*) AS decisions, count(*) FILTER (outcome = 'applied') AS applied FROM j GROUP BY 1) SELECT *, CASE WHEN applied = decisions THEN 'valid' WHEN applied > 0 THEN 'partial' ELSE 'invalid' END AS status FROM p"
+)
+def review_status(spark: SparkSession, d: str) -> DataFrame:
+    """JSN-13: status of a review."""
+    return R.review_status(_judged(spark))
+
+
+CAPTIONS = ("Extended Data Figure 3b | x", "see Supp Fig. 2", "Figure 7. y", "table_4", "图 5 z", "no label", "a &amp; **b** [c](d) <i>e</i>", "", "Fig. 1 &lt;x&gt;")
+_P = "regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '[_-]+', ' ', 'g')"
+_LABELS = (("(?i)\\bExtended\\s+Data\\s+Fig(?:ure)?\\.?", "Extended Data Fig. "), ("(?i)\\bSupp(?:lementary)?\\s+Fig(?:ure)?\\.?", "Supplementary Fig. "), ("(?i)\\bFig(?:ure)?\\.?", "Fig. "), ("(?i)\\bTable", "Table "), ("(?i)[图表]", "图 "))
+_CASES = " ".join(f"WHEN regexp_matches({_P}, {quoted(a + _N)}) THEN {quoted(b)} || regexp_extract({_P}, {quoted(a + _N)}, 1)" for _N in ["\\s*([A-Za-z]?\\d+[A-Za-z]?)\\b"] for a, b in _LABELS)
+
+
+@query(f"WITH {_values(CAPTIONS, 'c', 't')} SELECT t, CASE {_CASES} END AS label FROM c")
+def explicit_labels(spark: SparkSession, d: str) -> DataFrame:
+    """STR-22, STR-24: labels that captions state."""
+    return spark.createDataFrame([(x,) for x in CAPTIONS], "t string").select("t", X.explicit_label(F.col("t")).alias("label"))

@@ -76,7 +76,7 @@ def follow_state(events: DataFrame) -> DataFrame:
 
 def hourly_limit(events: DataFrame, most: int = 30) -> DataFrame:
     """Requests beyond ``most`` for each user and clock hour: user_id, hour, requests, refused."""
-    hour = F.date_trunc("hour", "ts")
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
     per = events.filter("user_id is not null and ts is not null").groupBy("user_id", hour.alias("hour")).agg(F.count("*").alias("requests"))
     return per.withColumn("refused", F.greatest(F.col("requests") - most, F.lit(0)))
 
