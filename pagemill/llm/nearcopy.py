@@ -29,6 +29,8 @@ MAX_BITS = 3
 BLOCKS = MAX_BITS + 2
 #: A key with more fingerprints than this is split by a third token before it is joined.
 HOT_KEY = 512
+#: Parts into which the copies of one fingerprint are spread.
+SALTS = 16
 
 
 def hex_number(text: Column, bits: int) -> Column:
@@ -104,31 +106,66 @@ def _lengths_alike(a: str, b: str) -> Column:
     return F.abs(x - y) * 10 <= F.greatest(x, y)
 
 
+def representatives(prints: DataFrame) -> DataFrame:
+    """One row for each distinct fingerprint: rep (smallest id), sha, simhash, text_length, copies."""
+    return prints.groupBy("sha", "simhash", "text_length").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+
+
+def alike_representatives(reps: DataFrame) -> DataFrame:
+    """Pairs of different representatives that are alike: x, y (x < y)."""
+    a, b = reps.select("rep", "sha").alias("a"), reps.select("rep", "sha").alias("b")
+    exact = a.join(b, (F.col("a.sha") == F.col("b.sha")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y"))
+
+    sized = reps.select("rep", "simhash", "text_length").filter("simhash is not null and text_length is not null")
+    m = sized.alias("m")
+    left = near_words(sized.select("simhash").distinct()).join(m, F.col("a") == F.col("m.simhash")).select("b", F.col("m.rep").alias("x"), F.col("m.text_length").alias("x_length"))
+    between = left.join(m, F.col("b") == F.col("m.simhash")).select("x", "x_length", F.col("m.rep").alias("y"), F.col("m.text_length").alias("y_length"))
+    c, d = sized.alias("c"), sized.alias("d")
+    within = c.join(d, (F.col("c.simhash") == F.col("d.simhash")) & (F.col("c.rep") < F.col("d.rep"))).select(
+        F.col("c.rep").alias("x"), F.col("c.text_length").alias("x_length"), F.col("d.rep").alias("y"), F.col("d.text_length").alias("y_length")
+    )
+    near = between.unionByName(within).filter(_lengths_alike("x_length", "y_length")).select("x", "y")
+    return exact.unionByName(near).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+#: Whether copies of one fingerprint are alike: they share a digest, or a simhash and a length.
+_SELF = "sha is not null or (simhash is not null and text_length is not null)"
+
+
+def _members(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Representatives, and the blocks with their representative."""
+    prints = checkpoint(fingerprints(blocks))
+    reps = checkpoint(representatives(prints))
+    # a fingerprint can have very many copies, so each is looked up in one of SALTS places
+    salts = F.array(*map(F.lit, range(SALTS)))
+    p = prints.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).alias("p")
+    r = reps.filter("copies > 1").withColumn("salt", F.explode(salts)).alias("r")
+    same = F.col("p.salt") == F.col("r.salt")
+    for k in ("sha", "simhash", "text_length"):
+        same = same & F.col(f"p.{k}").eqNullSafe(F.col(f"r.{k}"))
+    # most fingerprints have one block, which is its own representative
+    single = reps.filter("copies = 1").select(F.col("rep").alias("id"), "rep")
+    several = p.join(r, same).select(F.col("p.id").alias("id"), F.col("r.rep").alias("rep"))
+    return reps, single.unionByName(several)
+
+
 def near_pairs(blocks: DataFrame) -> DataFrame:
     """Pairs of alike blocks, block_a < block_b.
 
     Alike are equal digests, and simhashes that differ in at most MAX_BITS bits with
     lengths that differ by at most a tenth of the larger. Blocks without text take
     part in no pair; a block without simhash or length is compared by its digest
-    only. Pairs are not extended through third blocks.
+    only. Pairs are not extended through third blocks. They are found between
+    representatives of equal fingerprints and then spread over their copies.
     """
-    prints = checkpoint(fingerprints(blocks))
-    by_sha = prints.select("id", "sha").filter("sha is not null")
-    a, b = by_sha.alias("a"), by_sha.alias("b")
-    exact = a.join(b, (F.col("a.sha") == F.col("b.sha")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-
-    members = prints.select("id", "simhash", "text_length").filter("simhash is not null and text_length is not null")
-    # the links between different fingerprints, then the blocks that have them
-    words = near_words(members.select("simhash").distinct())
-    m = members.alias("m")
-    left = words.join(m, F.col("a") == F.col("m.simhash")).select("b", F.col("m.id").alias("x"), F.col("m.text_length").alias("x_length"))
-    between = left.join(m, F.col("b") == F.col("m.simhash")).select("x", "x_length", F.col("m.id").alias("y"), F.col("m.text_length").alias("y_length"))
-    c, d = members.alias("c"), members.alias("d")
-    within = c.join(d, (F.col("c.simhash") == F.col("d.simhash")) & (F.col("c.id") < F.col("d.id"))).select(
-        F.col("c.id").alias("x"), F.col("c.text_length").alias("x_length"), F.col("d.id").alias("y"), F.col("d.text_length").alias("y_length")
-    )
-    near = between.unionByName(within).filter(_lengths_alike("x_length", "y_length")).select("x", "y")
-    return exact.unionByName(near).select(F.least("x", "y").alias("block_a"), F.greatest("x", "y").alias("block_b")).distinct()
+    reps, members = _members(blocks)
+    links = alike_representatives(reps)
+    x, y = members.select(F.col("id").alias("a"), F.col("rep").alias("x")), members.select(F.col("id").alias("b"), F.col("rep").alias("y"))
+    across = links.join(x, "x").join(y, "y").select("a", "b")
+    copies = members.join(reps.filter(f"copies > 1 and ({_SELF})").select("rep"), "rep", "left_semi")
+    c, d = copies.alias("c"), copies.alias("d")
+    inside = c.join(d, (F.col("c.rep") == F.col("d.rep")) & (F.col("c.id") < F.col("d.id"))).select(F.col("c.id").alias("a"), F.col("d.id").alias("b"))
+    return across.unionByName(inside).select(F.least("a", "b").alias("block_a"), F.greatest("a", "b").alias("block_b"))
 
 
 def copy_classes(blocks: DataFrame) -> DataFrame:
@@ -136,16 +173,15 @@ def copy_classes(blocks: DataFrame) -> DataFrame:
 
     A class holds the blocks of one digest (a block without digest is a class of its
     own); its id is its smallest block id. ``links`` is the number of other blocks
-    that the block is alike with, counted from the pairs of classes.
+    that the block is alike with, summed over the representatives with their numbers
+    of copies; the copies are not paired.
     """
-    prints = checkpoint(fingerprints(blocks))
-    digest = F.coalesce("sha", F.concat(F.lit("id:"), F.col("id")))
-    first = prints.groupBy(digest.alias("digest")).agg(F.min("id").alias("class_id"))
-    pairs = near_pairs(blocks)
-    links = pairs.select(F.col("block_a").alias("id")).unionByName(pairs.select(F.col("block_b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
-    return (
-        prints.select("id", digest.alias("digest"))
-        .join(first, "digest")
-        .join(links, "id", "left")
-        .select("id", "class_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-    )
+    reps, members = _members(blocks)
+    links = alike_representatives(reps)
+    size = reps.select(F.col("rep").alias("other"), "copies")
+    both = links.select(F.col("x").alias("rep"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("rep"), F.col("x").alias("other")))
+    outside = both.join(size, "other").groupBy("rep").agg(F.sum("copies").alias("outside"))
+    inside = F.when(F.expr(_SELF), F.col("copies") - 1).otherwise(0)
+    first = reps.filter("sha is not null").groupBy("sha").agg(F.min("rep").alias("first"))
+    per = reps.join(first, "sha", "left").join(outside, "rep", "left").select("rep", "first", (inside + F.coalesce("outside", F.lit(0))).cast("bigint").alias("links"))
+    return members.join(per, "rep").select("id", F.coalesce("first", "id").alias("class_id"), "links")

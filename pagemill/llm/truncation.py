@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagemill.runtime import checkpoint
+
 LABEL = r"(?:(?:Fig(?:ure)?|Table|Tab|Abb|Abbildung|Tabelle)\.?|图|表)\s*\d+\s*[.:|]?\s*"
 PANEL = r"\(?[A-Za-z][.)]?|\([ivx]+\)"
 OMISSION = r"(?:\.\.\.|…|\[\s*(?:\.\.\.|…)\s*\])\s*$"
@@ -45,6 +47,8 @@ FIELDS = ("image_caption", "table_caption")
 MEASURES = ("chars", "utf8", "utf16", "html", "json", "crlf")
 #: A limit needs this many items, and this many times the mean count of the ten lengths before it.
 LIMIT_COUNT, LIMIT_RATIO = 5, 5.0
+#: Rows of the table of limits up to which it is broadcast.
+MOST_BROADCAST = 10_000
 
 
 def caption_items(elements: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
@@ -119,8 +123,9 @@ def open_ending(text: Column) -> Column:
 
 def judge(items: DataFrame, limits: DataFrame) -> DataFrame:
     """Items with ``at_limit`` and ``cut``."""
-    per = limits.groupBy("source", "field").agg(F.map_from_entries(F.collect_list(F.struct("measure", "store_limit"))).alias("limits"))
-    # the limits are a few rows for each source and field
+    per = checkpoint(limits.groupBy("source", "field").agg(F.map_from_entries(F.collect_list(F.struct("measure", "store_limit"))).alias("limits")))
+    # a few rows for each source and field: broadcast if there are as few as expected, so that a large source is not shuffled
+    per = F.broadcast(per) if per.count() <= MOST_BROADCAST else per
     joined = items.join(per.withColumnRenamed("source", "s2").withColumnRenamed("field", "f2"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("field") == F.col("f2")), "left").drop("s2", "f2")
     at = F.lit(False)
     for m, c in lengths(F.col("text")).items():
