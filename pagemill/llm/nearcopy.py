@@ -133,7 +133,7 @@ _SELF = "sha is not null or (simhash is not null and text_length is not null)"
 
 
 def _members(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Representatives, and the blocks with their representative."""
+    """Representatives, and of those with copies the blocks (id, rep)."""
     prints = checkpoint(fingerprints(blocks))
     reps = checkpoint(representatives(prints))
     # a fingerprint can have very many copies, so each is looked up in one of SALTS places
@@ -143,10 +143,7 @@ def _members(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = F.col("p.salt") == F.col("r.salt")
     for k in ("sha", "simhash", "text_length"):
         same = same & F.col(f"p.{k}").eqNullSafe(F.col(f"r.{k}"))
-    # most fingerprints have one block, which is its own representative
-    single = reps.filter("copies = 1").select(F.col("rep").alias("id"), "rep")
-    several = p.join(r, same).select(F.col("p.id").alias("id"), F.col("r.rep").alias("rep"))
-    return reps, single.unionByName(several)
+    return reps, p.join(r, same).select(F.col("p.id").alias("id"), F.col("r.rep").alias("rep"))
 
 
 def near_pairs(blocks: DataFrame) -> DataFrame:
@@ -160,8 +157,9 @@ def near_pairs(blocks: DataFrame) -> DataFrame:
     """
     reps, members = _members(blocks)
     links = alike_representatives(reps)
+    # most fingerprints have one block, which is its own representative
     x, y = members.select(F.col("id").alias("a"), F.col("rep").alias("x")), members.select(F.col("id").alias("b"), F.col("rep").alias("y"))
-    across = links.join(x, "x").join(y, "y").select("a", "b")
+    across = links.join(x, "x", "left").join(y, "y", "left").select(F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b"))
     copies = members.join(reps.filter(f"copies > 1 and ({_SELF})").select("rep"), "rep", "left_semi")
     c, d = copies.alias("c"), copies.alias("d")
     inside = c.join(d, (F.col("c.rep") == F.col("d.rep")) & (F.col("c.id") < F.col("d.id"))).select(F.col("c.id").alias("a"), F.col("d.id").alias("b"))
@@ -184,4 +182,5 @@ def copy_classes(blocks: DataFrame) -> DataFrame:
     inside = F.when(F.expr(_SELF), F.col("copies") - 1).otherwise(0)
     first = reps.filter("sha is not null").groupBy("sha").agg(F.min("rep").alias("first"))
     per = reps.join(first, "sha", "left").join(outside, "rep", "left").select("rep", "first", (inside + F.coalesce("outside", F.lit(0))).cast("bigint").alias("links"))
-    return members.join(per, "rep").select("id", F.coalesce("first", "id").alias("class_id"), "links")
+    single = reps.filter("copies = 1").select(F.col("rep").alias("id"), "rep")
+    return members.unionByName(single).join(per, "rep").select("id", F.coalesce("first", "id").alias("class_id"), "links")
