@@ -34,34 +34,46 @@ def title_classes(documents: DataFrame, least_tokens: int = 4) -> DataFrame:
     return titled(documents, least_tokens).groupBy("title").agg(F.first("tokens").alias("tokens"), F.min("doc_id").alias("first_doc"), F.count("*").alias("documents"))
 
 
-def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
-    """Rows (title, key): the pairs of each title's rarest tokens, as many as the threshold needs.
+def _keyed(classes: DataFrame, threshold: float) -> DataFrame:
+    """Rows (doc, h, key): the pairs of each title's rarest tokens, as many as the threshold needs.
 
     A title of n tokens shares at least ceil(share * n) tokens with one within the
     threshold, and that is two or more from four tokens on; so two of the first
-    n - ceil(share * n) + 2 tokens are shared. Keys are hashes; what collides falls
-    to the exact comparison.
+    n - ceil(share * n) + 2 tokens are shared. ``doc`` is the class by its first
+    document, ``h`` the hashes of its tokens.
     """
     share = threshold / (2 - threshold)
-    tokens = classes.select("title", F.explode("tokens").alias("token"))
+    tokens = classes.select(F.col("first_doc").alias("doc"), F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    ranked = tokens.join(counts, "token").groupBy("title").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("t"))
-    n = F.size("t")
-    first = ranked.select("title", F.slice("t", 1, F.least(n, n - F.ceil(n * share - 1e-9).cast("int") + 2)).alias("t"))
+    ranked = tokens.join(counts, "token").groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: F.xxhash64(x["token"])).alias("h"))
+    n = F.size("h")
+    first = ranked.select("doc", "h", F.slice("h", 1, F.least(n, n - F.ceil(n * share - 1e-9).cast("int") + 2)).alias("t"))
     pairs = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-    return first.select("title", F.explode(pairs).alias("token"))
+    return first.select("doc", "h", F.explode(pairs).alias("key"))
+
+
+def _candidates(left: DataFrame, right: DataFrame, threshold: float, ordered: bool) -> DataFrame:
+    """Pairs of classes (x, y) that pass the threshold by the hashes of their tokens.
+
+    The comparison stands in the join, so what fails is never shuffled.
+    """
+    a, b = left.alias("a"), right.alias("b")
+    n, m = F.size("a.h"), F.size("b.h")
+    apart = F.col("a.doc") < F.col("b.doc") if ordered else F.col("a.doc") != F.col("b.doc")
+    alike = (2 * F.least(n, m) >= threshold * (n + m)) & (2 * F.size(F.array_intersect("a.h", "b.h")) >= threshold * (n + m) - 1e-9)
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & apart & alike).select(F.col("a.doc").alias("x"), F.col("b.doc").alias("y")).distinct()
 
 
 def title_pairs(documents: DataFrame, threshold: float = RELEVANT) -> DataFrame:
     """Pairs of different titles that are alike: title_a < title_b, doc_a, doc_b (first documents), similarity."""
     classes = checkpoint(title_classes(documents))
-    prefixes = checkpoint(_prefixes(classes, threshold))
-    a, b = prefixes.alias("a"), prefixes.alias("b")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.title") < F.col("b.title"))).select(F.col("a.title").alias("title_a"), F.col("b.title").alias("title_b")).distinct()
-    x = classes.select(F.col("title").alias("title_a"), F.col("tokens").alias("ta"), F.col("first_doc").alias("doc_a"))
-    y = classes.select(F.col("title").alias("title_b"), F.col("tokens").alias("tb"), F.col("first_doc").alias("doc_b"))
-    scored = pairs.join(x, "title_a").join(y, "title_b").withColumn("s", X.dice(F.col("ta"), F.col("tb")))
-    return scored.filter(F.col("s") >= threshold).select("title_a", "title_b", "doc_a", "doc_b", F.round("s", 4).alias("similarity"))
+    keyed = _keyed(classes, threshold)
+    pairs = _candidates(keyed, keyed, threshold, True)
+    side = lambda k: classes.select(F.col("first_doc").alias(k), F.col("title").alias(f"t{k}"), F.col("tokens").alias(f"k{k}"))
+    scored = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("s", X.dice(F.col("kx"), F.col("ky"))).filter(F.col("s") >= threshold)
+    swap = F.col("tx") > F.col("ty")
+    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+    return scored.select(pick("tx", "ty").alias("title_a"), pick("ty", "tx").alias("title_b"), pick("x", "y").alias("doc_a"), pick("y", "x").alias("doc_b"), F.round("s", 4).alias("similarity"))
 
 
 def title_candidates(documents: DataFrame, every: int = 50, threshold: float = RELEVANT, best: int = BEST) -> DataFrame:
@@ -70,18 +82,17 @@ def title_candidates(documents: DataFrame, every: int = 50, threshold: float = R
     A candidate stands for all documents with its title by the smallest id. Ranked
     by similarity, then candidate. ``every`` states the queries of the search.
     """
-    all_ = titled(documents)
+    queries = titled(documents).filter(F.col("doc_id") % every == 0).select("doc_id", "title")
     classes = checkpoint(title_classes(documents))
-    queries = all_.filter(F.col("doc_id") % every == 0)
-    prefixes = checkpoint(_prefixes(classes, threshold))
-    asked = prefixes.join(queries.select("title").distinct(), "title", "left_semi")
-    a, b = asked.alias("a"), prefixes.alias("b")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.title") != F.col("b.title"))).select(F.col("a.title").alias("title"), F.col("b.title").alias("other")).distinct()
-    others = classes.select(F.col("title").alias("other"), F.col("tokens").alias("to"), F.col("first_doc").alias("candidate"))
-    scored = pairs.join(classes.select("title", "tokens"), "title").join(others, "other").withColumn("s", X.dice(F.col("tokens"), F.col("to"))).filter(F.col("s") >= threshold)
+    asked = classes.join(queries.select("title").distinct(), "title", "left_semi").select(F.col("first_doc").alias("doc"))
+    keyed = _keyed(classes, threshold)
+    pairs = _candidates(keyed.join(asked, "doc", "left_semi"), keyed, threshold, False)
+    x = classes.select(F.col("first_doc").alias("x"), "title", F.col("tokens").alias("kx"))
+    y = classes.select(F.col("first_doc").alias("y"), F.col("tokens").alias("ky"))
+    scored = pairs.join(x, "x").join(y, "y").withColumn("s", X.dice(F.col("kx"), F.col("ky"))).filter(F.col("s") >= threshold)
     ranked = Window.partitionBy("title").orderBy(F.desc("similarity"), "candidate")
-    top = scored.select("title", "candidate", F.round("s", 4).alias("similarity")).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= best)
-    return queries.select("doc_id", "title").join(top, "title").select("doc_id", "candidate", "similarity", "rank")
+    top = scored.select("title", F.col("y").alias("candidate"), F.round("s", 4).alias("similarity")).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= best)
+    return queries.join(top, "title").select("doc_id", "candidate", "similarity", "rank")
 
 
 def sure_candidate(candidates: DataFrame, high: float = HIGH, lead: float = LEAD) -> DataFrame:
