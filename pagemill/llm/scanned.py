@@ -28,8 +28,6 @@ from pagemill.runtime import checkpoint
 
 #: Elements of a package that one task works on at a time.
 BLOCK = 4096
-#: Running lines kept for each package, by count; misread variants are matched to them.
-RUNNING_LINES = 16
 #: Words with this share of all words are in the vocabulary: at most its inverse in number.
 VOCABULARY_SHARE = 3e-6
 #: A word is misread if the word that it stands for is this many times as frequent.
@@ -266,7 +264,8 @@ class Page:
         self.offset = offset
         self.keys: dict[int, list[str]] = {}
         for k in dict.fromkeys(map(running_key, lines)):
-            if len(k) >= 6:
+            # the most frequent come first; a misread form of a line is that line
+            if len(k) >= 6 and not same_line(k, self.keys):
                 self.keys.setdefault(len(k), []).append(k)
         #: Lengths that a line can have that is one of the running lines, with its number.
         self.shortest, self.longest = min(self.keys, default=0) * 0.9 - 1, max(self.keys, default=-1) * 1.1 + 24
@@ -453,18 +452,25 @@ def vocabulary(elements: DataFrame) -> tuple[dict[str, int], float]:
 
 
 def running_lines(elements: DataFrame) -> DataFrame:
-    """The usual running lines and the page number's offset of each package: doc_id, lines, offset."""
+    """What each block of a package can know of its pages: doc_id, blk, lines, offset.
+
+    ``lines`` are the running lines of the block and of those next to it, by count, so
+    their number is bounded by that of the blocks' elements; ``offset`` leads from page
+    index to page number, by the most pages of the package.
+    """
+    blk = F.floor(F.col("source_index") / BLOCK).cast("int")
     edge = elements.filter(_zone(F.col("bbox")).isNotNull() & F.col("text").isNotNull() & (F.length("text") < 200))
     number = F.concat(*[F.regexp_extract("text", x, 1) for x in PAGE_OF_LINE])
-    keyed = edge.select("doc_id", F.lower(F.regexp_replace("text", r"\d+", "9")).alias("line"), (F.nullif(number, F.lit("")).cast("int") - F.col("page_idx")).alias("offset"))
+    keyed = edge.select("doc_id", blk.alias("blk"), F.lower(F.regexp_replace("text", r"\d+", "9")).alias("line"), (F.nullif(number, F.lit("")).cast("int") - F.col("page_idx")).alias("offset"))
     # distinct lines and offsets, of which there are few beside the elements; both results start from this shuffle
-    seen = keyed.groupBy("doc_id", "line", "offset").agg(F.count("*").alias("n"))
-    lines = seen.filter(r"line rlike '\\p{L}{3}'").groupBy("doc_id", "line").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("doc_id").orderBy(F.desc("n"), "line")
-    best = lines.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= RUNNING_LINES).groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
+    seen = keyed.groupBy("doc_id", "blk", "line", "offset").agg(F.count("*").alias("n"))
+    near = F.explode(F.array(F.col("blk") - 1, F.col("blk"), F.col("blk") + 1)).alias("blk")
+    lines = seen.filter(r"line rlike '\\p{L}{3}'").select("doc_id", near, "line", "n").groupBy("doc_id", "blk", "line").agg(F.sum("n").alias("n"))
+    lines = lines.groupBy("doc_id", "blk").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "line"))), lambda x: x["line"]).alias("lines"))
     offsets = seen.filter("offset is not null").groupBy("doc_id", "offset").agg(F.sum("n").alias("n"))
     offset = offsets.groupBy("doc_id").agg(F.max_by("offset", F.struct("n", "offset")).alias("offset"))
-    return best.join(offset, "doc_id", "full")
+    blocks = elements.groupBy("doc_id").agg(F.max(blk).alias("last")).select("doc_id", F.explode(F.sequence(F.lit(0), "last")).alias("blk"))
+    return blocks.join(lines, ["doc_id", "blk"], "left").join(offset, "doc_id", "left")
 
 
 def label_elements(elements: DataFrame) -> DataFrame:
@@ -481,9 +487,8 @@ def label_elements(elements: DataFrame) -> DataFrame:
     counts, floor = vocabulary(with_text)
     table = spark.sparkContext.broadcast((counts, floor))
     blk = F.floor(F.col("source_index") / BLOCK).cast("int")
-    known = running_lines(with_text).join(base.groupBy("doc_id").agg(F.max(blk).alias("last")), "doc_id")
-    known = known.select(
-        "doc_id", F.explode(F.sequence(F.lit(0), "last")).alias("blk"), F.lit(-1).alias("source_index"), F.col("offset").alias("page_idx"),
+    known = running_lines(base).select(
+        "doc_id", "blk", F.lit(-1).alias("source_index"), F.col("offset").alias("page_idx"),
         F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("level"),
         F.lit(None).cast("array<double>").alias("bbox"), F.lit(None).cast("timestamp").alias("received_at"), "lines",
     )
