@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 from pagemill.functions import text as X
 
 IDS = ("pmid", "pmcid", "doi")
+#: Routes that need nobody (fixed values).
+AUTOMATIC = ("clipper_core", "mineru")
 RELEVANT, HIGH, LEAD, BEST = 0.65, 0.92, 0.08, 5
 
 
@@ -57,7 +59,7 @@ def plan_acquisition(sources: DataFrame) -> DataFrame:
     automatic route; else the extension if any source is left; else unavailable.
     """
     ranked = rank_sources(sources)
-    free = ~F.col("requires_browser_session") & ~F.col("requires_domain_permission") & F.col("acquisition_route").isin("clipper_core", "mineru")
+    free = ~F.col("requires_browser_session") & ~F.col("requires_domain_permission") & F.col("acquisition_route").isin(*AUTOMATIC)
     per = ranked.groupBy("paper_id").agg(
         F.min_by(F.when(free, F.struct("source_id", "format")), F.when(free, F.col("rank"))).alias("auto"), F.min_by("source_id", "rank").alias("first"), F.count("*").alias("n")
     )

@@ -13,7 +13,6 @@ from pagemill.runtime import latest
 
 BLOCK_KINDS = ("title", "heading", "body", "caption", "footnote", "visual_slot", "unknown")
 FILE_BYTES, PACKAGE_BYTES = 256 * 1024 * 1024, 768 * 1024 * 1024
-CONTRACT_VERSION = "paper2md-reader-v0.1"
 
 
 def codes(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pagemill.functions.paths import is_safe_package_path, path_key
 
 FILES, ENTRY_BYTES, TOTAL_BYTES, RATIO = 1024, 64 << 20, 512 << 20, 200
+#: Names of the files that make a package (fixed values).
+ARTICLE, RESULT = "article.md", "mineru-result.json"
 ENTRIES = "package_id string, path string, size long, crc32 long, content binary, problem string"
 
 
@@ -125,10 +127,10 @@ def detect_source(files: DataFrame) -> DataFrame:
     has = lambda name: F.array_contains("all", name)
     return per.select(
         "package_id",
-        F.when(has("article.md") & has("mineru-result.json"), "extraction").when(has("article.md"), "article").when(lst.isNotNull(), "extraction")
+        F.when(has(ARTICLE) & has(RESULT), "extraction").when(has(ARTICLE), "article").when(lst.isNotNull(), "extraction")
         .when(F.size("md") == 1, "markdown").when((F.size("md") == 0) & (F.size("html") == 1), "html").otherwise("unknown").alias("format"),
-        F.when(has("article.md"), "article.md").when(lst.isNotNull(), article).when(F.size("md") == 1, F.get("md", F.lit(0))).when((F.size("md") == 0) & (F.size("html") == 1), F.get("html", F.lit(0))).alias("article"),
-        F.when(has("article.md") & has("mineru-result.json"), "mineru-result.json").when(~has("article.md"), lst).alias("content_list"),
+        F.when(has(ARTICLE), ARTICLE).when(lst.isNotNull(), article).when(F.size("md") == 1, F.get("md", F.lit(0))).when((F.size("md") == 0) & (F.size("html") == 1), F.get("html", F.lit(0))).alias("article"),
+        F.when(has(ARTICLE) & has(RESULT), RESULT).when(~has(ARTICLE), lst).alias("content_list"),
     )
 
 
