@@ -11,6 +11,8 @@ Statistics come from all rows: the running lines and the page number's offset of
 package, and the counts of words. Elements are then worked on in reading order, in
 blocks of ``BLOCK`` elements of a package, so a very large package is spread over many
 tasks; what passes from block to block (a sentence left open) is one row for a block.
+Frequent words are at hand in every task; a text that asks for the count of any other
+form waits until the form has been looked up among all words, and is mended then.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ from pagemill.runtime import checkpoint
 
 #: Elements of a package that one task works on at a time.
 BLOCK = 4096
-#: Words with this share of all words are in the vocabulary: at most its inverse in number.
+#: Words with this share of all words are at hand in every task: at most its inverse in number.
 VOCABULARY_SHARE = 3e-6
 #: A word is misread if the word that it stands for is this many times as frequent.
 MISREAD_RATIO = 8.0
 #: Signs at the ends of a word that do not belong to it.
 STRIP = ".,;:()[]{}<>\"'“”‘’„«»?…。，；：（）、·|"
 HYPHENS = "-‐¬­"
+#: Stands where a divided word may or may not keep its hyphen (a private character).
+EITHER = "\ue0ff"
 
 #: Characters as recognised and as printed (fixed values).
 CONFUSIONS = (
@@ -148,16 +152,20 @@ def viterbi(scores: list[tuple[float, float, float, float]]) -> list[int]:
 
 
 class Words:
-    """The vocabulary with counts, and what a rare word stands for."""
+    """The vocabulary with counts, and what a rare word stands for.
+
+    ``rare`` are the counts of the less frequent forms that the text at hand asks for.
+    """
 
     def __init__(self, counts: dict[str, int], floor: float):
         self.counts, self.floor = counts, floor
+        self.rare: dict[str, int] = {}
         self.seen: dict[str, str | None] = {}
         #: Tokens as they stand in texts in which there is nothing to mend.
         self.clean: set[str] = set()
 
     def count(self, word: str) -> int:
-        return self.counts.get(word, 0)
+        return self.counts.get(word) or self.rare.get(word, 0)
 
     def printed(self, word: str) -> str | None:
         """The frequent word that a misread ``word`` (lower case) stands for, or None."""
@@ -172,6 +180,8 @@ class Words:
             return None
         own = self.counts.get(word, 0)
         need = MISREAD_RATIO * max(1.0, own or min(self.floor, 4.0))
+        # a word that is not frequent itself has to be as many times as frequent as the form at hand
+        rarely = max(need, MISREAD_RATIO * self.count(word))
         if len(word) == 2:
             need = max(need, 200.0)
         best, top, level, done = None, need - 1e-9, [word], {word}
@@ -185,22 +195,75 @@ class Words:
                         if x not in done:
                             done.add(x)
                             step.append(x)
-                            n = self.counts.get(x, 0)
-                            if n > top and len(x) > 1 and not any(c.isdigit() for c in x):
+                            n = self.count(x)
+                            if n > top and (n >= rarely or x in self.counts) and len(x) > 1 and not any(c.isdigit() for c in x):
                                 best, top = x, n
                         at = w.find(seen, at + 1)
             if best is not None:
                 return best
-            level, top = step, 4 * need
+            level, top, rarely = step, 4 * need, 4 * rarely
             if own > 200:
                 break
         return None
 
 
+def misread_forms(word: str, depth: int) -> set[str]:
+    """What ``word`` can be recognised as with up to ``depth`` confusions: every form for which ``Words.printed`` tries it."""
+    done, level = {word}, {word}
+    for _ in range(depth):
+        step = set()
+        for w in level:
+            for seen, true in CONFUSIONS:
+                at = w.find(true)
+                while at >= 0:
+                    step.add(w[:at] + seen + w[at + len(true) :])
+                    at = w.find(true, at + 1)
+        level = step - done
+        done |= level
+    return done - {word}
+
+
 def _strip(token: str) -> str:
     return token.strip(STRIP)
 
 
+def _outcomes(word: str) -> list[str]:
+    """A word with ``EITHER`` in it, once with and once without each hyphen."""
+    out = [""]
+    for i, part in enumerate(word.split(EITHER)):
+        out = [x + sign + part for x in out for sign in (("", "-") if i else ("",))]
+    return out
+
+
+def asked(text: str, words: Words) -> set[str]:
+    """The forms whose counts ``mend`` may ask for and that are not at hand, whatever it decides on the way."""
+    forms: set[str] = set()
+
+    def join(m: re.Match) -> str:
+        for left in _outcomes(_strip(m[1]).lower()):
+            for right in _outcomes(_strip(m[4]).lower()):
+                forms.update((f"{left}-{right}", left + right))
+                if "-" in right:
+                    head = re.split(r"[-\s]", right, maxsplit=1)[0]
+                    forms.update((f"{left}-{head}", left + head))
+        return m[1] + EITHER + m[4]
+
+    for _ in range(2):
+        if ("-" in text or "‐" in text or "¬" in text or "\xad" in text) and _MAY_BREAK.search(text):
+            text = _BREAK.sub(join, text)
+    for t in text.split():
+        if t in words.clean:
+            continue
+        for low in _outcomes(_strip(t).lower()):
+            if low in words.counts:
+                continue
+            forms.add(low)
+            if "-" in low:
+                forms.add(low.replace("-", ""))
+                forms.update(low.split("-"))
+    return {f for f in forms if f not in words.counts and any(c.isalpha() for c in f)}
+
+
 def mend(text: str, words: Words, from_word: bool, to_word: bool) -> tuple[str, bool, bool]:
     """Body text as one line: mended text, whether a word was divided, whether a word was misread.
 
@@ -239,10 +302,11 @@ def mend(text: str, words: Words, from_word: bool, to_word: bool) -> tuple[str,
             continue
         w = _strip(t)
         low = w.lower()
-        if "-" in low and not words.count(low) and low.replace("-", "") != low:
+        if "-" in low and low not in words.counts and low.replace("-", "") != low:
             whole = low.replace("-", "")
             # the line end is lost, the hyphen stayed
-            if words.count(whole) >= 5 and low.count("-") == 1 and not any(words.count(p) > words.count(whole) for p in low.split("-")):
+            n = words.count(whole)
+            if n >= 5 and (whole in words.counts or n >= MISREAD_RATIO * words.count(low)) and low.count("-") == 1 and not any(words.count(p) > n for p in low.split("-")):
                 hyphen = True
                 tokens[i] = t.replace("-", "")
                 continue
@@ -330,14 +394,16 @@ OUT = pa.schema(
     [
         ("doc_id", pa.string()), ("blk", pa.int32()), ("source_index", pa.int32()), ("page_idx", pa.int32()), ("role", pa.string()),
         ("defects", pa.list_(pa.string())), ("text", pa.string()), ("pending", pa.bool_()), ("para", pa.int32()), ("open_end", pa.bool_()),
+        ("ask", pa.list_(pa.string())), ("from_word", pa.bool_()), ("to_word", pa.bool_()),
     ]
 )
-OUT_DDL = "doc_id string, blk int, source_index int, page_idx int, role string, defects array<string>, text string, pending boolean, para int, open_end boolean"
+OUT_DDL = "doc_id string, blk int, source_index int, page_idx int, role string, defects array<string>, text string, pending boolean, para int, open_end boolean, ask array<string>, from_word boolean, to_word boolean"
 
 
 def read_block(doc: str, blk: int, rows: list[tuple], page: Page, words: Words) -> Iterator[tuple]:
     """The elements of one block in reading order; the last row is the state at the block's end.
 
+    A text that asks for forms that are not at hand comes as it is, with these forms in ``ask``.
     Rows: source_index, page_idx, type, text, level, bbox.
     """
     at = 0
@@ -372,12 +438,12 @@ def read_block(doc: str, blk: int, rows: list[tuple], page: Page, words: Words)
             seen = {label for _, label in own}
             if seen <= {RUNNING, NUMBER}:
                 role = "page_number" if seen == {NUMBER} else "running"
-                yield doc, blk, index, page_idx, role, [role], None, False, None, None
+                yield doc, blk, index, page_idx, role, [role], None, False, None, None, None, None, None
                 continue
             if BREAK in seen and BODY not in seen:
                 if level is not None:
                     open_, from_word = False, False
-                yield doc, blk, index, page_idx, "heading" if level is not None else "break", [], " ".join(text.split()), False, None, None
+                yield doc, blk, index, page_idx, "heading" if level is not None else "break", [], " ".join(text.split()), False, None, None, None, None, None
                 continue
             defects = []
             body = [x for x, label in own if label in (BODY, BREAK)]
@@ -406,7 +472,9 @@ def read_block(doc: str, blk: int, rows: list[tuple], page: Page, words: Words)
             else:
                 goes_on = False
             first = flat.lstrip()[:1]
-            clean, hyphen, misread = mend(flat, words, (from_word and goes_on is True) or (goes_on is None and first.islower()), to_word)
+            inside = (from_word and goes_on is True) or (goes_on is None and first.islower())
+            ask = sorted(asked(flat, words))
+            clean, hyphen, misread = (flat, False, False) if ask else mend(flat, words, inside, to_word)
             if hyphen:
                 defects.append("hyphen")
             if misread:
@@ -417,14 +485,14 @@ def read_block(doc: str, blk: int, rows: list[tuple], page: Page, words: Words)
                 pending, para = True, index
             else:
                 pending, para = False, index
-            yield doc, blk, index, page_idx, "body", sorted(set(defects)), clean, pending, para, None
+            yield doc, blk, index, page_idx, "body", sorted(set(defects)), clean, pending, para, None, ask or None, inside, to_word
             if not (listed and open_):
                 last = tail[-16:]
                 open_ = not _CLOSED.search(last) or bool(_SEEMING.search(last))
                 from_word = to_word
             pending = pending and open_ is not False
         at = end
-    yield doc, blk, None, None, "block", [], None, pending, para, open_
+    yield doc, blk, None, None, "block", [], None, pending, para, open_, None, None, None
 
 
 def _zone(box: Column) -> Column:
@@ -433,22 +501,52 @@ def _zone(box: Column) -> Column:
     return F.when(ok & (F.try_element_at(box, F.lit(4)) * scale <= 60), "top").when(ok & (F.try_element_at(box, F.lit(2)) * scale >= 930), "bottom")
 
 
-def vocabulary(elements: DataFrame) -> tuple[dict[str, int], float]:
-    """Counts of the frequent words over all texts, words divided at line ends joined; and the least count.
+def vocabulary(elements: DataFrame) -> tuple[DataFrame, dict[str, int], float]:
+    """Counts of all words over all texts, the frequent ones of them at hand, and the least count of these.
 
-    Their number is bounded by 1/VOCABULARY_SHARE, so they fit in one table.
+    The number of frequent words is bounded by 1/VOCABULARY_SHARE, so they fit in one
+    table. A word divided at a line end counts neither joined nor with its hyphen, as
+    the counts are to tell which of the two it is.
     """
     divided = F.col("text").rlike(r"[-‐¬\x{AD}]\s")
-    joined = F.when(divided, F.regexp_replace("text", r"(?<=\p{L})[-‐¬\x{AD}]\s+(?=\p{L})", "")).otherwise(F.col("text"))
-    tokens = elements.filter("text is not null").select(F.explode(F.split(joined, r"[\s\x{A0}]+")).alias("w"))
+    marked = F.when(divided, F.regexp_replace("text", r"(?<=\p{L})[-‐¬\x{AD}]\s+(?=\p{L})", EITHER)).otherwise(F.col("text"))
+    tokens = elements.filter("text is not null").select(F.explode(F.split(marked, r"[\s\x{A0}]+")).alias("w"))
     # count the tokens as they stand, then trim and fold each distinct one
-    raw = tokens.groupBy("w").agg(F.count("*").alias("n"))
-    words = raw.select(F.lower(F.btrim("w", F.lit(STRIP))).alias("w"), "n").filter(r"length(w) between 1 and 64 and w rlike '\\p{L}'")
-    counts = words.groupBy("w").agg(F.sum("n").alias("n"))
-    counts = checkpoint(counts.filter("n > 1"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    raw = tokens.groupBy("w").agg(F.count("*").alias("n")).filter(~F.contains("w", F.lit(EITHER)))
+    words = raw.select(F.lower(F.btrim("w", F.lit(STRIP))).alias("w"), "n").filter(r"length(w) > 0 and w rlike '\\p{L}'")
+    counts = checkpoint(words.groupBy("w").agg(F.sum("n").alias("n")))
+    total = counts.filter("n > 1").agg(F.sum("n")).first()[0] or 0
     floor = max(2.0, VOCABULARY_SHARE * total)
-    return {r.w: r.n for r in counts.filter(F.col("n") >= floor).toLocalIterator()}, floor
+    return counts, {r.w: r.n for r in counts.filter(F.col("n") >= floor).toLocalIterator()}, floor
+
+
+def rare_words(counts: DataFrame, floor: float) -> DataFrame:
+    """What a form may ask for among the words that are not frequent: form, word and its count.
+
+    A form asks for itself and for the words that it can be a misread form of. The least
+    counts are those that ``Words.printed`` demands of one and of two confusions.
+    """
+    least = MISREAD_RATIO * max(1.0, min(floor, 4.0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64()))], names=["form", "word", "n"])
+            out.clear()
+            return batch
+
+        for b in batches:
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                out.append((w, w, n))
+                if n >= least and 2 <= len(w) <= 44 and not _CJK.search(w) and not any(c.isdigit() for c in w):
+                    out.extend((x, w, n) for x in misread_forms(w, 2 if n >= 4 * least else 1))
+                if len(out) > 20_000:
+                    yield flush()
+        if out:
+            yield flush()
+
+    return counts.filter(F.col("n") < floor).select("w", "n").mapInArrow(run, "form string, word string, n long")
 
 
 def running_lines(elements: DataFrame) -> DataFrame:
@@ -473,6 +571,29 @@ def running_lines(elements: DataFrame) -> DataFrame:
     return blocks.join(lines, ["doc_id", "blk"], "left").join(offset, "doc_id", "left")
 
 
+def mended(read: DataFrame, counts: DataFrame, table, floor: float) -> DataFrame:
+    """The elements that ``read_block`` gives, those with forms to ask for mended with their counts."""
+    waiting = read.filter("ask is not null")
+    asks = waiting.select("doc_id", "source_index", F.explode("ask").alias("form"))
+    found_ = asks.join(rare_words(counts, floor), "form").groupBy("doc_id", "source_index").agg(F.collect_set(F.struct("word", "n")).alias("rare"))
+    names = [f.name for f in OUT]
+    answered = waiting.join(found_, ["doc_id", "source_index"], "left").select(*names, "rare")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(*table.value)
+        for b in batches:
+            texts, defects = [], []
+            for text, old, inside, to_word, rare in zip(*[b.column(c).to_pylist() for c in ("text", "defects", "from_word", "to_word", "rare")]):
+                words.rare = {r["word"]: r["n"] for r in rare or ()}
+                clean, hyphen, misread = mend(text, words, inside, to_word)
+                texts.append(clean)
+                defects.append(sorted({*old, *(["hyphen"] if hyphen else []), *(["misread"] if misread else [])}))
+            new = {"text": pa.array(texts, pa.string()), "defects": pa.array(defects, pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in names], names=names)
+
+    return read.filter("ask is null").unionByName(answered.mapInArrow(run, OUT_DDL))
+
+
 def label_elements(elements: DataFrame) -> DataFrame:
     """Each element with text once: doc_id, source_index, page_idx, role, defects, text (mended), para.
 
@@ -484,8 +605,8 @@ def label_elements(elements: DataFrame) -> DataFrame:
     spark = elements.sparkSession
     base = elements.select("doc_id", "source_index", "page_idx", "type", "text", F.col("text_level").cast("int").alias("level"), "bbox", "received_at").filter("doc_id is not null and source_index is not null")
     with_text = base.filter("text is not null")
-    counts, floor = vocabulary(with_text)
-    table = spark.sparkContext.broadcast((counts, floor))
+    counts, frequent, floor = vocabulary(with_text)
+    table = spark.sparkContext.broadcast((frequent, floor))
     blk = F.floor(F.col("source_index") / BLOCK).cast("int")
     known = running_lines(base).select(
         "doc_id", "blk", F.lit(-1).alias("source_index"), F.col("offset").alias("page_idx"),
@@ -528,7 +649,7 @@ def label_elements(elements: DataFrame) -> DataFrame:
     ends = read.filter("role = 'block'").select("doc_id", "blk", "open_end", "para")
     earlier = Window.partitionBy("doc_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     begins = ends.select("doc_id", "blk", F.last("open_end", True).over(earlier).alias("opened"), F.last("para", True).over(earlier).alias("opened_para")).filter("opened")
-    body = read.filter("role <> 'block'")
+    body = mended(read.filter("role <> 'block'"), counts, table, floor)
     settled = body.filter("not pending").select("doc_id", "source_index", "page_idx", "role", "defects", "text", "para")
     waiting = body.filter("pending").join(begins, ["doc_id", "blk"], "left")
     joined = F.coalesce("opened", F.lit(False))

@@ -87,3 +87,47 @@ def test_words():
     w = S.Words({"before": 1000, "kernel": 500, "mixture": 300, "bcfore": 3, "form": 400, "from": 900}, 2.0)
     assert w.printed("bcfore") == "before" and w.printed("kemel") == "kernel" and w.printed("rnixturc") == "mixture"
     assert w.printed("before") is None and w.printed("form") is None and w.printed("zzzz") is None
+
+
+def test_words_below_the_floor(spark, monkeypatch):
+    monkeypatch.setattr(S, "VOCABULARY_SHARE", 0.02)  # only words with a fiftieth of all words are at hand
+    few = "A zircon-bearing tuffite held. The pyrolite changed. "
+    rows = [
+        *[(0, "text", few + BODY * 3, None, MIDDLE)] * 40,
+        (1, "text", "The tutfite was measured.", None, MIDDLE),
+        (1, "text", "A zircon-\nbearing membrane changed.", None, MIDDLE),
+        (1, "text", "A zircon-\nbearing parameter changed.", None, MIDDLE),
+        (1, "text", "The pyro-\nlite changed.", None, MIDDLE),
+        (1, "text", "The pyro-lite was measured.", None, MIDDLE),
+        (1, "text", "The membrane was\nmea-\nsured again.", None, MIDDLE),
+    ]
+    labelled = S.label_elements(frame(spark, rows)).filter("page_idx = 1").orderBy("source_index").collect()
+    assert [(r.defects, r.text) for r in labelled] == [
+        (["misread"], "The tuffite was measured."), ([], "A zircon-bearing membrane changed."), ([], "A zircon-bearing parameter changed."),
+        (["hyphen"], "The pyrolite changed."), (["hyphen"], "The pyrolite was measured."), (["hyphen"], "The membrane was measured again."),
+    ]
+
+
+def test_asked_forms_cover_what_mend_asks():
+    """Whatever the counts are, mending asks only for forms at hand or listed before."""
+    rng = random.Random(5)
+    pieces = ["mea-\nsured", "self-\nassem-\nbled", "a-b", "x-y-\nz", "co¬ operate", "so­ft", "Wall,", "(re-\nheat-treated)", "12-\nfold", "kemel"]
+
+    class Asking(S.Words):
+        def count(self, word):
+            assert word in allowed or not any(c.isalpha() for c in word), word
+            return rng.choice((0, 0, 1, 9))
+
+        def printed(self, word):
+            assert word in allowed or not any(c.isalpha() for c in word), word
+            return None
+
+    for _ in range(300):
+        text = " ".join(rng.choices(pieces, k=4))
+        allowed = S.asked(text, S.Words({}, 2.0))
+        S.mend(text, Asking({}, 2.0), False, False)
+    words = S.Words({}, 2.0)
+    for true in ("kernel", "mixture", "clinic"):
+        for form in S.misread_forms(true, 2):
+            words.rare, words.seen = {true: 10**6}, {}
+            assert len(form) < 3 or words.printed(form) == true
