@@ -68,7 +68,12 @@ _SEEMING = re.compile(r"\b(?:Fig|Figs|Abb|Tab|Eq|No|Vol|Ref|vs|ca|cf)\.\s*$")
 _MAY_BREAK = re.compile(r"[^\W\d_](?:[-‐]\s|[¬­])")
 _BREAK = re.compile(r"(?<!\S)(\S*[^\W\d_])([-‐¬­])(\s+|(?<=[¬­])\s*)(?=[^\W\d_])(\S+)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
-_INSIDE_NUMBER = re.compile(r"(?<=\S)\s+[-–—] (\w{1,6}) [-–—]\s+(?=\S)")
+#: A page number that is set off, inside a text whose line ends are lost.
+_INSIDE_NUMBER = re.compile(r"(?<=\S)\s+([-–—]\s*\w{1,10}\s*[-–—]|\[\s*\w{1,10}\s*\]|[Pp]age\s+\w{1,10}|\|\s*\w{1,10}|\w{1,10}\s*\|)\.?(?=\s+\S)")
+_CITED = re.compile(r"\[\s*\d[\d\s,;–-]*\]")
+_TOKEN = re.compile(r"\S+")
+#: Ends of a key before a number that is not that of the page.
+_VOLUME = re.compile(r"(?:,|\b(?:nos?|vol|nr|bd|issue|heft|part)\.?)$")
 
 
 def page_number(line: str) -> tuple[int | None, bool] | None:
@@ -118,6 +123,44 @@ def same_line(key: str, keys: dict[int, list[str]]) -> bool:
     return False
 
 
+def find_running(text: str, page: Page, expected: int | None) -> tuple[int, int] | None:
+    """Where a running line, with its page number, stands inside a text whose line ends are lost.
+
+    Stretches of words are compared as whole lines are, with digits folded and a few
+    characters misread. As so few characters differ, one word of the line is as printed
+    or keeps its beginning or end, and only stretches around such a word are compared.
+    A line of less than three words or 15 characters may be ordinary words; it counts
+    if it is written as a heading is (a single word: in capitals), beside the page's
+    number, or, in a script without capitals, set off by blanks.
+    """
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    words = [re.sub(r"\d+", "9", text[a:b].lower()) for a, b in spans]
+    tried = set()
+    for j, w in enumerate(words):
+        for anchor in (w, w[:3] + "*", "*" + w[-3:]):
+            for key, size, at in page.anchors.get(anchor, ()):
+                for i in (j - at, j - at - 1, j - at + 1):
+                    for n in (size, size - 1, size + 1):
+                        if i < 0 or n < 1 or i + n > len(spans) or (i, n, key) in tried:
+                            continue
+                        tried.add((i, n, key))
+                        a, b = spans[i][0], spans[i + n - 1][1]
+                        line = " ".join(words[i : i + n])
+                        if abs(len(line) - len(key)) > max(1, len(key) // 12) or b - a >= len(text) * 0.8 or not same_line(line, {len(key): [key]}):
+                            continue
+                        if _VOLUME.search(key) and i + n < len(spans) and words[i + n].strip(STRIP) == "9":
+                            n += 1
+                        number = [k for k in (i - 1, i + n) if 0 <= k < len(spans) and expected is not None and text[slice(*spans[k])] == str(expected)]
+                        if len(key) < 15 or key.count(" ") < 2:
+                            own = text[a:b].split()
+                            heading = all(x[:1].isupper() for x in own if len(x) > 3) and (len(own) > 1 or (own[0].isupper() and len(own[0]) > 5))
+                            if not number and not (_CJK.search(key) or heading and text[a:b].lower() != text[a:b]):
+                                continue
+                        where = [i, i + n - 1, *number]
+                        return spans[min(where)][0], spans[max(where)][1]
+    return None
+
+
 def viterbi(scores: list[tuple[float, float, float, float]]) -> list[int]:
     """The sequence of labels with the highest sum of weights.
 
@@ -333,7 +376,13 @@ class Page:
                 self.keys.setdefault(len(k), []).append(k)
         #: Lengths that a line can have that is one of the running lines, with its number.
         self.shortest, self.longest = min(self.keys, default=0) * 0.9 - 1, max(self.keys, default=-1) * 1.1 + 24
-        self.long = [k for ks in self.keys.values() for k in ks if len(k) >= 15 and k.count(" ") >= 2]
+        #: Words of the running lines, whole and by their ends: the line, its number of words and the word's place.
+        self.anchors: dict[str, list[tuple[str, int, int]]] = {}
+        for k in (k for ks in self.keys.values() for k in ks):
+            parts = k.split(" ")
+            for i, w in enumerate(parts):
+                for anchor in {w, *((w[:3] + "*", "*" + w[-3:]) if len(w) > 5 else ())}:
+                    self.anchors.setdefault(anchor, []).append((k, len(parts), i))
 
     def scores(self, line: str, zone: str, alone: bool, kind: str, level: bool, page: int | None, inner: bool = False) -> tuple[float, float, float, float]:
         """Weights of the four labels for one line of an element.
@@ -450,18 +499,17 @@ def read_block(doc: str, blk: int, rows: list[tuple], page: Page, words: Words)
             if len(body) < len(own):
                 defects.append("inline")
             flat = "\n".join(body)
-            if page.long and len(own) == 1 and len(flat) > 40:
-                low = flat.lower()
-                for s in page.long:
-                    if s in low and len(s) < len(low) * 0.8:
+            expected = page_idx + page.offset if page_idx is not None and page.offset is not None else None
+            if page.anchors and len(own) == 1 and len(flat) > 40 and (at_line := find_running(flat, page, expected)):
+                defects.append("inline")
+                flat = flat[: at_line[0]] + flat[at_line[1] :].lstrip()
+            if expected is not None and (len(own) == 1 or " - " in flat or " – " in flat or " — " in flat):
+                for m in _INSIDE_NUMBER.finditer(flat):
+                    # a number in brackets is cited where there are others
+                    if (got := page_number(m[1])) and got[0] == expected and (m[1][0] != "[" or len(_CITED.findall(flat)) == 1):
                         defects.append("inline")
-                        i = low.index(s)
-                        flat = flat[:i] + flat[i + len(s) :]
+                        flat = flat[: m.start()] + " " + flat[m.end() :].lstrip()
                         break
-            m = _INSIDE_NUMBER.search(flat) if " - " in flat or " – " in flat or " — " in flat else None
-            if m and page_idx is not None and page.offset is not None and (got := page_number(f"- {m[1]} -")) and got[0] == page_idx + page.offset:
-                defects.append("inline")
-                flat = flat[: m.start()] + " " + flat[m.end() :]
             tail = flat.rstrip()
             to_word = tail[-1:] in HYPHENS
             listed = bool(_LIST.match(flat))

@@ -131,3 +131,24 @@ def test_asked_forms_cover_what_mend_asks():
         for form in S.misread_forms(true, 2):
             words.rare, words.seen = {true: 10**6}, {}
             assert len(form) < 3 or words.printed(form) == true
+
+
+def test_running_lines_without_line_ends(spark):
+    heads = ["Archive for Wall Studies, Vol. 12, No. 12", "WALLPAPERS", "Wall Notes", "墙体结构研究学报"]
+    texts = [
+        ("The membrane was measured Archive for Wall Studies, Vol. 14, No. 15 before the kernel changed.", "The membrane was measured before the kernel changed."),
+        ("The membrane was measured Archlve for WaIl Studies, Vol. 14, No. 15 before the kernel changed.", "The membrane was measured before the kernel changed."),
+        ("The membrane was measured again WALLPAPERS before the kernel changed.", "The membrane was measured again before the kernel changed."),
+        ("The membrane was measured again Wall Notes 2 before the kernel changed.", "The membrane was measured again before the kernel changed."),
+        ("我们再次测量了这种薄膜的参数并且比较了所有样品的结果 墙体结构研究学报 然后继续测量其余的样品直到结果稳定为止。", "我们再次测量了这种薄膜的参数并且比较了所有样品的结果 然后继续测量其余的样品直到结果稳定为止。"),
+        ("The membrane was measured again [2] before the kernel changed.", "The membrane was measured again before the kernel changed."),
+        ("The membrane was measured again Page 2 before the kernel changed.", "The membrane was measured again before the kernel changed."),
+        ("The membrane was measured again by wall notes before [2] and [3] changed.", None),
+        ("The membrane was measured again at 2 places before the kernel [7] changed.", None),
+    ]
+    rows = [(p, "text", h, None, TOP) for p in range(6) for h in heads] + [(p, "text", str(p + 1), None, FOOT) for p in range(6)]
+    n = len(rows)
+    rows += [(1, "text", t, None, MIDDLE) for t, _ in texts]
+    got = {r.source_index: r for r in S.label_elements(frame(spark, rows)).filter(f"source_index >= {n}").collect()}
+    for i, (text, want) in enumerate(texts):
+        assert got[n + i].text == (want or text) and ("inline" in got[n + i].defects) == (want is not None), got[n + i]
