@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.runtime import checkpoint
+from pagemill.runtime import checkpoint, latest
 
 TOKENIZERS = os.environ.get("PAGEMILL_TOKENIZERS", "/opt/tokenizers")
 #: Pre-tokens of the byte-level tokenizers: contractions, words, numbers, other signs, white space (fixed value).
@@ -80,14 +80,32 @@ def encode_words(counts: DataFrame, name: str, folder: str | None = None) -> Dat
     return counts.select("word", "n").mapInArrow(run, "word string, n long, ids array<int>")
 
 
+def one_row(df: DataFrame, value: str) -> DataFrame:
+    """``key`` and ``value`` once for each key: of rows delivered more than once the last ``received_at``.
+
+    Without that column, or where it is equal, a hash of the row decides. Only the rows
+    of repeated keys are shuffled. Rows with a null key are left out.
+    """
+    df = df.filter("key is not null")
+    repeated = checkpoint(df.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    if repeated.isEmpty():
+        return df.select("key", value)
+    picked = latest(df.join(repeated, "key", "left_semi"), ["key"])
+    return df.join(repeated, "key", "left_anti").unionByName(picked).select("key", value)
+
+
+def _received(df: DataFrame) -> Column:
+    return (F.col("received_at") if "received_at" in df.columns else F.lit(None).cast("timestamp")).alias("received_at")
+
+
 def encode(documents: DataFrame, name: str = "byte_bpe_50k", key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """``key`` and ``ids`` of each document, without special tokens.
 
     Strings of special tokens are ordinary text. An empty or null text has an empty
-    list. Rows with a null key are left out; ``key`` is taken as unique. Very long
-    texts are encoded whole.
+    list. Rows with a null key are left out; of a key delivered more than once the last
+    ``received_at`` counts (see ``one_row``). Very long texts are encoded whole.
     """
-    docs = documents.select(F.col(key).alias("key"), F.col(text).alias("t")).filter("key is not null")
+    docs = one_row(documents.select(F.col(key).alias("key"), F.col(text).alias("t"), _received(documents)), "t")
     words = docs.filter("length(t) > 0").select(F.explode(pretokens(F.col("t"))).alias("word"))
     # each distinct word is encoded once; what is written is their number, not that of the tokens
     coded = checkpoint(encode_words(words.groupBy("word").agg(F.count("*").alias("n")), name, folder))
@@ -144,12 +162,13 @@ def token_table(spark, name: str = "byte_bpe_50k", folder: str | None = None) ->
 
 
 def decode(encoded: DataFrame, name: str = "byte_bpe_50k", key: str = "doc_id", folder: str | None = None) -> DataFrame:
-    """``key`` and the text of lists of ids, by a join with the token-byte table; an empty list gives the empty text."""
+    """``key`` and the text of lists of ids, by a join with the token-byte table; an empty list gives the empty text; repeated keys as in ``encode``."""
     table = token_table(encoded.sparkSession, name, folder)
-    at = encoded.select(F.col(key).alias("key"), F.posexplode("ids").alias("pos", "id"))
+    encoded = one_row(encoded.select(F.col(key).alias("key"), "ids", _received(encoded)), "ids")
+    at = encoded.select("key", F.posexplode("ids").alias("pos", "id"))
     parts = at.join(F.broadcast(table), "id").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", F.hex("bytes").alias("h")))).alias("parts"))
     text = parts.select("key", F.decode(F.unhex(F.concat_ws("", F.transform("parts", lambda p: p["h"]))), "UTF-8").alias("text"))
-    empty = encoded.filter("size(ids) = 0").select(F.col(key).alias("key"), F.lit("").alias("text"))
+    empty = encoded.filter("size(ids) = 0").select("key", F.lit("").alias("text"))
     return text.unionByName(empty).select(F.col("key").alias(key), "text")
 
 

@@ -29,6 +29,19 @@ def test_rare_words_are_joined(spark, monkeypatch):
     assert {r.doc_id: list(r.ids) for r in K.encode(df).collect()} == {i: enc.encode_ordinary(t) if t else [] for i, t in enumerate(TEXTS)}
 
 
+def test_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(K, "FREQUENT", 0.9)  # every word is rare
+    rows = [(1, "old words here", "2025-01-01"), (1, "the newer wall text", "2025-02-01"), (1, "the newer wall text", "2025-02-01"), (1, "no time", None), (2, "x y", None), (3, "", "2025-01-01"), (3, None, "2024-01-01")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at string").selectExpr("doc_id", "text", "cast(at as timestamp) AS received_at")
+    enc = K.text_encoder("byte_bpe_50k")
+    want = [(1, enc.encode_ordinary("the newer wall text")), (2, enc.encode_ordinary("x y")), (3, [])]
+    assert sorted((r.doc_id, list(r.ids)) for r in K.encode(df).collect()) == want
+    untimed = K.encode(df.drop("received_at").union(df.drop("received_at")))
+    assert untimed.count() == 3
+    ids = K.encode(df)
+    assert sorted((r.doc_id, r.text) for r in K.decode(ids.union(ids)).collect()) == [(1, "the newer wall text"), (2, "x y"), (3, "")]
+
+
 def test_empty_table_and_string_keys(spark):
     df = spark.createDataFrame([("k", "a b"), (None, "x")], "doc_id string, text string")
     assert [r.doc_id for r in K.encode(df).collect()] == ["k"]
