@@ -1,4 +1,4 @@
-"""Queries over inline rows: identifiers, URLs, paths and sources."""
+"""Queries over inline rows (identifiers, URLs, paths and sources), and over the paths and captions of the tables."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pagemill.functions import text as X
 from pagemill.operators import identity as I
 from pagemill.operators import repairs as R
 from pagemill.plans.registry import query, quoted
+from pagemill.runtime import table
 
 ASKED = (
     "PMID: 12345678", "pmcid: pmc1234567", "DOI: 10.1038/S41586-024-00001-0.", "https://doi.org/10.1000/ABC/def#section", "https://example.org/papers/1?view=full#results",
@@ -88,6 +89,20 @@ def path_checks(spark: SparkSession, d: str) -> DataFrame:
     return df.select("path", Q.is_safe_relative(F.col("path")).alias("relative"), Q.is_safe_package_path(F.col("path")).alias("packaged"))
 
 
+@query(
+    f"""WITH p AS (SELECT unnest(outputs).path AS path FROM manifests UNION SELECT img_path FROM paper_content_list UNION SELECT path FROM visual_repair_files)
+    SELECT path, length(path) > 0 AND NOT regexp_matches(path, '\\\\|^[a-zA-Z]:|^/') AND len(list_filter(string_split(path, '/'), lambda s: s IN ('', '.', '..'))) = 0 AS relative,
+    length(path) > 0 AND path = trim(path) AND NOT regexp_matches(path, '\\\\|^/') AND len(string_split(path, '/')) <= 24
+      AND len(list_filter(string_split(path, '/'), lambda s: s IN ('', '.', '..') OR length(s) > 255 OR regexp_matches(s, {quoted(P.BAD_SEGMENT)}))) = 0 AS packaged FROM p WHERE path IS NOT NULL"""
+)
+def stored_path_checks(spark: SparkSession, d: str) -> DataFrame:
+    """PRD-01, PRD-02: which paths of the tables are safe, each distinct one once."""
+    paths = table(spark, d, "manifests").select(F.explode("outputs.path").alias("path"))
+    paths = paths.union(table(spark, d, "paper_content_list").select("img_path")).union(table(spark, d, "visual_repair_files").select("path"))
+    df = paths.filter("path is not null").distinct()
+    return df.select("path", Q.is_safe_relative(F.col("path")).alias("relative"), Q.is_safe_package_path(F.col("path")).alias("packaged"))
+
+
 _S = "paper_id string, source_id string, pos int, provider string, format string, url string, acquisition_route string, priority int, requires_domain_permission boolean, requires_browser_session boolean"
 _SV = _values(SOURCES, "s", ", ".join(x.split()[0] for x in _S.split(", ")))
 _RANK = f"""{_SV}, o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY paper_id, url ORDER BY priority, pos) = 1),
@@ -175,3 +190,18 @@ _CASES = " ".join(f"WHEN regexp_matches({_P}, {quoted(a + _N)}) THEN {quoted(b)}
 def explicit_labels(spark: SparkSession, d: str) -> DataFrame:
     """STR-22, STR-24: labels that captions state."""
     return spark.createDataFrame([(x,) for x in CAPTIONS], "t string").select("t", X.explicit_label(F.col("t")).alias("label"))
+
+
+#: As the reference does, a Chinese label is one of a table wherever the caption names one.
+_STATED = _CASES.replace(quoted("图 "), f"CASE WHEN contains({_P}, '表') THEN '表 ' ELSE '图 ' END")
+
+
+@query(
+    f"""WITH c AS (SELECT unnest(image_caption) AS t FROM paper_content_list UNION SELECT unnest(table_caption) FROM paper_content_list)
+    SELECT t, CASE {_STATED} END AS label FROM c WHERE t IS NOT NULL"""
+)
+def caption_labels(spark: SparkSession, d: str) -> DataFrame:
+    """STR-22, STR-24: labels that the captions of the tables state, each distinct caption once."""
+    rows = table(spark, d, "paper_content_list")
+    captions = rows.select(F.explode("image_caption").alias("t")).union(rows.select(F.explode("table_caption"))).filter("t is not null").distinct()
+    return captions.select("t", X.explicit_label(F.col("t")).alias("label"))

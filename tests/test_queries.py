@@ -47,3 +47,10 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() >= 0
+
+
+def test_labels_and_paths_come_from_the_tables(spark, duck):
+    captions = {x for (x,) in duck.execute("SELECT unnest(image_caption) FROM paper_content_list UNION SELECT unnest(table_caption) FROM paper_content_list").fetchall() if x is not None}
+    assert {r.t for r in QUERIES["caption_labels"](spark, DATA).collect()} == captions and captions
+    paths = {x for (x,) in duck.execute("SELECT img_path FROM paper_content_list WHERE img_path IS NOT NULL").fetchall()}
+    assert paths and paths <= {r.path for r in QUERIES["stored_path_checks"](spark, DATA).collect()}
