@@ -42,7 +42,8 @@ def latest(df: DataFrame, keys: Iterable[str], order: str = "received_at") -> Da
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
     row = F.struct(*[F.col(f"`{c}`") for c in rest])
-    rank = F.struct(F.col(f"`{order}`"), F.xxhash64(F.to_json(row)))
+    # a null is skipped by the hash, so it counts by its place
+    rank = F.struct(F.col(f"`{order}`"), F.xxhash64(*[x for c in rest for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]))
     picked = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.max_by(row, rank).alias("__row"))
     return picked.select(*[F.col(f"`{k}`") for k in keys], *[F.col("__row").getField(c).alias(c) for c in rest]).select(
         *[F.col(f"`{c}`") for c in df.columns]
