@@ -43,5 +43,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
     """All files in the wanted schema."""
-    fields = table(spark, d, "visual_repair_fields")
-    return drift.consistent_table(drift.route(table(spark, d, "visual_repair_files"), fields), fields)
+    return drift.consistent_table(table(spark, d, "visual_repair_files"), table(spark, d, "visual_repair_fields"))
+
+
+@query()
+def p4_registry(spark: SparkSession, d: str) -> DataFrame:
+    """Schema fingerprints with their files, times and migration steps."""
+    return drift.schema_registry(table(spark, d, "visual_repair_files"), table(spark, d, "visual_repair_fields"))
