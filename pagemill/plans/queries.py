@@ -18,10 +18,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p3_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """All nodes of the evidence, as the flat tables of their schema paths."""
-    rows = table(spark, d, "review_candidates").dropDuplicates(["candidate_id"])
-    keys = ["doc_id", "candidate_id"]
-    return flatten.path_tables(flatten.dewey_nodes(rows, keys, "evidence"), keys)
+    """All nodes of the three nested columns, as the flat tables of their schema paths."""
+    nodes = flatten.nested_nodes(table(spark, d, "review_candidates"), table(spark, d, "reader_blocks"), table(spark, d, "visual_groups"))
+    return flatten.path_tables(nodes, ["doc_id", "record_id", "source"])
 
 
 @query(
