@@ -6,10 +6,10 @@ components) runs in Python on one row for each page that has several visuals.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -349,82 +349,91 @@ def visual_components(blocks: DataFrame) -> DataFrame:
 # --- captions on the next page -------------------------------------------------------------
 
 
-def _beside(a: list[float] | None, b: list[float] | None) -> bool:
-    if not a or not b:
-        return False
-    high = min(a[3] - a[1], b[3] - b[1])
-    return (
-        abs(a[1] - b[1]) <= 45 and _overlap(a[0], a[2], b[0], b[2]) == 0 and max(a[0], b[0]) - min(a[2], b[2]) <= 80
-        and _overlap(a[1], a[3], b[1], b[3]) >= 0.55 * high and 0.45 <= (b[3] - b[1]) / (a[3] - a[1]) <= 2.2
-    )
+#: Roles at which a search for a caption ends, and roles whose text can be one.
+BARRIERS, TEXTS = ("visual", "table", "equation"), ("text", "title")
+
+
+def _first(blocks: Column, where: Callable[[Column], Column]) -> Column:
+    """The first of the blocks of a page, in reading order, for which a condition holds; null if there is none."""
+    return F.try_element_at(F.filter(blocks, lambda b: F.coalesce(where(b), F.lit(False))), F.lit(1))
+
+
+def _written(b: Column) -> Column:
+    return b["role"].isin(*TEXTS) & (b["chars"] > 0)
+
+
+def _at_top(b: Column) -> Column:
+    return F.coalesce(b["box"][1] <= 320, F.lit(False))
 
 
-def _page_header(b: dict) -> bool:
+def _page_header(b: Column) -> Column:
     x = b["box"]
-    return bool(b["role"] == "title" and 0 < b["chars"] <= 16 and x and x[0] <= 200 and x[1] <= 40 and x[2] - x[0] <= 180 and x[3] <= 65 and not b["key"])
+    return (b["role"] == "title") & b["chars"].between(1, 16) & (x[0] <= 200) & (x[1] <= 40) & (x[2] - x[0] <= 180) & (x[3] <= 65) & b["key"].isNull()
 
 
-def link_caption(key: str, page: list[dict]) -> tuple[str, list[str], list[str]]:
-    """Status, caption blocks and reasons for a figure whose caption is said to be on this page.
+def _decided(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    """The value of the first case that holds."""
+    out = otherwise
+    for holds, value in reversed(cases):
+        out = F.when(holds, value).otherwise(out)
+    return out
 
-    Status: complete, partial, missing or ambiguous.
-    """
-    found: list[dict] = []
-    reason = None
-    for b in page:
-        if b["role"] == "marginalia" or (not found and _page_header(b)):
-            continue
-        if b["role"] in ("visual", "table", "equation"):
-            reason = f"{b['role']}_boundary"
-            break
-        if b["role"] not in ("text", "title") or b["chars"] == 0:
-            continue
-        if not b["box"] or b["box"][1] > 320:
-            reason = "body_band_boundary"
-            break
-        if b["formal"] == key and (not found or _beside(found[0]["box"], b["box"])):
-            found.append(b)
-            if len(found) == 2:
-                reason = "duplicate_formal_caption_anchor"
-                break
-            continue
-        if b["key"]:
-            reason = "different_figure_key" if b["key"] != key else "another_figure_anchor" if found else "nonformal_figure_reference"
-        else:
-            reason = "title_boundary" if b["role"] == "title" else "body_text_boundary"
-        break
-    if len(found) != 1:
-        return ("ambiguous" if found else "missing"), [], [reason] if reason else []
-    anchor = found[0]
-    ids = [anchor["id"]]
-    if anchor["ended"]:
-        return "complete", ids, []
-    for b in page:
-        if b["page_order"] <= anchor["page_order"] or b["role"] == "marginalia":
-            continue
-        if b["role"] in ("visual", "table", "equation"):
-            return "partial", ids, [f"{b['role']}_boundary_before_caption_continuation"]
-        if b["role"] not in ("text", "title"):
-            continue
-        beside = _beside(anchor["box"], b["box"])
-        if b["chars"] == 0:
-            if beside:
-                return "partial", ids, ["empty_adjacent_caption_column"]
-            continue
-        for holds, why in (
-            (b["key"], "new_figure_anchor_in_adjacent_column"),
-            (b["role"] == "title", "title_band_in_adjacent_column"),
-            (not beside, "body_text_boundary_before_caption_continuation"),
-            (not b["goes_on"], "uncertain_adjacent_caption_continuation"),
-        ):
-            if holds:
-                return "partial", ids, [why]
-        ids.append(b["id"])
-        return ("complete", ids, []) if b["ended"] else ("partial", ids, ["unterminated_caption_continuation"])
-    return "partial", ids, ["unterminated_caption_anchor"]
 
+def link_status(key: Column, page: Column) -> Column:
+    """Where the caption of figure ``key`` stands on a page: struct of status, caption_block_ids and reason_codes.
 
-LINKS = "doc_id string, visual_block_id string, source_page_idx int, figure_key string, status string, caption_block_ids array<string>, reason_codes array<string>"
+    ``page``: the page's blocks as an ordered array. Two blocks decide. The *head* is
+    the first block that is a barrier or has text, page headers left out; it is the
+    caption or there is none. The *tail* is the first block behind the head that is
+    a barrier, has text, or is an empty column beside it; it repeats the caption
+    (ambiguous), goes on with it, or leaves it partial. A null page has no caption.
+    """
+    said = lambda status, ids, *codes: F.struct(F.lit(status).alias("status"), ids.alias("caption_block_ids"), F.array(*codes).cast("array<string>").alias("reason_codes"))
+    none = F.array().cast("array<string>")
+    reaches = lambda b: b["role"].isin(*BARRIERS) | _written(b)
+    head = _first(page, lambda b: reaches(b) & ~F.coalesce(_page_header(b), F.lit(False)))
+    barrier = lambda b, ending: F.concat(b["role"], F.lit(ending))
+    is_barrier = lambda b: b["role"].isin(*BARRIERS)
+    named = lambda b: b["key"].isNotNull()
+    no_head = _decided(
+        [
+            (is_barrier(head), barrier(head, "_boundary")),
+            (~_at_top(head), F.lit("body_band_boundary")),
+            (named(head) & (head["key"] != key), F.lit("different_figure_key")),
+            (named(head), F.lit("nonformal_figure_reference")),
+        ],
+        F.when(head["role"] == "title", "title_boundary").otherwise("body_text_boundary"),
+    )
+    behind = F.filter(page, lambda b: b["page_order"] > head["page_order"])
+    beside = lambda b: F.coalesce(G.same_top_band(head["box"], b["box"]), F.lit(False))
+    again = _first(behind, reaches)
+    repeated = F.coalesce(_written(again) & (again["formal"] == key) & _at_top(again) & beside(again), F.lit(False))
+    tail = _first(behind, lambda b: reaches(b) | (b["role"].isin(*TEXTS) & (b["chars"] == 0) & beside(b)))
+    refused = _decided(
+        [
+            (tail.isNull(), F.lit("unterminated_caption_anchor")),
+            (is_barrier(tail), barrier(tail, "_boundary_before_caption_continuation")),
+            (tail["chars"] == 0, F.lit("empty_adjacent_caption_column")),
+            (named(tail), F.lit("new_figure_anchor_in_adjacent_column")),
+            (tail["role"] == "title", F.lit("title_band_in_adjacent_column")),
+            (~beside(tail), F.lit("body_text_boundary_before_caption_continuation")),
+            (~F.coalesce(tail["goes_on"], F.lit(False)), F.lit("uncertain_adjacent_caption_continuation")),
+        ],
+        F.lit(None).cast("string"),
+    )
+    ended = lambda b: F.coalesce(b["ended"], F.lit(False))
+    both = F.array(head["id"], tail["id"])
+    return _decided(
+        [
+            (head.isNull(), said("missing", none)),
+            (~F.coalesce(_written(head) & _at_top(head) & (head["formal"] == key), F.lit(False)), said("missing", none, no_head)),
+            (repeated, said("ambiguous", none, F.lit("duplicate_formal_caption_anchor"))),
+            (ended(head), said("complete", F.array(head["id"]))),
+            (refused.isNotNull(), said("partial", F.array(head["id"]), refused)),
+            (ended(tail), said("complete", both)),
+        ],
+        said("partial", both, F.lit("unterminated_caption_continuation")),
+    )
 
 
 def caption_links(elements: DataFrame) -> DataFrame:
@@ -436,25 +445,15 @@ def caption_links(elements: DataFrame) -> DataFrame:
     """
     blocks = described_blocks(elements)
     saying = blocks.filter((F.col("role") == "visual") & F.col("asset_path").isNotNull() & F.col("box").isNotNull() & (F.size("next_keys") > 0))
-    saying = saying.select("doc_id", F.col("id").alias("visual_block_id"), F.col("page_idx").alias("source_page_idx"), (F.col("page_idx") + 1).alias("page_idx"), "figure_keys", "next_keys")
+    key = F.when((F.size("figure_keys") == 1) & (F.col("figure_keys") == F.col("next_keys")), F.col("figure_keys")[0])
+    saying = saying.select("doc_id", F.col("id").alias("visual_block_id"), F.col("page_idx").alias("source_page_idx"), (F.col("page_idx") + 1).alias("page_idx"), key.alias("figure_key"))
     cols = ["page_order", "id", "role", "box", "chars", "key", "formal", "ended", "goes_on"]
     wanted = saying.select("doc_id", "page_idx").distinct()
     pages = blocks.join(wanted, ["doc_id", "page_idx"], "left_semi").groupBy("doc_id", "page_idx").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("blocks"))
-    joined = saying.join(pages, ["doc_id", "page_idx"], "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                one = len(r["figure_keys"]) == 1 and r["figure_keys"] == r["next_keys"]
-                key = r["figure_keys"][0] if one else None
-                status, ids, why = ("unclear", [], []) if not one else link_caption(key, r["blocks"]) if r["blocks"] else ("missing", [], [])
-                rows.append((r["doc_id"], r["visual_block_id"], r["source_page_idx"], key, status, ids, why))
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
-            cols_ = list(zip(*rows)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols_, kinds)], names=[x.split()[0] for x in LINKS.split(", ")])
-
-    return joined.mapInArrow(run, LINKS)
+    link = link_status(F.col("figure_key"), F.col("blocks"))
+    none = F.array().cast("array<string>")
+    status = F.when(F.col("figure_key").isNull(), F.struct(F.lit("unclear").alias("status"), none.alias("caption_block_ids"), none.alias("reason_codes"))).otherwise(link)
+    return saying.join(pages, ["doc_id", "page_idx"], "left").select("doc_id", "visual_block_id", "source_page_idx", "figure_key", status.alias("s")).select("doc_id", "visual_block_id", "source_page_idx", "figure_key", "s.*")
 
 
 def following_captions(elements: DataFrame) -> DataFrame:

@@ -57,17 +57,42 @@ def test_links(spark):
     assert (got["g2"].status, got["g2"].reason_codes) == ("partial", ["unterminated_caption_anchor"])
 
 
-def test_link_cases():
-    block = lambda i, role="text", chars=40, box=(100.0, 80.0, 500.0, 180.0), **x: {"page_order": i, "id": f"b{i}", "role": role, "chars": chars, "box": list(box), "key": None, "formal": None, "ended": False, "goes_on": False} | x
-    anchor = block(1, key="figure:2", formal="figure:2")
-    assert visuals.link_caption("figure:2", [block(0, "marginalia"), anchor, block(2, "visual")]) == ("partial", ["b1"], ["visual_boundary_before_caption_continuation"])
-    assert visuals.link_caption("figure:2", [block(0), anchor]) == ("missing", [], ["body_text_boundary"])
-    assert visuals.link_caption("figure:2", [block(0, key="figure:3")]) == ("missing", [], ["different_figure_key"])
-    beside = (520.0, 80.0, 900.0, 180.0)
-    assert visuals.link_caption("figure:2", [anchor, block(2, box=beside, goes_on=True, ended=True)]) == ("complete", ["b1", "b2"], [])
-    assert visuals.link_caption("figure:2", [anchor, block(2, box=beside)])[2] == ["uncertain_adjacent_caption_continuation"]
-    assert visuals.link_caption("figure:2", [anchor, block(2, box=beside, key="figure:2", formal="figure:2")])[0] == "ambiguous"
-    assert visuals.link_caption("figure:2", []) == ("missing", [], [])
+PAGE = "array<struct<page_order:int,id:string,role:string,chars:int,box:array<double>,key:string,formal:string,ended:boolean,goes_on:boolean>>"
+
+
+def test_link_cases(spark):
+    def block(i, role="text", chars=40, box=(100.0, 80.0, 500.0, 180.0), key=None, formal=None, ended=False, goes_on=False):
+        return i, f"b{i}", role, chars, list(box) if box else None, key, formal, ended, goes_on
+
+    fig, beside = "figure:2", (520.0, 80.0, 900.0, 180.0)
+    anchor = block(1, key=fig, formal=fig)
+    header = block(0, "title", 9, (60.0, 10.0, 200.0, 30.0))
+    cases = [
+        ([block(0, "marginalia"), anchor, block(2, "visual")], ("partial", ["b1"], ["visual_boundary_before_caption_continuation"])),
+        ([block(0), anchor], ("missing", [], ["body_text_boundary"])),
+        ([block(0, key="figure:3")], ("missing", [], ["different_figure_key"])),
+        ([block(0, key=fig)], ("missing", [], ["nonformal_figure_reference"])),
+        ([block(0, "table")], ("missing", [], ["table_boundary"])),
+        ([block(0, box=(100.0, 400.0, 500.0, 500.0))], ("missing", [], ["body_band_boundary"])),
+        ([block(0, box=None, formal=fig, key=fig)], ("missing", [], ["body_band_boundary"])),
+        ([header, block(0, chars=0), anchor], ("partial", ["b1"], ["unterminated_caption_anchor"])),
+        ([block(1, key=fig, formal=fig, ended=True), block(2, "visual")], ("complete", ["b1"], [])),
+        ([anchor, block(2, box=beside, goes_on=True, ended=True)], ("complete", ["b1", "b2"], [])),
+        ([anchor, block(2, box=beside, goes_on=True)], ("partial", ["b1", "b2"], ["unterminated_caption_continuation"])),
+        ([anchor, block(2, box=beside)], ("partial", ["b1"], ["uncertain_adjacent_caption_continuation"])),
+        ([anchor, block(2, box=beside, chars=0), block(3, box=beside, goes_on=True)], ("partial", ["b1"], ["empty_adjacent_caption_column"])),
+        ([anchor, block(2, "title", box=beside)], ("partial", ["b1"], ["title_band_in_adjacent_column"])),
+        ([anchor, block(2, goes_on=True)], ("partial", ["b1"], ["body_text_boundary_before_caption_continuation"])),
+        ([anchor, block(2, key="figure:4")], ("partial", ["b1"], ["new_figure_anchor_in_adjacent_column"])),
+        ([anchor, block(2, box=beside, key=fig, formal=fig)], ("ambiguous", [], ["duplicate_formal_caption_anchor"])),
+        ([], ("missing", [], [])),
+        (None, ("missing", [], [])),
+    ]
+    df = spark.createDataFrame([(i, fig, page) for i, (page, _) in enumerate(cases)], f"i int, fig string, page {PAGE}")
+    from pyspark.sql import functions as F
+
+    got = {r.i: (r.s.status, r.s.caption_block_ids, r.s.reason_codes) for r in df.select("i", visuals.link_status(F.col("fig"), F.col("page")).alias("s")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
 
 
 def test_enclosure_and_components(spark):
