@@ -2,17 +2,23 @@
 
 The lines of a page are labelled as running matter, page number, body or break by a
 linear chain model: weights for features of layout and text, weights for pairs of
-neighbouring labels, and the best sequence by dynamic programming. What the labels
-leave as body is mended - words divided at line ends are joined, words with
-misrecognised characters replaced by the frequent word that they stand for - and put
-together into paragraphs, also across elements and pages.
+neighbouring labels, and the best sequence by dynamic programming. The weights are
+fitted (averaged perceptron) on a bounded sample of pages whose lines are sure: a line
+alone at a page's edge, a heading, a line of the body that is no running line, and a
+running line or the page's number as it stands, also put into a body. Boxes, pages and
+types are hidden in part of the sample, so that the other features get their weight.
+What the labels leave as body is mended - words divided at line ends are joined, words
+with misrecognised characters replaced by the frequent word that they stand for - and
+put together into paragraphs, also across elements and pages.
 
 Statistics come from all rows: the running lines and the page number's offset of each
 package, and the counts of words. Elements are then worked on in reading order, in
 blocks of ``BLOCK`` elements of a package, so a very large package is spread over many
-tasks; what passes from block to block (a sentence left open) is one row for a block.
-Frequent words are at hand in every task; a text that asks for the count of any other
-form waits until the form has been looked up among all words, and is mended then.
+tasks; what passes from block to block (a sentence left open) is one row for a block,
+and a block sees ``MARGIN`` elements beyond its ends, so that its labels are those of
+the whole package. Frequent words are at hand in every task; a text that asks for the
+count of any other form waits until the form has been looked up among all words, and is
+mended then. The result does not depend on the size of the blocks.
 """
 
 from __future__ import annotations
@@ -28,12 +34,22 @@ from pyspark.sql.window import Window
 
 from pagemill.runtime import checkpoint
 
-#: Elements of a package that one task works on at a time.
-BLOCK = 4096
+#: Elements of a package that one task works on at a time, and places beyond its ends that it sees.
+BLOCK, MARGIN = 4096, 64
+#: A running line is known within this many places and in the stretches next to it.
+SPAN = 4096
+#: Elements and rounds by which the weights are fitted, and the longest text among them.
+SAMPLE, ROUNDS, SAMPLE_TEXT = 4000, 6, 5000
 #: Words with this share of all words are at hand in every task: at most its inverse in number.
 VOCABULARY_SHARE = 3e-6
 #: A word is misread if the word that it stands for is this many times as frequent.
 MISREAD_RATIO = 8.0
+#: The least count of a word that a misread one can stand for is this many times the ratio.
+LEAST = 4.0
+#: Words of two letters need this share of all words to stand for a misread one; words with this share are not searched for two confusions.
+SHORT_SHARE = 6e-5
+#: Longer strings are no words and are left as they are.
+LONGEST_WORD = 64
 #: Signs at the ends of a word that do not belong to it.
 STRIP = ".,;:()[]{}<>\"'“”‘’„«»?…。，；：（）、·|"
 HYPHENS = "-‐¬­"
@@ -53,9 +69,13 @@ PAGE_OF_LINE = (r"^\W*(?:[Pp]age\s+|S)?(\d{1,6})\W*$", r"^\s*(\d{1,6})\s+(?:·\s
 
 LABELS = ("running", "number", "body", "break")
 RUNNING, NUMBER, BODY, BREAK = range(4)
-#: Weights of a label after another one (rows: before), of the first label of a page.
-AFTER = ((0.5, 1.0, 0.5, 0.5), (1.0, 0.0, 0.5, 0.5), (0.0, 0.0, 1.0, 0.5), (0.0, 0.0, 1.0, 0.5))
-FIRST = (1.0, 0.5, 0.0, 0.5)
+#: What is seen of a line.
+FEATURES = (
+    "any", "edge, alone", "edge, among lines", "middle, alone", "middle, among lines", "no box, alone", "no box, among lines", "number, alone", "number, alone, fits the page",
+    "number, among lines, fits the page", "number, among lines, set off", "number, among lines, does not fit", "number, among lines, plain", "typed as number, no box",
+    "running line", "running line, heading", "no running line", "typed as header, no box, short", "heading", "equation",
+)
+_AT = {name: i for i, name in enumerate(FEATURES)}
 
 _NUMBER = re.compile(r"\s*(?:[-–—]\s*(?P<a>\w{1,10})\s*[-–—]|\[\s*(?P<b>\w{1,10})\s*\]|[Pp]age\s+(?P<c>\w{1,10})|(?P<d>\w{1,10})\s*\||\|\s*(?P<e>\w{1,10})|(?P<f>\w{1,10}))\s*\.?\s*")
 _ARABIC = re.compile(r"[\dlIiOoSsZzB|]{1,6}")
@@ -161,37 +181,81 @@ def find_running(text: str, page: Page, expected: int | None) -> tuple[int, int]
     return None
 
 
-def viterbi(scores: list[tuple[float, float, float, float]]) -> list[int]:
-    """The sequence of labels with the highest sum of weights.
+class Model:
+    """Weights of a linear chain: for each feature and label, for each pair of labels, and for the first label of a page."""
 
-    Two labels of a line differ by 1 at most in the weight towards either neighbour,
-    so where each line's best label leads by more than 2, these are the sequence.
-    """
-    if not scores:
-        return []
-    top = []
-    for s in scores:
-        a, b, c, d = s
-        m = max(s)
-        if (a > m - 2.001) + (b > m - 2.001) + (c > m - 2.001) + (d > m - 2.001) > 1:
-            break
-        top.append(s.index(m))
-    else:
-        return top
-    best = [f + s for f, s in zip(FIRST, scores[0])]
-    back: list[list[int]] = []
-    for s in scores[1:]:
-        row, now = [], []
-        for j in range(4):
-            i = max(range(4), key=lambda i: best[i] + AFTER[i][j])
-            row.append(i)
-            now.append(best[i] + AFTER[i][j] + s[j])
-        back.append(row)
-        best = now
-    out = [max(range(4), key=best.__getitem__)]
-    for row in reversed(back):
-        out.append(row[out[-1]])
-    return out[::-1]
+    def __init__(self, weights=None, after=None, first=None):
+        self.weights = weights or [[0.0] * 4 for _ in FEATURES]
+        self.after = after or [[0.0] * 4 for _ in range(4)]
+        self.first = first or [0.0] * 4
+        self.ready()
+
+    def ready(self) -> None:
+        """What the best label of a line must lead by so that no neighbour can change it."""
+        spread = lambda rows: max(max(r) - min(r) for r in rows)
+        before = max(spread(list(zip(*self.after))), spread(self.after), spread([self.first]))
+        self.lead = 2 * before + 1e-3
+
+    def scores(self, features: list[int]) -> tuple[float, ...]:
+        return tuple(map(sum, zip(*[self.weights[f] for f in features])))
+
+    def labels(self, lines: list[list[int]]) -> list[int]:
+        return self.best([self.scores(f) for f in lines])
+
+    def best(self, scores: list[tuple[float, ...]]) -> list[int]:
+        """The sequence of labels with the highest sum of weights.
+
+        Where each line's best label leads by more than the pairs can take, these are the sequence.
+        """
+        if not scores:
+            return []
+        top = []
+        for s in scores:
+            m = max(s)
+            if sum(x > m - self.lead for x in s) > 1:
+                break
+            top.append(s.index(m))
+        else:
+            return top
+        best = [f + s for f, s in zip(self.first, scores[0])]
+        back: list[list[int]] = []
+        for s in scores[1:]:
+            row, now = [], []
+            for j in range(4):
+                i = max(range(4), key=lambda i: best[i] + self.after[i][j])
+                row.append(i)
+                now.append(best[i] + self.after[i][j] + s[j])
+            back.append(row)
+            best = now
+        out = [max(range(4), key=best.__getitem__)]
+        for row in reversed(back):
+            out.append(row[out[-1]])
+        return out[::-1]
+
+    @classmethod
+    def fitted(cls, pages: list[list[tuple[list[int], int]]], rounds: int = ROUNDS) -> "Model":
+        """Averaged perceptron over pages of (features, label); the same pages in the same order give the same weights."""
+        model, total, n = cls(), cls(), 0
+        for _ in range(rounds):
+            for page in pages:
+                model.lead = float("inf")
+                got = model.labels([f for f, _ in page])
+                want = [label for _, label in page]
+                if got != want:
+                    for labels, by in ((want, 1.0), (got, -1.0)):
+                        before = None
+                        for (features, _), label in zip(page, labels):
+                            for f in features:
+                                model.weights[f][label] += by
+                                total.weights[f][label] += by * n
+                            at = model.first if before is None else model.after[before]
+                            sum_ = total.first if before is None else total.after[before]
+                            at[label] += by
+                            sum_[label] += by * n
+                            before = label
+                n += 1
+        mean = lambda a, b: [x - y / max(1, n) for x, y in zip(a, b)]
+        return cls([mean(a, b) for a, b in zip(model.weights, total.weights)], [mean(a, b) for a, b in zip(model.after, total.after)], mean(model.first, total.first))
 
 
 class Words:
@@ -200,8 +264,9 @@ class Words:
     ``rare`` are the counts of the less frequent forms that the text at hand asks for.
     """
 
-    def __init__(self, counts: dict[str, int], floor: float):
-        self.counts, self.floor = counts, floor
+    def __init__(self, counts: dict[str, int], total: int):
+        self.counts = counts
+        self.short = max(MISREAD_RATIO * LEAST, SHORT_SHARE * total)
         self.rare: dict[str, int] = {}
         self.seen: dict[str, str | None] = {}
         #: Tokens as they stand in texts in which there is nothing to mend.
@@ -212,6 +277,8 @@ class Words:
 
     def printed(self, word: str) -> str | None:
         """The frequent word that a misread ``word`` (lower case) stands for, or None."""
+        if self.rare:
+            return self._printed(word)
         if word not in self.seen:
             if len(self.seen) > 500_000:
                 self.seen.clear()
@@ -219,14 +286,12 @@ class Words:
         return self.seen[word]
 
     def _printed(self, word: str) -> str | None:
-        if not 2 <= len(word) <= 40 or _CJK.search(word) or not any(c.isalpha() for c in word):
+        if not 2 <= len(word) <= LONGEST_WORD or _CJK.search(word) or not any(c.isalpha() for c in word):
             return None
-        own = self.counts.get(word, 0)
-        need = MISREAD_RATIO * max(1.0, own or min(self.floor, 4.0))
-        # a word that is not frequent itself has to be as many times as frequent as the form at hand
-        rarely = max(need, MISREAD_RATIO * self.count(word))
+        own = self.count(word)
+        need = MISREAD_RATIO * max(LEAST, own)
         if len(word) == 2:
-            need = max(need, 200.0)
+            need = max(need, self.short)
         best, top, level, done = None, need - 1e-9, [word], {word}
         for depth in (1, 2):
             step = []
@@ -239,13 +304,13 @@ class Words:
                             done.add(x)
                             step.append(x)
                             n = self.count(x)
-                            if n > top and (n >= rarely or x in self.counts) and len(x) > 1 and not any(c.isdigit() for c in x):
+                            if n > top and len(x) > 1 and not any(c.isdigit() for c in x):
                                 best, top = x, n
                         at = w.find(seen, at + 1)
             if best is not None:
                 return best
-            level, top, rarely = step, 4 * need, 4 * rarely
-            if own > 200:
+            level, top = step, 4 * need
+            if own > self.short:
                 break
         return None
 
@@ -345,11 +410,11 @@ def mend(text: str, words: Words, from_word: bool, to_word: bool) -> tuple[str,
             continue
         w = _strip(t)
         low = w.lower()
-        if "-" in low and low not in words.counts and low.replace("-", "") != low:
+        if "-" in low and low.replace("-", "") != low:
             whole = low.replace("-", "")
             # the line end is lost, the hyphen stayed
             n = words.count(whole)
-            if n >= 5 and (whole in words.counts or n >= MISREAD_RATIO * words.count(low)) and low.count("-") == 1 and not any(words.count(p) > n for p in low.split("-")):
+            if n >= 5 and n >= MISREAD_RATIO * words.count(low) and low.count("-") == 1 and not any(words.count(p) > n for p in low.split("-")):
                 hyphen = True
                 tokens[i] = t.replace("-", "")
                 continue
@@ -365,10 +430,18 @@ def mend(text: str, words: Words, from_word: bool, to_word: bool) -> tuple[str,
 
 
 class Page:
-    """What is known of a package while its pages are read."""
+    """What is known of a package while its pages are read; the running lines are prepared when first asked for."""
 
     def __init__(self, lines: list[str], offset: int | None):
-        self.offset = offset
+        self.offset, self._raw = offset, lines
+
+    def __getattr__(self, name: str):
+        if name.startswith("_") or "_raw" not in self.__dict__:
+            raise AttributeError(name)
+        self._prepare(self.__dict__.pop("_raw"))
+        return self.__dict__[name]
+
+    def _prepare(self, lines: list[str]) -> None:
         self.keys: dict[int, list[str]] = {}
         for k in dict.fromkeys(map(running_key, lines)):
             # the most frequent come first; a misread form of a line is that line
@@ -384,49 +457,43 @@ class Page:
                 for anchor in {w, *((w[:3] + "*", "*" + w[-3:]) if len(w) > 5 else ())}:
                     self.anchors.setdefault(anchor, []).append((k, len(parts), i))
 
-    def scores(self, line: str, zone: str, alone: bool, kind: str, level: bool, page: int | None, inner: bool = False) -> tuple[float, float, float, float]:
-        """Weights of the four labels for one line of an element.
+    def features(self, line: str, zone: str, alone: bool, kind: str, level: bool, page: int | None, inner: bool = False) -> list[int]:
+        """What is seen of one line of an element, as places in ``FEATURES``.
 
         ``inner``: the line is short, and a full line of the element precedes and a
         line follows it, so it is not the end of a paragraph.
         """
+        where = "edge" if zone in ("top", "bottom") else "middle" if zone == "middle" else "no box"
+        seen = ["any", f"{where}, {'alone' if alone else 'among lines'}"]
         number = page_number(line) if len(line) < 24 else None
-        run = num = body = other = 0.0
-        edge = zone in ("top", "bottom")
-        if edge and alone:
-            run += 6.0
-            body -= 4.0
-            other -= 2.0
-        elif zone == "middle" and alone:
-            run -= 3.0
-            num -= 6.0
-            body += 1.0
         if number is not None:
             value, set_off = number
-            expected = self.offset is not None and page is not None and value == page + self.offset
-            if edge and alone:
-                num += 10.0
-            elif not alone:
-                # a line inside a body element: its value must fit the page, or be set off where nothing is known
-                num += 8.0 if expected else 7.0 if (set_off or inner) and (self.offset is None or page is None) else -4.0
-            elif kind == "page_number" and zone == "none":
-                num += 6.0
-            body += 1.5
-            run -= 4.0
+            known = self.offset is not None and page is not None
+            fits = known and value == page + self.offset
+            if alone:
+                seen.append("number, alone")
+                if fits:
+                    seen.append("number, alone, fits the page")
+                if kind == "page_number" and where == "no box":
+                    seen.append("typed as number, no box")
+            elif fits:
+                seen.append("number, among lines, fits the page")
+            elif known:
+                seen.append("number, among lines, does not fit")
+            else:
+                seen.append("number, among lines, set off" if set_off or inner else "number, among lines, plain")
         else:
-            num -= 20.0
             if self.shortest <= len(line) <= self.longest and same_line(running_key(line), self.keys):
-                run += 6.0 if not level else -6.0
-            elif not edge:
-                run -= 4.0
-                if kind in ("header", "page_header", "footer", "page_footer") and zone == "none" and len(line) < 80:
-                    run += 3.0
-        if level or kind == "equation" or (alone and _EQUATION.fullmatch(line)):
-            other += 12.0
-        else:
-            body += 3.0
-            other -= 3.0
-        return run, num, body, other
+                seen.append("running line, heading" if level else "running line")
+            else:
+                seen.append("no running line")
+            if where == "no box" and len(line) < 80 and kind in ("header", "page_header", "footer", "page_footer"):
+                seen.append("typed as header, no box, short")
+        if level:
+            seen.append("heading")
+        elif kind == "equation" or (alone and _EQUATION.fullmatch(line)):
+            seen.append("equation")
+        return [_AT[x] for x in seen]
 
 
 def bbox_zone(box: list[float] | None) -> str:
@@ -449,14 +516,32 @@ OUT = pa.schema(
 OUT_DDL = "doc_id string, blk int, source_index int, page_idx int, role string, defects array<string>, text string, pending boolean, para int, open_end boolean, ask array<string>, from_word boolean, to_word boolean"
 
 
-def read_block(doc: str, blk: int, rows: list[tuple], page: Page, words: Words) -> Iterator[tuple]:
+def _lines(text: str | None) -> list[str]:
+    return [x for x in text.split("\n") if x.strip()] if text else []
+
+
+def element_features(row: tuple, page: Page) -> tuple[list[str], list[list[int]]]:
+    """The lines of one element that are not blank, and what is seen of each. Row: source_index, page_idx, type, text, level, bbox."""
+    _, page_idx, kind, text, level, box = row
+    own = _lines(text)
+    if not own:
+        return [], []
+    zone = bbox_zone(box)
+    full = max(map(len, own)) * 0.6
+    return own, [
+        page.features(x, zone, len(own) == 1, kind or "", level is not None, page_idx, 0 < i < len(own) - 1 and len(x) < full <= len(own[i - 1])) for i, x in enumerate(own)
+    ]
+
+
+def read_block(doc: str, blk: int, rows: list[tuple], words: Words, model: Model) -> Iterator[tuple]:
     """The elements of one block in reading order; the last row is the state at the block's end.
 
     A text that asks for forms that are not at hand comes as it is, with these forms in ``ask``.
-    Rows: source_index, page_idx, type, text, level, bbox.
+    Rows: source_index, page_idx, type, text, level, bbox, the package's ``Page``, and whether the
+    element belongs to a neighbouring block and only helps to label its page.
     """
     at = 0
-    open_, para, from_word, before = None, None, False, None  # open_: None until the block's first body element
+    open_, para, from_word = None, None, False  # open_: None until the block's first body element
     pending = False
     while at < len(rows):
         end = at + 1
@@ -465,24 +550,17 @@ def read_block(doc: str, blk: int, rows: list[tuple], page: Page, words: Words)
         lines: list[tuple[int, str]] = []
         scores = []
         for k in range(at, end):
-            _, page_idx, kind, text, level, box = rows[k]
-            if not text or not text.strip():
-                continue
-            own = [x for x in text.split("\n") if x.strip()]
-            zone = bbox_zone(box)
-            full = max(map(len, own)) * 0.6
-            for i, x in enumerate(own):
-                lines.append((k, x))
-                inner = 0 < i < len(own) - 1 and len(x) < full <= len(own[i - 1])
-                scores.append(page.scores(x, zone, len(own) == 1, kind or "", level is not None, page_idx, inner))
-        labels = viterbi(scores)
+            own, seen_ = element_features(rows[k][:6], rows[k][6])
+            lines.extend((k, x) for x in own)
+            scores.extend(map(model.scores, seen_))
+        labels = model.best(scores)
         by: dict[int, list[tuple[str, int]]] = {}
         for (k, x), label in zip(lines, labels):
             by.setdefault(k, []).append((x, label))
         for k in range(at, end):
-            index, page_idx, kind, text, level, box = rows[k]
+            index, page_idx, _, text, level, _, page, beyond = rows[k]
             own = by.get(k)
-            if not own:
+            if not own or beyond:
                 continue
             seen = {label for _, label in own}
             if seen <= {RUNNING, NUMBER}:
@@ -549,8 +627,8 @@ def _zone(box: Column) -> Column:
     return F.when(ok & (F.try_element_at(box, F.lit(4)) * scale <= 60), "top").when(ok & (F.try_element_at(box, F.lit(2)) * scale >= 930), "bottom")
 
 
-def vocabulary(elements: DataFrame) -> tuple[DataFrame, dict[str, int], float]:
-    """Counts of all words over all texts, the frequent ones of them at hand, and the least count of these.
+def vocabulary(elements: DataFrame) -> tuple[DataFrame, dict[str, int], int, float]:
+    """Counts of all words over all texts, the frequent ones of them at hand, the number of all words, and the least count of the frequent.
 
     The number of frequent words is bounded by 1/VOCABULARY_SHARE, so they fit in one
     table. A word divided at a line end counts neither joined nor with its hyphen, as
@@ -558,14 +636,18 @@ def vocabulary(elements: DataFrame) -> tuple[DataFrame, dict[str, int], float]:
     """
     divided = F.col("text").rlike(r"[-‐¬\x{AD}]\s")
     marked = F.when(divided, F.regexp_replace("text", r"(?<=\p{L})[-‐¬\x{AD}]\s+(?=\p{L})", EITHER)).otherwise(F.col("text"))
-    tokens = elements.filter("text is not null").select(F.explode(F.split(marked, r"[\s\x{A0}]+")).alias("w"))
+    # one blank is cut at much faster than a pattern
+    for c in "\n\t\r\x0b\x0c\xa0":
+        marked = F.replace(marked, F.lit(c), F.lit(" "))
+    tokens = elements.filter("text is not null").select(F.explode(F.split(marked, " ")).alias("w")).filter("w <> ''")
     # count the tokens as they stand, then trim and fold each distinct one
     raw = tokens.groupBy("w").agg(F.count("*").alias("n")).filter(~F.contains("w", F.lit(EITHER)))
     words = raw.select(F.lower(F.btrim("w", F.lit(STRIP))).alias("w"), "n").filter(r"length(w) > 0 and w rlike '\\p{L}'")
     counts = checkpoint(words.groupBy("w").agg(F.sum("n").alias("n")))
-    total = counts.filter("n > 1").agg(F.sum("n")).first()[0] or 0
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # words of this share are at hand, the others are looked up: what is found is the same
     floor = max(2.0, VOCABULARY_SHARE * total)
-    return counts, {r.w: r.n for r in counts.filter(F.col("n") >= floor).toLocalIterator()}, floor
+    return counts, {r.w: r.n for r in counts.filter(F.col("n") >= floor).toLocalIterator()}, total, floor
 
 
 def rare_words(counts: DataFrame, floor: float) -> DataFrame:
@@ -574,7 +656,7 @@ def rare_words(counts: DataFrame, floor: float) -> DataFrame:
     A form asks for itself and for the words that it can be a misread form of. The least
     counts are those that ``Words.printed`` demands of one and of two confusions.
     """
-    least = MISREAD_RATIO * max(1.0, min(floor, 4.0))
+    least = MISREAD_RATIO * LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -587,7 +669,7 @@ def rare_words(counts: DataFrame, floor: float) -> DataFrame:
         for b in batches:
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 out.append((w, w, n))
-                if n >= least and 2 <= len(w) <= 44 and not _CJK.search(w) and not any(c.isdigit() for c in w):
+                if n >= least and 2 <= len(w) <= LONGEST_WORD + 4 and not _CJK.search(w) and not any(c.isdigit() for c in w):
                     out.extend((x, w, n) for x in misread_forms(w, 2 if n >= 4 * least else 1))
                 if len(out) > 20_000:
                     yield flush()
@@ -598,25 +680,115 @@ def rare_words(counts: DataFrame, floor: float) -> DataFrame:
 
 
 def running_lines(elements: DataFrame) -> DataFrame:
-    """What each block of a package can know of its pages: doc_id, blk, lines, offset.
+    """What each stretch of ``SPAN`` places of a package can know of its pages: doc_id, cell, lines, offset.
 
-    ``lines`` are the running lines of the block and of those next to it, by count, so
-    their number is bounded by that of the blocks' elements; ``offset`` leads from page
+    ``lines`` are the running lines of the stretch and of those next to it, by count, so
+    their number is bounded by that of the stretches' elements; ``offset`` leads from page
     index to page number, by the most pages of the package.
     """
-    blk = F.floor(F.col("source_index") / BLOCK).cast("int")
+    cell = F.floor(F.col("source_index") / SPAN).cast("int")
     edge = elements.filter(_zone(F.col("bbox")).isNotNull() & F.col("text").isNotNull() & (F.length("text") < 200))
     number = F.concat(*[F.regexp_extract("text", x, 1) for x in PAGE_OF_LINE])
-    keyed = edge.select("doc_id", blk.alias("blk"), F.lower(F.regexp_replace("text", r"\d+", "9")).alias("line"), (F.nullif(number, F.lit("")).cast("int") - F.col("page_idx")).alias("offset"))
+    keyed = edge.select("doc_id", cell.alias("cell"), F.lower(F.regexp_replace("text", r"\d+", "9")).alias("line"), (F.nullif(number, F.lit("")).cast("int") - F.col("page_idx")).alias("offset"))
     # distinct lines and offsets, of which there are few beside the elements; both results start from this shuffle
-    seen = keyed.groupBy("doc_id", "blk", "line", "offset").agg(F.count("*").alias("n"))
-    near = F.explode(F.array(F.col("blk") - 1, F.col("blk"), F.col("blk") + 1)).alias("blk")
-    lines = seen.filter(r"line rlike '\\p{L}{3}'").select("doc_id", near, "line", "n").groupBy("doc_id", "blk", "line").agg(F.sum("n").alias("n"))
-    lines = lines.groupBy("doc_id", "blk").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "line"))), lambda x: x["line"]).alias("lines"))
+    seen = keyed.groupBy("doc_id", "cell", "line", "offset").agg(F.count("*").alias("n"))
+    near = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell")
+    lines = seen.filter(r"line rlike '\\p{L}{3}'").select("doc_id", near, "line", "n").groupBy("doc_id", "cell", "line").agg(F.sum("n").alias("n"))
+    lines = lines.groupBy("doc_id", "cell").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "line"))), lambda x: x["line"]).alias("lines"))
     offsets = seen.filter("offset is not null").groupBy("doc_id", "offset").agg(F.sum("n").alias("n"))
     offset = offsets.groupBy("doc_id").agg(F.max_by("offset", F.struct("n", "offset")).alias("offset"))
-    blocks = elements.groupBy("doc_id").agg(F.max(blk).alias("last")).select("doc_id", F.explode(F.sequence(F.lit(0), "last")).alias("blk"))
-    return blocks.join(lines, ["doc_id", "blk"], "left").join(offset, "doc_id", "left")
+    cells = elements.groupBy("doc_id").agg(F.max(cell).alias("last")).select("doc_id", F.explode(F.sequence(F.lit(0), "last")).alias("cell"))
+    return cells.join(lines, ["doc_id", "cell"], "left").join(offset, "doc_id", "left")
+
+
+def sure_pages(rows: list[tuple], known: dict[tuple, tuple]) -> list[list[tuple[list[int], int]]]:
+    """Pages of (features, label) to fit the weights by, from elements in the order of their pages.
+
+    Rows: doc_id, then as for ``element_features``; ``known``: (doc_id, cell) -> lines and
+    offset. Lines of elements with a box are sure: alone at an edge they are running
+    matter or a number; in the middle they are a heading, an equation, or body, but a
+    running line exactly as known, or the number of the page. Each page is seen as it
+    is, with a running line and its number put into its longest text, and with a part
+    of its boxes, types and page numbers hidden.
+    """
+    out: list[list[tuple[list[int], int]]] = []
+    at = 0
+    while at < len(rows):
+        end = at + 1
+        while end < len(rows) and rows[end][0] == rows[at][0] and rows[end][2] == rows[at][2]:
+            end += 1
+        elements = [(*x[1:], Page(*known.get((x[0], x[1] // SPAN), ([], None)))) for x in rows[at:end] if x[6] and _lines(x[4])]
+        at = end
+        if not elements:
+            continue
+        page: Page = elements[0][6]
+        exact = {k for ks in page.keys.values() for k in ks}
+
+        def label(x: str, zone: str, alone: bool, kind: str, level: int | None, page_idx: int | None, page=page, exact=exact) -> int | None:
+            number = page_number(x) if len(x) < 24 else None
+            if level is not None or kind == "equation":
+                return BREAK
+            if zone in ("top", "bottom") and alone:
+                return NUMBER if number else RUNNING
+            if zone != "middle":
+                return None
+            if alone and _EQUATION.fullmatch(x):
+                return BREAK
+            if alone:
+                return BODY
+            if number:
+                return NUMBER if page.offset is not None and page_idx is not None and number[0] == page_idx + page.offset else BODY
+            key = running_key(x)
+            return RUNNING if key in exact else None if same_line(key, page.keys) else BODY
+
+        turn = len(out)
+        longest = max(range(len(elements)), key=lambda k: len(elements[k][3]))
+        body = elements[longest]
+        put = None
+        if exact and body[4] is None and bbox_zone(body[5]) == "middle" and len(_lines(body[3])) > 1:
+            key = sorted(exact)[turn % len(exact)]
+            own = _lines(body[3])
+            cut = 1 + turn % (len(own) - 1)
+            line = key.title() if turn % 2 or page.offset is None or body[1] is None else ("[%d]", "- %d -", "%d")[turn % 3] % (body[1] + page.offset)
+            put = (cut, line, RUNNING if line == key.title() else NUMBER)
+        for view in range(4):
+            page_out: list[tuple[list[int], int]] | None = []
+            for k, (index, page_idx, kind, text, level, box, of) in enumerate(elements):
+                own = _lines(text)
+                labels = [label(x, bbox_zone(box), len(own) == 1, kind or "", level, page_idx) for x in own]
+                if view % 2 and put and k == longest:
+                    own, labels = own[: put[0]] + [put[1]] + own[put[0] :], labels[: put[0]] + [put[2]] + labels[put[0] :]
+                hide = (turn + k + view) % 3 if view > 1 else -1
+                number_hidden = hide == 1
+                shown = (index, None if number_hidden else page_idx, None if hide == 2 else kind, "\n".join(own), level, None if hide == 0 else box)
+                features = element_features(shown, of)[1]
+                for f, y, x in zip(features, labels, own):
+                    if number_hidden and y == NUMBER and len(own) > 1 and _AT["number, among lines, plain"] in f:
+                        y = None  # not to be told from a number of the body
+                    if hide == 0 and len(own) == 1 and y in (RUNNING, NUMBER) and not ({_AT["running line"], _AT["typed as header, no box, short"], _AT["typed as number, no box"]} & set(f)):
+                        y = None
+                    if y is None:
+                        continue
+                    page_out.append((f, y))
+            if page_out:
+                out.append(page_out)
+    return out
+
+
+def fitted_model(elements: DataFrame, known: DataFrame) -> Model:
+    """The chain's weights from about ``SAMPLE`` elements of whole pages, picked by a hash; the sample is bounded, so it is fitted on the driver."""
+    total = elements.count()
+    share = min(1.0, SAMPLE / max(1, total))
+    place = F.pmod(F.xxhash64("doc_id", "page_idx"), F.lit(1 << 20))
+    picked = elements.filter((F.length("text") < SAMPLE_TEXT) & F.col("page_idx").isNotNull() & (place < int(share * (1 << 20)) + 1))
+    rows = picked.select("doc_id", "source_index", "page_idx", "type", "text", "level", "bbox").limit(2 * SAMPLE).collect()
+    rows = sorted({(r.doc_id, r.page_idx, r.source_index): tuple(r) for r in rows}.items())
+    rows = [r for _, r in rows]
+    if not rows:
+        return Model()
+    keys = elements.sparkSession.createDataFrame(sorted({(r[0], r[1] // SPAN) for r in rows}), "doc_id string, cell int")
+    lines = {(r.doc_id, r.cell): (r.lines or [], r.offset) for r in known.join(F.broadcast(keys), ["doc_id", "cell"]).collect()}
+    return Model.fitted(sure_pages(rows, lines))
 
 
 def mended(read: DataFrame, counts: DataFrame, table, floor: float) -> DataFrame:
@@ -628,7 +800,7 @@ def mended(read: DataFrame, counts: DataFrame, table, floor: float) -> DataFrame
     answered = waiting.join(found_, ["doc_id", "source_index"], "left").select(*names, "rare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(*table.value)
+        words = Words(*table.value[:2])
         for b in batches:
             texts, defects = [], []
             for text, old, inside, to_word, rare in zip(*[b.column(c).to_pylist() for c in ("text", "defects", "from_word", "to_word", "rare")]):
@@ -653,20 +825,26 @@ def label_elements(elements: DataFrame) -> DataFrame:
     spark = elements.sparkSession
     base = elements.select("doc_id", "source_index", "page_idx", "type", "text", F.col("text_level").cast("int").alias("level"), "bbox", "received_at").filter("doc_id is not null and source_index is not null")
     with_text = base.filter("text is not null")
-    counts, frequent, floor = vocabulary(with_text)
-    table = spark.sparkContext.broadcast((frequent, floor))
-    blk = F.floor(F.col("source_index") / BLOCK).cast("int")
-    known = running_lines(base).select(
-        "doc_id", "blk", F.lit(-1).alias("source_index"), F.col("offset").alias("page_idx"),
+    counts, frequent, total, floor = vocabulary(with_text)
+    known = checkpoint(running_lines(base))
+    table = spark.sparkContext.broadcast((frequent, total, fitted_model(with_text, known)))
+    first_block, last_block = (F.floor((F.col("cell") * SPAN + x) / BLOCK).cast("int") for x in (-MARGIN, SPAN - 1 + MARGIN))
+    info = known.withColumn("blk", F.explode(F.sequence(F.greatest(F.lit(0), first_block), last_block))).select(
+        "doc_id", "blk", (F.col("cell") * SPAN).alias("source_index"), F.col("offset").alias("page_idx"),
         F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("level"),
-        F.lit(None).cast("array<double>").alias("bbox"), F.lit(None).cast("timestamp").alias("received_at"), "lines",
+        F.lit(None).cast("array<double>").alias("bbox"), F.lit(None).cast("timestamp").alias("received_at"), F.coalesce("lines", F.array().cast("array<string>")).alias("lines"),
     )
-    rows = with_text.select("doc_id", blk.alias("blk"), "source_index", "page_idx", "type", "text", "level", "bbox", "received_at", F.lit(None).cast("array<string>").alias("lines"))
-    merged = rows.unionByName(known.select(*rows.columns)).repartition("doc_id", "blk").sortWithinPartitions("doc_id", "blk", "source_index", F.desc("received_at"))
+    at, own = F.pmod("source_index", F.lit(BLOCK)), F.floor(F.col("source_index") / BLOCK).cast("int")
+    # an element near the end of a block is shown to the next one too
+    seen_by = F.filter(F.array(own, F.when((at < MARGIN) & (own > 0), own - 1), F.when(at >= BLOCK - MARGIN, own + 1)), lambda x: x.isNotNull())
+    rows = with_text.select("doc_id", F.explode(seen_by).alias("blk"), "source_index", "page_idx", "type", "text", "level", "bbox", "received_at", F.lit(None).cast("array<string>").alias("lines"))
+    order = ["doc_id", "blk", "source_index", F.col("lines").isNull(), F.desc("received_at"), F.xxhash64("text", "type")]
+    merged = rows.unionByName(info.select(*rows.columns)).repartition("doc_id", "blk").sortWithinPartitions(*order)
     merged = merged.select("doc_id", "blk", "source_index", "page_idx", "type", "text", "level", "bbox", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(*table.value)
+        frequent, total, model = table.value
+        words = Words(frequent, total)
         key, page, held = None, Page([], None), []
         out: list[tuple] = []
 
@@ -680,16 +858,16 @@ def label_elements(elements: DataFrame) -> DataFrame:
             for doc, blk_, index, page_idx, kind, text, level, box, lines in zip(*[c.to_pylist() for c in b.columns]):
                 if (doc, blk_) != key:
                     if held:
-                        out.extend(read_block(*key, held, page, words))
+                        out.extend(read_block(*key, held, words, model))
                     key, page, held = (doc, blk_), Page([], None), []
-                if index < 0:
-                    page = Page(lines or [], page_idx)
+                if lines is not None:
+                    page = Page(lines, page_idx)
                 elif not held or held[-1][0] != index:
-                    held.append((index, page_idx, kind, text, level, box))
+                    held.append((index, page_idx, kind, text, level, box, page, index // BLOCK != blk_))
             if len(out) > 4000:
                 yield flush()
         if held:
-            out.extend(read_block(*key, held, page, words))
+            out.extend(read_block(*key, held, words, model))
         yield flush()
 
     read = checkpoint(merged.mapInArrow(run, OUT_DDL))

@@ -66,16 +66,65 @@ def test_long_text(spark):
     assert len(S.label_elements(df).filter("source_index = 0").first().text) == len((BODY * 20_000).strip())
 
 
-def test_viterbi_against_brute_force():
+def test_best_labels_against_brute_force():
     rng = random.Random(2)
     for _ in range(60):
-        scores = [tuple(rng.uniform(-3, 3) for _ in range(4)) for _ in range(5)]
+        weight = lambda n: [rng.uniform(-2, 2) for _ in range(n)]
+        model = S.Model([weight(4) for _ in S.FEATURES], [weight(4) for _ in range(4)], weight(4))
+        scores = [tuple(x * rng.choice((1, 9)) for x in weight(4)) for _ in range(5)]
 
         def total(path):
-            return S.FIRST[path[0]] + sum(s[j] for s, j in zip(scores, path)) + sum(S.AFTER[a][b] for a, b in zip(path, path[1:]))
+            return model.first[path[0]] + sum(s[j] for s, j in zip(scores, path)) + sum(model.after[a][b] for a, b in zip(path, path[1:]))
 
         best = max(itertools.product(range(4), repeat=5), key=total)
-        assert abs(total(S.viterbi(scores)) - total(best)) < 1e-9
+        assert abs(total(model.best(scores)) - total(best)) < 1e-9
+
+
+def _sure(rows):
+    known = {}
+    for doc, index, page, kind, text, level, box in rows:
+        if S.bbox_zone(box) in ("top", "bottom") and text and not S.page_number(text):
+            known.setdefault((doc, index // S.SPAN), []).append(text.lower())
+    return S.sure_pages(rows, {k: (v, 1) for k, v in known.items()})
+
+
+def test_weights_on_held_out_pages():
+    """Fitted on some pages of the smallest data, tried on the others."""
+    import os
+
+    import duckdb
+    import pytest
+
+    path = "/root/testdata/sf0.001/paper_content_list.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    rows = duckdb.connect().execute(f"SELECT DISTINCT ON (doc_id, source_index) doc_id, source_index, page_idx, type, text, text_level, bbox FROM '{path}' WHERE page_idx IS NOT NULL AND text IS NOT NULL ORDER BY ALL").fetchall()
+    rows.sort(key=lambda r: (r[0], r[2], r[1]))
+    known, other = (_sure([r for r in rows if int(r[0][-3:]) % 3 in of]) for of in ((0, 1), (2,)))
+    model = S.Model.fitted(known)
+    held = [(f, y) for page in other for f, y in page]
+    got = [y for page in other for y in model.labels([f for f, _ in page])]
+    right = sum(a == y for a, (_, y) in zip(got, held))
+    assert len(held) > 300 and right >= 0.97 * len(held), (right, len(held))
+    assert S.Model.fitted(known).weights == model.weights
+
+
+def test_block_size_changes_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for p in range(40):
+        rows.append((p, "text", f"Annals of Wall Studies {p // 20}", None, TOP))
+        for k in range(rng.randint(2, 7)):
+            text = rng.choice(["The membrane was\nAnnals of Wall Studies\nmeasured before the", "The steady para-\nmeter was measured again.", f"The wall\n- {p + 1} -\nchanged.", "The kernel was", "It held."])
+            rows.append((None if rng.random() < 0.05 else p, "text", text, None, MIDDLE if rng.random() < 0.9 else None))
+        rows.append((p, "text", str(p + 1), None, FOOT))
+    df = frame(spark, rows + FILL)
+    out = []
+    for size in (64, 4096, 1 << 30):
+        monkeypatch.setattr(S, "BLOCK", size)
+        out.append(sorted((r.source_index, tuple(sorted(r.defects)), r.text or "", r.para if r.para is not None else -1) for r in S.label_elements(df).collect()))
+    assert out[0] == out[1] == out[2]
+    assert {d for r in out[0] for d in r[1]} >= {"running", "page_number", "inline", "hyphen", "continued"}
 
 
 def test_page_numbers():
