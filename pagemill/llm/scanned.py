@@ -38,8 +38,10 @@ from pagemill.runtime import checkpoint
 BLOCK, MARGIN = 4096, 64
 #: A running line is known within this many places and in the stretches next to it.
 SPAN = 4096
-#: Elements and rounds by which the weights are fitted, and the longest text among them.
-SAMPLE, ROUNDS, SAMPLE_TEXT = 4000, 6, 5000
+#: Pairs of labels are corrected by this part of what features are, so that a line that is sure stays so.
+PAIR_STEP = 0.1
+#: Elements and least rounds by which the weights are fitted (few pages are gone over more often), and the longest text among them.
+SAMPLE, ROUNDS, SAMPLE_TEXT = 1500, 4, 5000
 #: Words with this share of all words are at hand in every task: at most its inverse in number.
 VOCABULARY_SHARE = 3e-6
 #: A word is misread if the word that it stands for is this many times as frequent.
@@ -85,11 +87,13 @@ _EQUATION = re.compile(r"\s*\(\s*\d+[a-z]?\s*\)\s*")
 _LIST = re.compile(r"\s*\d+[.)]\s+\S")
 _CLOSED = re.compile(r"[.!?。！？:：;；][\"'”’»)\]]*\s*$")
 _SEEMING = re.compile(r"\b(?:Fig|Figs|Abb|Tab|Eq|No|Vol|Ref|vs|ca|cf)\.\s*$")
-_MAY_BREAK = re.compile(r"[^\W\d_](?:[-‐]\s|[¬­])")
+_MAY_BREAK = re.compile(r"[-‐]\s|[¬­]")
 _BREAK = re.compile(r"(?<!\S)(\S*[^\W\d_])([-‐¬­])(\s+|(?<=[¬­])\s*)(?=[^\W\d_])(\S+)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 #: A page number that is set off, inside a text whose line ends are lost.
 _INSIDE_NUMBER = re.compile(r"(?<=\S)\s+([-–—]\s*\w{1,10}\s*[-–—]|\[\s*\w{1,10}\s*\]|[Pp]age\s+\w{1,10}|\|\s*\w{1,10}|\w{1,10}\s*\|)\.?(?=\s+\S)")
+#: One of these stands in a text that the expression above matches.
+_SET_OFF = ("[", "|", "age", " -", " –", " —", "\n-", "\n–", "\n—")
 _CITED = re.compile(r"\[\s*\d[\d\s,;–-]*\]")
 _TOKEN = re.compile(r"\S+")
 #: Ends of a key before a number that is not that of the page.
@@ -154,7 +158,7 @@ def find_running(text: str, page: Page, expected: int | None) -> tuple[int, int]
     number, or, in a script without capitals, set off by blanks.
     """
     spans = [m.span() for m in _TOKEN.finditer(text)]
-    words = [re.sub(r"\d+", "9", text[a:b].lower()) for a, b in spans]
+    words = [w if w.isalpha() else re.sub(r"\d+", "9", w) for w in (text[a:b].lower() for a, b in spans)]
     tried = set()
     for j, w in enumerate(words):
         for anchor in (w, w[:3] + "*", "*" + w[-3:]):
@@ -195,11 +199,25 @@ class Model:
         spread = lambda rows: max(max(r) - min(r) for r in rows)
         before = max(spread(list(zip(*self.after))), spread(self.after), spread([self.first]))
         self.lead = 2 * before + 1e-3
-
-    def scores(self, features: list[int]) -> tuple[float, ...]:
-        return tuple(map(sum, zip(*[self.weights[f] for f in features])))
-
-    def labels(self, lines: list[list[int]]) -> list[int]:
+        self.seen: dict[tuple[int, ...], tuple[float, ...]] = {}
+        self.sure: dict[tuple[float, ...], int] = {}
+
+    def scores(self, features: tuple[int, ...]) -> tuple[float, ...]:
+        """Weights of the four labels; there are few different sets of features."""
+        got = self.seen.get(features)
+        if got is None:
+            got = self.seen[features] = tuple(map(sum, zip(*[self.weights[f] for f in features])))
+        return got
+
+    def leading(self, scores: tuple[float, ...]) -> int:
+        """The best label if no neighbour can change it, else -1."""
+        got = self.sure.get(scores)
+        if got is None:
+            second, first = sorted(scores)[-2:]
+            got = self.sure[scores] = scores.index(first) if first - second > self.lead else -1
+        return got
+
+    def labels(self, lines: list[tuple[int, ...]]) -> list[int]:
         return self.best([self.scores(f) for f in lines])
 
     def best(self, scores: list[tuple[float, ...]]) -> list[int]:
@@ -209,13 +227,8 @@ class Model:
         """
         if not scores:
             return []
-        top = []
-        for s in scores:
-            m = max(s)
-            if sum(x > m - self.lead for x in s) > 1:
-                break
-            top.append(s.index(m))
-        else:
+        top = [self.leading(s) for s in scores]
+        if -1 not in top:
             return top
         best = [f + s for f, s in zip(self.first, scores[0])]
         back: list[list[int]] = []
@@ -233,12 +246,14 @@ class Model:
         return out[::-1]
 
     @classmethod
-    def fitted(cls, pages: list[list[tuple[list[int], int]]], rounds: int = ROUNDS) -> "Model":
+    def fitted(cls, pages: list[list[tuple[tuple[int, ...], int]]]) -> "Model":
         """Averaged perceptron over pages of (features, label); the same pages in the same order give the same weights."""
         model, total, n = cls(), cls(), 0
-        for _ in range(rounds):
+        for _ in range(max(ROUNDS, min(60, 2000 // max(1, len(pages))))):
             for page in pages:
                 model.lead = float("inf")
+                model.seen.clear()
+                model.sure.clear()
                 got = model.labels([f for f, _ in page])
                 want = [label for _, label in page]
                 if got != want:
@@ -250,8 +265,8 @@ class Model:
                                 total.weights[f][label] += by * n
                             at = model.first if before is None else model.after[before]
                             sum_ = total.first if before is None else total.after[before]
-                            at[label] += by
-                            sum_[label] += by * n
+                            at[label] += by * PAIR_STEP
+                            sum_[label] += by * n * PAIR_STEP
                             before = label
                 n += 1
         mean = lambda a, b: [x - y / max(1, n) for x, y in zip(a, b)]
@@ -457,14 +472,14 @@ class Page:
                 for anchor in {w, *((w[:3] + "*", "*" + w[-3:]) if len(w) > 5 else ())}:
                     self.anchors.setdefault(anchor, []).append((k, len(parts), i))
 
-    def features(self, line: str, zone: str, alone: bool, kind: str, level: bool, page: int | None, inner: bool = False) -> list[int]:
+    def features(self, line: str, zone: str, alone: bool, kind: str, level: bool, page: int | None, inner: bool = False) -> tuple[int, ...]:
         """What is seen of one line of an element, as places in ``FEATURES``.
 
         ``inner``: the line is short, and a full line of the element precedes and a
         line follows it, so it is not the end of a paragraph.
         """
         where = "edge" if zone in ("top", "bottom") else "middle" if zone == "middle" else "no box"
-        seen = ["any", f"{where}, {'alone' if alone else 'among lines'}"]
+        seen = ["any", where + (", alone" if alone else ", among lines")]
         number = page_number(line) if len(line) < 24 else None
         if number is not None:
             value, set_off = number
@@ -493,7 +508,7 @@ class Page:
             seen.append("heading")
         elif kind == "equation" or (alone and _EQUATION.fullmatch(line)):
             seen.append("equation")
-        return [_AT[x] for x in seen]
+        return tuple([_AT[x] for x in seen])
 
 
 def bbox_zone(box: list[float] | None) -> str:
@@ -520,16 +535,17 @@ def _lines(text: str | None) -> list[str]:
     return [x for x in text.split("\n") if x.strip()] if text else []
 
 
-def element_features(row: tuple, page: Page) -> tuple[list[str], list[list[int]]]:
-    """The lines of one element that are not blank, and what is seen of each. Row: source_index, page_idx, type, text, level, bbox."""
-    _, page_idx, kind, text, level, box = row
+def element_features(row: tuple, page: Page) -> tuple[list[str], list[tuple[int, ...]]]:
+    """The lines of one element that are not blank, and what is seen of each. Row: source_index, page_idx, type, text, level, zone."""
+    _, page_idx, kind, text, level, zone = row
     own = _lines(text)
     if not own:
         return [], []
-    zone = bbox_zone(box)
+    if len(own) == 1:
+        return own, [page.features(own[0], zone, True, kind or "", level is not None, page_idx)]
     full = max(map(len, own)) * 0.6
     return own, [
-        page.features(x, zone, len(own) == 1, kind or "", level is not None, page_idx, 0 < i < len(own) - 1 and len(x) < full <= len(own[i - 1])) for i, x in enumerate(own)
+        page.features(x, zone, False, kind or "", level is not None, page_idx, 0 < i < len(own) - 1 and len(x) < full <= len(own[i - 1])) for i, x in enumerate(own)
     ]
 
 
@@ -537,7 +553,7 @@ def read_block(doc: str, blk: int, rows: list[tuple], words: Words, model: Model
     """The elements of one block in reading order; the last row is the state at the block's end.
 
     A text that asks for forms that are not at hand comes as it is, with these forms in ``ask``.
-    Rows: source_index, page_idx, type, text, level, bbox, the package's ``Page``, and whether the
+    Rows: source_index, page_idx, type, text, level, zone, the package's ``Page``, and whether the
     element belongs to a neighbouring block and only helps to label its page.
     """
     at = 0
@@ -581,7 +597,7 @@ def read_block(doc: str, blk: int, rows: list[tuple], words: Words, model: Model
             if page.anchors and len(own) == 1 and len(flat) > 40 and (at_line := find_running(flat, page, expected)):
                 defects.append("inline")
                 flat = flat[: at_line[0]] + flat[at_line[1] :].lstrip()
-            if expected is not None and (len(own) == 1 or " - " in flat or " – " in flat or " — " in flat):
+            if expected is not None and any(x in flat for x in _SET_OFF) and (len(own) == 1 or " - " in flat or " – " in flat or " — " in flat):
                 for m in _INSIDE_NUMBER.finditer(flat):
                     # a number in brackets is cited where there are others
                     if (got := page_number(m[1])) and got[0] == expected and (m[1][0] != "[" or len(_CITED.findall(flat)) == 1):
@@ -622,9 +638,11 @@ def read_block(doc: str, blk: int, rows: list[tuple], words: Words, model: Model
 
 
 def _zone(box: Column) -> Column:
+    """As ``bbox_zone``."""
+    ok = (F.size(box) == 4) & ~F.exists(box, lambda x: x.isNull())
     scale = F.when(F.array_max(box) <= 1.5, 1000.0).otherwise(1.0)
-    ok = F.size(box) == 4
-    return F.when(ok & (F.try_element_at(box, F.lit(4)) * scale <= 60), "top").when(ok & (F.try_element_at(box, F.lit(2)) * scale >= 930), "bottom")
+    at = lambda i: F.try_element_at(box, F.lit(i)) * scale
+    return F.when(~F.coalesce(ok, F.lit(False)), "none").when(at(4) <= 60, "top").when(at(2) >= 930, "bottom").otherwise("middle")
 
 
 def vocabulary(elements: DataFrame) -> tuple[DataFrame, dict[str, int], int, float]:
@@ -687,7 +705,7 @@ def running_lines(elements: DataFrame) -> DataFrame:
     index to page number, by the most pages of the package.
     """
     cell = F.floor(F.col("source_index") / SPAN).cast("int")
-    edge = elements.filter(_zone(F.col("bbox")).isNotNull() & F.col("text").isNotNull() & (F.length("text") < 200))
+    edge = elements.filter(F.col("zone").isin("top", "bottom") & F.col("text").isNotNull() & (F.length("text") < 200))
     number = F.concat(*[F.regexp_extract("text", x, 1) for x in PAGE_OF_LINE])
     keyed = edge.select("doc_id", cell.alias("cell"), F.lower(F.regexp_replace("text", r"\d+", "9")).alias("line"), (F.nullif(number, F.lit("")).cast("int") - F.col("page_idx")).alias("offset"))
     # distinct lines and offsets, of which there are few beside the elements; both results start from this shuffle
@@ -701,7 +719,7 @@ def running_lines(elements: DataFrame) -> DataFrame:
     return cells.join(lines, ["doc_id", "cell"], "left").join(offset, "doc_id", "left")
 
 
-def sure_pages(rows: list[tuple], known: dict[tuple, tuple]) -> list[list[tuple[list[int], int]]]:
+def sure_pages(rows: list[tuple], known: dict[tuple, tuple]) -> list[list[tuple[tuple[int, ...], int]]]:
     """Pages of (features, label) to fit the weights by, from elements in the order of their pages.
 
     Rows: doc_id, then as for ``element_features``; ``known``: (doc_id, cell) -> lines and
@@ -711,7 +729,7 @@ def sure_pages(rows: list[tuple], known: dict[tuple, tuple]) -> list[list[tuple[
     is, with a running line and its number put into its longest text, and with a part
     of its boxes, types and page numbers hidden.
     """
-    out: list[list[tuple[list[int], int]]] = []
+    out: list[list[tuple[tuple[int, ...], int]]] = []
     at = 0
     while at < len(rows):
         end = at + 1
@@ -745,31 +763,31 @@ def sure_pages(rows: list[tuple], known: dict[tuple, tuple]) -> list[list[tuple[
         longest = max(range(len(elements)), key=lambda k: len(elements[k][3]))
         body = elements[longest]
         put = None
-        if exact and body[4] is None and bbox_zone(body[5]) == "middle" and len(_lines(body[3])) > 1:
+        if exact and body[4] is None and body[5] == "middle" and len(_lines(body[3])) > 1:
             key = sorted(exact)[turn % len(exact)]
             own = _lines(body[3])
             cut = 1 + turn % (len(own) - 1)
             line = key.title() if turn % 2 or page.offset is None or body[1] is None else ("[%d]", "- %d -", "%d")[turn % 3] % (body[1] + page.offset)
             put = (cut, line, RUNNING if line == key.title() else NUMBER)
         for view in range(4):
-            page_out: list[tuple[list[int], int]] | None = []
-            for k, (index, page_idx, kind, text, level, box, of) in enumerate(elements):
+            page_out: list[tuple[tuple[int, ...], int]] = []
+            for k, (index, page_idx, kind, text, level, zone, of) in enumerate(elements):
                 own = _lines(text)
-                labels = [label(x, bbox_zone(box), len(own) == 1, kind or "", level, page_idx) for x in own]
+                labels = [label(x, zone, len(own) == 1, kind or "", level, page_idx) for x in own]
+                hide = (turn + k + view) % 3 if view > 1 else -1
                 if view % 2 and put and k == longest:
                     own, labels = own[: put[0]] + [put[1]] + own[put[0] :], labels[: put[0]] + [put[2]] + labels[put[0] :]
-                hide = (turn + k + view) % 3 if view > 1 else -1
-                number_hidden = hide == 1
-                shown = (index, None if number_hidden else page_idx, None if hide == 2 else kind, "\n".join(own), level, None if hide == 0 else box)
-                features = element_features(shown, of)[1]
-                for f, y, x in zip(features, labels, own):
-                    if number_hidden and y == NUMBER and len(own) > 1 and _AT["number, among lines, plain"] in f:
-                        y = None  # not to be told from a number of the body
+                    if body[1] is not None and page.offset is not None:
+                        # a number at the end of a text that is not the page's, or can't be told to be
+                        own, labels = [*own, str(body[1] + page.offset + (0 if hide == 1 else 37))], [*labels, BODY]
+                shown = (index, None if hide == 1 else page_idx, None if hide == 2 else kind, "\n".join(own), level, "none" if hide == 0 else zone)
+                for f, y in zip(element_features(shown, of)[1], labels):
+                    if hide == 1 and y == NUMBER and _AT["number, among lines, plain"] in f:
+                        y = BODY
                     if hide == 0 and len(own) == 1 and y in (RUNNING, NUMBER) and not ({_AT["running line"], _AT["typed as header, no box, short"], _AT["typed as number, no box"]} & set(f)):
-                        y = None
-                    if y is None:
-                        continue
-                    page_out.append((f, y))
+                        y = None  # nothing is left to tell it by
+                    if y is not None:
+                        page_out.append((f, y))
             if page_out:
                 out.append(page_out)
     return out
@@ -781,7 +799,7 @@ def fitted_model(elements: DataFrame, known: DataFrame) -> Model:
     share = min(1.0, SAMPLE / max(1, total))
     place = F.pmod(F.xxhash64("doc_id", "page_idx"), F.lit(1 << 20))
     picked = elements.filter((F.length("text") < SAMPLE_TEXT) & F.col("page_idx").isNotNull() & (place < int(share * (1 << 20)) + 1))
-    rows = picked.select("doc_id", "source_index", "page_idx", "type", "text", "level", "bbox").limit(2 * SAMPLE).collect()
+    rows = picked.select("doc_id", "source_index", "page_idx", "type", "text", "level", "zone").limit(2 * SAMPLE).collect()
     rows = sorted({(r.doc_id, r.page_idx, r.source_index): tuple(r) for r in rows}.items())
     rows = [r for _, r in rows]
     if not rows:
@@ -823,7 +841,7 @@ def label_elements(elements: DataFrame) -> DataFrame:
     judged by their text alone.
     """
     spark = elements.sparkSession
-    base = elements.select("doc_id", "source_index", "page_idx", "type", "text", F.col("text_level").cast("int").alias("level"), "bbox", "received_at").filter("doc_id is not null and source_index is not null")
+    base = elements.select("doc_id", "source_index", "page_idx", "type", "text", F.col("text_level").cast("int").alias("level"), _zone(F.col("bbox")).alias("zone"), "received_at").filter("doc_id is not null and source_index is not null")
     with_text = base.filter("text is not null")
     counts, frequent, total, floor = vocabulary(with_text)
     known = checkpoint(running_lines(base))
@@ -832,15 +850,15 @@ def label_elements(elements: DataFrame) -> DataFrame:
     info = known.withColumn("blk", F.explode(F.sequence(F.greatest(F.lit(0), first_block), last_block))).select(
         "doc_id", "blk", (F.col("cell") * SPAN).alias("source_index"), F.col("offset").alias("page_idx"),
         F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("level"),
-        F.lit(None).cast("array<double>").alias("bbox"), F.lit(None).cast("timestamp").alias("received_at"), F.coalesce("lines", F.array().cast("array<string>")).alias("lines"),
+        F.lit(None).cast("string").alias("zone"), F.lit(None).cast("timestamp").alias("received_at"), F.coalesce("lines", F.array().cast("array<string>")).alias("lines"),
     )
     at, own = F.pmod("source_index", F.lit(BLOCK)), F.floor(F.col("source_index") / BLOCK).cast("int")
     # an element near the end of a block is shown to the next one too
     seen_by = F.filter(F.array(own, F.when((at < MARGIN) & (own > 0), own - 1), F.when(at >= BLOCK - MARGIN, own + 1)), lambda x: x.isNotNull())
-    rows = with_text.select("doc_id", F.explode(seen_by).alias("blk"), "source_index", "page_idx", "type", "text", "level", "bbox", "received_at", F.lit(None).cast("array<string>").alias("lines"))
+    rows = with_text.select("doc_id", F.explode(seen_by).alias("blk"), "source_index", "page_idx", "type", "text", "level", "zone", "received_at", F.lit(None).cast("array<string>").alias("lines"))
     order = ["doc_id", "blk", "source_index", F.col("lines").isNull(), F.desc("received_at"), F.xxhash64("text", "type")]
     merged = rows.unionByName(info.select(*rows.columns)).repartition("doc_id", "blk").sortWithinPartitions(*order)
-    merged = merged.select("doc_id", "blk", "source_index", "page_idx", "type", "text", "level", "bbox", "lines")
+    merged = merged.select("doc_id", "blk", "source_index", "page_idx", "type", "text", "level", "zone", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, total, model = table.value
@@ -855,7 +873,7 @@ def label_elements(elements: DataFrame) -> DataFrame:
             return batch
 
         for b in batches:
-            for doc, blk_, index, page_idx, kind, text, level, box, lines in zip(*[c.to_pylist() for c in b.columns]):
+            for doc, blk_, index, page_idx, kind, text, level, zone, lines in zip(*[c.to_pylist() for c in b.columns]):
                 if (doc, blk_) != key:
                     if held:
                         out.extend(read_block(*key, held, words, model))
@@ -863,7 +881,7 @@ def label_elements(elements: DataFrame) -> DataFrame:
                 if lines is not None:
                     page = Page(lines, page_idx)
                 elif not held or held[-1][0] != index:
-                    held.append((index, page_idx, kind, text, level, box, page, index // BLOCK != blk_))
+                    held.append((index, page_idx, kind, text, level, zone, page, index // BLOCK != blk_))
             if len(out) > 4000:
                 yield flush()
         if held:

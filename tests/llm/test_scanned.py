@@ -82,8 +82,9 @@ def test_best_labels_against_brute_force():
 
 def _sure(rows):
     known = {}
-    for doc, index, page, kind, text, level, box in rows:
-        if S.bbox_zone(box) in ("top", "bottom") and text and not S.page_number(text):
+    rows = [(*r[:6], S.bbox_zone(r[6])) for r in rows]
+    for doc, index, page, kind, text, level, zone in rows:
+        if zone in ("top", "bottom") and text and not S.page_number(text):
             known.setdefault((doc, index // S.SPAN), []).append(text.lower())
     return S.sure_pages(rows, {k: (v, 1) for k, v in known.items()})
 
