@@ -18,6 +18,7 @@ compared exactly.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -27,12 +28,36 @@ from pagemill.runtime import checkpoint, latest
 
 MAX_BITS = 3
 BLOCKS = MAX_BITS + 2
-#: A key with more fingerprints than this is split by a third token before it is joined.
+#: A key with more rows than this is split before it is joined.
 HOT_KEY = 512
-#: Parts into which the copies of one fingerprint are spread.
+#: Parts into which the rows of such a key are spread.
 SALTS = 16
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A side that grows with the blocks: joined by sorting, so that a key with many rows spills, and never by broadcast."""
+    return df.hint("merge")
+
+
+def pairs_within(rows: DataFrame, keys: list[str], order: str, alike: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """Pairs of rows with equal keys, as columns ``a.*`` and ``b.*`` with a.order < b.order.
+
+    Only keys with several rows are joined; the pairs of a key with more than
+    ``HOT_KEY`` are spread over ``SALTS`` tasks at least, each of which compares a
+    part of the key's rows with all of them. Rows with a null key are in no pair.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1")
+    some = rows.join(_shuffled(counts), keys)
+    hot = F.col("__n") > HOT_KEY
+    part = F.when(hot, F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int")).otherwise(0)
+    a = some.withColumn("__salt", part).alias("a")
+    b = some.withColumn("__salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).alias("b")
+    same = (F.col("a.__salt") == F.col("b.__salt")) & (F.col(f"a.{order}") < F.col(f"b.{order}"))
+    for k in keys:
+        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    return a.join(_shuffled(b), same & alike("a", "b") if alike else same)
+
+
 def hex_number(text: Column, bits: int) -> Column:
     """A hexadecimal text by its number: lower case, without blanks, prefix and leading zeros; null if it is none."""
     low = F.lower(F.trim(text))
@@ -72,7 +97,8 @@ def near_words(words: DataFrame) -> DataFrame:
     ``words`` has one column ``simhash`` of distinct values. A key with many
     fingerprints is split further: of MAX_BITS + 1 other blocks of bits at least one
     is equal in each pair, so the key is joined together with each of them. The large
-    group is thus not compared pair by pair, and nothing is lost.
+    group is thus not compared pair by pair, and nothing is lost; what is still a
+    large group then is spread over several tasks.
     """
     pairs = list(combinations(range(BLOCKS), 2))
     tokens = words.select("simhash", *[block_token(F.col("simhash"), b).alias(f"t{b}") for b in range(BLOCKS)])
@@ -87,18 +113,18 @@ def near_words(words: DataFrame) -> DataFrame:
         ).alias("key"),
     )
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = keyed.join(counts, "key")
-    cold = shared.filter(F.col("n") <= HOT_KEY).select("simhash", "key", F.lit(-1).cast("bigint").alias("part"))
+    shared = keyed.join(_shuffled(counts), "key")
+    cold = shared.filter(F.col("n") <= HOT_KEY).select("simhash", "key")
     # within a hot key: 16-bit quarters, of which one at least is equal in a pair
     quarter = F.explode(F.array(*[
         F.shiftleft(F.lit(q).cast("bigint"), 16).bitwiseOR(block_token(F.col("simhash"), q, MAX_BITS + 1)) for q in range(MAX_BITS + 1)
     ]))
     hot = shared.filter(F.col("n") > HOT_KEY).select("simhash", "key", quarter.alias("part"))
-    all_ = cold.unionByName(hot)
-    a, b = all_.alias("a"), all_.alias("b")
-    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.simhash") < F.col("b.simhash"))
-    near = F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))) <= MAX_BITS
-    return a.join(b, same & near).select(F.col("a.simhash").alias("a"), F.col("b.simhash").alias("b")).distinct()
+    near = lambda x, y: F.bit_count(F.col(f"{x}.simhash").bitwiseXOR(F.col(f"{y}.simhash"))) <= MAX_BITS
+    both = [F.col("a.simhash").alias("a"), F.col("b.simhash").alias("b")]
+    a, b = cold.alias("a"), _shuffled(cold.alias("b"))
+    pairs_ = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.simhash") < F.col("b.simhash")) & near("a", "b")).select(*both)
+    return pairs_.unionByName(pairs_within(hot, ["key", "part"], "simhash", near).select(*both)).distinct()
 
 
 def _lengths_alike(a: str, b: str) -> Column:
@@ -113,17 +139,14 @@ def representatives(prints: DataFrame) -> DataFrame:
 
 def alike_representatives(reps: DataFrame) -> DataFrame:
     """Pairs of different representatives that are alike: x, y (x < y)."""
-    a, b = reps.select("rep", "sha").alias("a"), reps.select("rep", "sha").alias("b")
-    exact = a.join(b, (F.col("a.sha") == F.col("b.sha")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y"))
+    pair = [F.col("a.rep").alias("x"), F.col("b.rep").alias("y")]
+    exact = pairs_within(reps.select("rep", "sha").filter("sha is not null"), ["sha"], "rep").select(*pair)
 
     sized = reps.select("rep", "simhash", "text_length").filter("simhash is not null and text_length is not null")
-    m = sized.alias("m")
+    m = _shuffled(sized.alias("m"))
     left = near_words(sized.select("simhash").distinct()).join(m, F.col("a") == F.col("m.simhash")).select("b", F.col("m.rep").alias("x"), F.col("m.text_length").alias("x_length"))
     between = left.join(m, F.col("b") == F.col("m.simhash")).select("x", "x_length", F.col("m.rep").alias("y"), F.col("m.text_length").alias("y_length"))
-    c, d = sized.alias("c"), sized.alias("d")
-    within = c.join(d, (F.col("c.simhash") == F.col("d.simhash")) & (F.col("c.rep") < F.col("d.rep"))).select(
-        F.col("c.rep").alias("x"), F.col("c.text_length").alias("x_length"), F.col("d.rep").alias("y"), F.col("d.text_length").alias("y_length")
-    )
+    within = pairs_within(sized, ["simhash"], "rep").select(*pair, F.col("a.text_length").alias("x_length"), F.col("b.text_length").alias("y_length"))
     near = between.unionByName(within).filter(_lengths_alike("x_length", "y_length")).select("x", "y")
     return exact.unionByName(near).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
@@ -143,7 +166,7 @@ def _members(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = F.col("p.salt") == F.col("r.salt")
     for k in ("sha", "simhash", "text_length"):
         same = same & F.col(f"p.{k}").eqNullSafe(F.col(f"r.{k}"))
-    return reps, p.join(r, same).select(F.col("p.id").alias("id"), F.col("r.rep").alias("rep"))
+    return reps, p.join(_shuffled(r), same).select(F.col("p.id").alias("id"), F.col("r.rep").alias("rep"))
 
 
 def near_pairs(blocks: DataFrame) -> DataFrame:
@@ -159,10 +182,9 @@ def near_pairs(blocks: DataFrame) -> DataFrame:
     links = alike_representatives(reps)
     # most fingerprints have one block, which is its own representative
     x, y = members.select(F.col("id").alias("a"), F.col("rep").alias("x")), members.select(F.col("id").alias("b"), F.col("rep").alias("y"))
-    across = links.join(x, "x", "left").join(y, "y", "left").select(F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b"))
-    copies = members.join(reps.filter(f"copies > 1 and ({_SELF})").select("rep"), "rep", "left_semi")
-    c, d = copies.alias("c"), copies.alias("d")
-    inside = c.join(d, (F.col("c.rep") == F.col("d.rep")) & (F.col("c.id") < F.col("d.id"))).select(F.col("c.id").alias("a"), F.col("d.id").alias("b"))
+    across = links.join(_shuffled(x), "x", "left").join(_shuffled(y), "y", "left").select(F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b"))
+    copies = members.join(_shuffled(reps.filter(f"copies > 1 and ({_SELF})").select("rep")), "rep", "left_semi")
+    inside = pairs_within(copies, ["rep"], "id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     return across.unionByName(inside).select(F.least("a", "b").alias("block_a"), F.greatest("a", "b").alias("block_b"))
 
 
@@ -178,9 +200,9 @@ def copy_classes(blocks: DataFrame) -> DataFrame:
     links = alike_representatives(reps)
     size = reps.select(F.col("rep").alias("other"), "copies")
     both = links.select(F.col("x").alias("rep"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("rep"), F.col("x").alias("other")))
-    outside = both.join(size, "other").groupBy("rep").agg(F.sum("copies").alias("outside"))
+    outside = both.join(_shuffled(size), "other").groupBy("rep").agg(F.sum("copies").alias("outside"))
     inside = F.when(F.expr(_SELF), F.col("copies") - 1).otherwise(0)
     first = reps.filter("sha is not null").groupBy("sha").agg(F.min("rep").alias("first"))
-    per = reps.join(first, "sha", "left").join(outside, "rep", "left").select("rep", "first", (inside + F.coalesce("outside", F.lit(0))).cast("bigint").alias("links"))
+    per = reps.join(_shuffled(first), "sha", "left").join(_shuffled(outside), "rep", "left").select("rep", "first", (inside + F.coalesce("outside", F.lit(0))).cast("bigint").alias("links"))
     single = reps.filter("copies = 1").select(F.col("rep").alias("id"), "rep")
-    return members.unionByName(single).join(per, "rep").select("id", F.coalesce("first", "id").alias("class_id"), "links")
+    return members.unionByName(single).join(_shuffled(per), "rep").select("id", F.coalesce("first", "id").alias("class_id"), "links")
