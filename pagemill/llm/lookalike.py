@@ -23,7 +23,12 @@ from pagemill.runtime import checkpoint
 #: Letters of other scripts with the shape of a Latin letter (fixed values).
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj")
 CYRILLIC = ("АВЕКМНОРСТУХЅІЈԌԚԜаеорсухѕіјԁԛԝһӏ", "ABEKMHOPCTYXSIJGQWaeopcyxsijdqwhl")
-ARMENIAN = ("ՕՏօ", "OSo")
+ARMENIAN = ("ՕՏօոսհ", "OSonuh")
+#: Scripts whose capitals were taken from the Latin alphabet.
+LISU = ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU")
+CHEROKEE = ("ᎠᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏟᏞᏢᏦᏴ", "DAJEWMHGZVSCLPKB")
+#: Other letters of one shape.
+SINGLE = ("νɡ", "vg")
 #: Hyphens of the length of the hyphen-minus.
 HYPHENS = "‐‑"
 #: Blanks of one place.
@@ -34,9 +39,12 @@ IGNORABLE = (
     (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 )
 
+#: A form with more texts than this is split, and the parts into which it and the copies of a text are spread.
+HOT_FORM, SALTS = 512, 16
+
 _INVISIBLE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in IGNORABLE) + "]")
 _MAP: dict[int, str] = {}
-for _from, _to in (GREEK, CYRILLIC, ARMENIAN):
+for _from, _to in (GREEK, CYRILLIC, ARMENIAN, LISU, CHEROKEE, SINGLE):
     _MAP.update(zip(map(ord, _from), _to))
 _MAP.update({ord(c): " " for c in BLANKS} | {ord(c): "-" for c in HYPHENS} | {0xB5: "μ"})
 
@@ -106,8 +114,8 @@ def lookalike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     Null texts and texts without a visible character are in no pair, equal texts
     neither. Documents are keyed by two digests, so the texts themselves are not
-    shuffled. Only forms with at least two different texts are joined; a large group
-    of equal texts alone never meets the join.
+    shuffled. Pairs are formed between different texts of one form and then spread over
+    their copies; a large group of equal texts alone never meets the join.
     """
     rows = (
         documents.select(F.col(key).alias("id"), F.col(text).alias("t"))
@@ -120,18 +128,25 @@ def lookalike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text
     rows = checkpoint(rows)
     # one row for each distinct text of a form, then the forms that have more than one
     distinct = rows.groupBy("form", "digest").agg(F.count("*").alias("copies"))
-    mixed = distinct.groupBy("form").agg(F.count("*").alias("texts")).filter("texts > 1").select("form")
-    members = rows.join(mixed, "form", "left_semi").distinct()
-    a, b = members.alias("a"), members.alias("b")
-    return (
-        a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.digest") != F.col("b.digest")) & (F.col("a.id") < F.col("b.id")))
-        .select(F.col("a.id").alias(f"{key}_a"), F.col("b.id").alias(f"{key}_b"))
-        .distinct()
+    mixed = distinct.groupBy("form").agg(F.count("*").alias("texts")).filter("texts > 1")
+    some = distinct.join(mixed, "form")
+    # pairs of texts: of a form with very many texts each task compares a part with all
+    hot = F.col("texts") > HOT_FORM
+    a = some.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).otherwise(0)).alias("a")
+    b = some.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).alias("b")
+    texts = a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.digest") < F.col("b.digest"))).select(
+        F.col("a.form").alias("form"), F.col("a.digest").alias("x"), F.col("b.digest").alias("y")
     )
+    # then their documents: of a text with very many copies each task takes a part
+    members = rows.join(some.select("form", "digest"), ["form", "digest"], "left_semi").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = spread(texts).join(members.select("form", F.col("digest").alias("x"), "salt", F.col("id").alias("p")), ["form", "x", "salt"]).drop("salt", "x")
+    both = spread(left).join(members.select("form", F.col("digest").alias("y"), "salt", F.col("id").alias("q")), ["form", "y", "salt"])
+    return both.filter("p <> q").select(F.least("p", "q").alias(f"{key}_a"), F.greatest("p", "q").alias(f"{key}_b")).distinct()
 
 
 def lookalike_classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document with its class (digest of the form) and the numbers of documents and of different texts in it."""
+    """One row for each document that has a text, with its class (digest of the form) and the numbers of documents and of different texts in it."""
     rows = documents.select(F.col(key), F.col(text).alias("t")).filter("t is not null").withColumn("form", consistent_form(F.col("t")))
     rows = checkpoint(rows.select(key, F.md5(F.col("form").cast("binary")).alias("class_id"), _digest("t").alias("digest")))
     distinct = rows.groupBy("class_id", "digest").agg(F.count("*").alias("copies"))

@@ -1,7 +1,8 @@
 """Mixing sources to target shares of the size in tokens.
 
-The unit is a distinct text. Texts that stand in several sources can serve either, so
-texts are aggregated by their membership pattern (the set of their sources), and the
+The unit is a document, together with one document of equal text from each other source
+that has one: these can serve either source, so units are aggregated by their membership
+pattern (the set of their sources), and the
 tokens of the patterns are routed to the quotas of the sources as a flow of least
 cost: the k-th use of a text is an edge of cost k - 1, open to the sources that allow
 k uses. The graph has one node for each pattern and use, so its size depends on the
@@ -20,10 +21,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pagemill.llm.tokens import count_tokens
-from pagemill.runtime import checkpoint
+from pagemill.runtime import checkpoint, latest
 
 #: Ranges of the seeded order whose sums are taken first; the prefix sums run within one range.
 RANGES = 4096
+#: Parts in which the copies of one text are numbered.
+PARTS = 64
 
 
 def source_name(source: Column) -> Column:
@@ -118,19 +121,28 @@ def plan(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, i
 
 
 def units(documents: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
-    """Distinct texts of the wanted sources: digest, pattern, n_tokens, ids (source -> smallest doc_id).
+    """Units of the wanted sources: digest, copy, pattern, n_tokens, ids (source -> doc_id).
 
-    Null, empty and unlisted rows are left out. Sources count in one spelling. The
-    target table is small by its nature, one row for each source.
+    Of equal texts the k-th documents of all sources make the k-th unit, so every
+    document is in one unit. Null, empty and unlisted rows are left out; a document
+    delivered more than once counts once. Sources count in one spelling. The copies
+    of a text are numbered in ``PARTS`` parts, as one text may have very many.
     """
     wanted = targets.select(source_name(F.col("source")).alias("source")).filter("source is not null").distinct()
-    rows = documents.select("doc_id", "text", source_name(F.col("source")).alias("source")).filter("doc_id is not null and length(text) > 0 and source is not null")
-    rows = count_tokens(rows.join(F.broadcast(wanted), "source", "left_semi"), "text", tokenizer, folder)
-    slim = rows.select("doc_id", "source", "n_tokens", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
-    # the copies of a text within a source go first, so that a text with many copies stays one small row
-    per = slim.groupBy("digest", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
-    both = per.groupBy("digest").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "doc_id")))).alias("ids"), F.max("n_tokens").alias("n_tokens"))
-    return both.filter("n_tokens > 0").select("digest", F.array_sort(F.map_keys("ids")).alias("pattern"), "n_tokens", "ids")
+    received = (F.col("received_at") if "received_at" in documents.columns else F.lit(None).cast("timestamp")).alias("received_at")
+    rows = documents.select("doc_id", "text", source_name(F.col("source")).alias("source"), received).filter("doc_id is not null and length(text) > 0 and source is not null")
+    rows = count_tokens(rows.join(wanted, "source", "left_semi"), "text", tokenizer, folder)
+    slim = latest(rows.select("doc_id", "source", "n_tokens", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "received_at"), ["doc_id"]).drop("received_at")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
+    slim = slim.withColumn("part", part)
+    counts = slim.groupBy("digest", "source", "part").agg(F.count("*").alias("n"))
+    # PARTS rows at most for each text and source
+    before = Window.partitionBy("digest", "source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("digest", "source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("digest", "source", "part").orderBy("doc_id")
+    numbered = slim.withColumn("nth", F.row_number().over(within)).join(base, ["digest", "source", "part"]).withColumn("copy", F.col("base") + F.col("nth") - 1)
+    both = numbered.groupBy("digest", "copy").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "doc_id")))).alias("ids"), F.max("n_tokens").alias("n_tokens"))
+    return both.filter("n_tokens > 0").select("digest", "copy", F.array_sort(F.map_keys("ids")).alias("pattern"), "n_tokens", "ids")
 
 
 PART = T.StructType(
@@ -147,8 +159,7 @@ PART = T.StructType(
 def mix(documents: DataFrame, targets: DataFrame, size: int | None = None, seed: int = 17, tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """The chosen documents: doc_id, source, n_tokens, repeats.
 
-    Of a text that stands in several documents of a source the one with the smallest
-    doc_id is taken. A document belongs to the part that holds the middle of its tokens, so a part misses
+    A document belongs to the part that holds the middle of its tokens, so a part misses
     its quota by at most half a document at either end.
     Without targets, or without documents for them, the result is empty.
     """
@@ -166,13 +177,13 @@ def mix(documents: DataFrame, targets: DataFrame, size: int | None = None, seed:
                 at += n
     parts_df = spark.createDataFrame(cuts, PART)
 
-    order = F.xxhash64(F.lit(seed), "digest")
-    placed = rows.select("pattern", "n_tokens", "ids", order.alias("o"), F.pmod(F.shiftrightunsigned(order, 64 - 12), F.lit(RANGES)).cast("int").alias("range"), "digest")
+    order = F.xxhash64(F.lit(seed), "digest", "copy")
+    placed = rows.select("pattern", "n_tokens", "ids", order.alias("o"), F.pmod(F.shiftrightunsigned(order, 64 - 12), F.lit(RANGES)).cast("int").alias("range"), "digest", "copy")
     sums = placed.groupBy("pattern", "range").agg(F.sum("n_tokens").alias("n"))
     # RANGES rows at most for each pattern
     before = Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("pattern", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("pattern", "range").orderBy("o", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("pattern", "range").orderBy("o", "digest", "copy").rowsBetween(Window.unboundedPreceding, -1)
     at = placed.withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(base, ["pattern", "range"]).withColumn("start", F.col("base") + F.col("inner"))
     taken = at.join(F.broadcast(parts_df), "pattern").filter("2 * start + n_tokens >= 2 * low and 2 * start + n_tokens < 2 * high")
     return (

@@ -72,13 +72,18 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "documents"))
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with its class of one look, the documents in it and their different texts."""
+    return lookalike.lookalike_classes(table(spark, d, "documents"))
+
+
 def p8_texts(spark: SparkSession, d: str) -> DataFrame:
     """Each document's text in the consistent form."""
     return lookalike.normalised(table(spark, d, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_limits, p1_by_source, p2_found, p2_paragraphs, p5_found, p5_classes, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_texts)
+    f.__name__: f for f in (p1_found, p1_limits, p1_by_source, p2_found, p2_paragraphs, p5_found, p5_classes, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_classes, p8_texts)
 }
 
 #: Captions by plain SQL, with expressions of its own.
@@ -156,8 +161,9 @@ pairs AS (SELECT a.id AS block_a, b.id AS block_b FROM p a JOIN p b ON a.id < b.
      OR coalesce(bit_count(xor(a.sim, b.sim)) <= 3 AND abs(a.len - b.len) * 10 <= greatest(a.len, b.len), false))
 """
 
-_FROM = "".join((lookalike.GREEK[0], lookalike.CYRILLIC[0], lookalike.ARMENIAN[0], lookalike.BLANKS, lookalike.HYPHENS, "µ"))
-_TO = "".join((lookalike.GREEK[1], lookalike.CYRILLIC[1], lookalike.ARMENIAN[1], " " * len(lookalike.BLANKS), "-" * len(lookalike.HYPHENS), "μ"))
+_LETTERS = (lookalike.GREEK, lookalike.CYRILLIC, lookalike.ARMENIAN, lookalike.LISU, lookalike.CHEROKEE, lookalike.SINGLE)
+_FROM = "".join((*(x[0] for x in _LETTERS), lookalike.BLANKS, lookalike.HYPHENS, "µ"))
+_TO = "".join((*(x[1] for x in _LETTERS), " " * len(lookalike.BLANKS), "-" * len(lookalike.HYPHENS), "μ"))
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
 _GONE = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in lookalike.IGNORABLE)
@@ -180,5 +186,8 @@ SQL: dict[str, str] = {
     "p8_found": f"""WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE text IS NOT NULL)
     SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id
     WHERE regexp_matches(a.form, '[^\\s\\pZ\\p{{Cc}}\\p{{Cf}}]')""",
+    "p8_classes": f"""WITH f AS (SELECT doc_id, text, md5({_FORM}) AS class_id FROM documents WHERE text IS NOT NULL),
+    n AS (SELECT class_id, count(*) AS documents, count(DISTINCT text) AS texts FROM f GROUP BY 1)
+    SELECT f.doc_id, class_id, n.documents, n.texts FROM f JOIN n USING (class_id)""",
     "p8_texts": f"SELECT doc_id, {_FORM} AS text, coalesce({_FORM} <> text, false) AS changed FROM documents",
 }

@@ -11,13 +11,16 @@ from __future__ import annotations
 
 import base64
 import os
+import sys
+import types
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.runtime import checkpoint, latest
@@ -42,25 +45,35 @@ def read_ranks(name: str, folder: str | None = None) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _encoder(pattern: str, name: str, folder: str | None):
-    """One encoder for each process, kept with the library, as functions come to a worker anew for each task."""
-    import tiktoken
+PIECE = r"[\s\S]+"
+#: The library's own pattern, for whole texts (fixed value).
+WHOLE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
-    kept = tiktoken.__dict__.setdefault("_pagemill_encoders", {})
-    key = (pattern, name, folder)
-    if key not in kept:
-        kept[key] = tiktoken.Encoding("pagemill", pat_str=pattern, mergeable_ranks=read_ranks(name, folder), special_tokens={})
-    return kept[key]
+class Tokenizer:
+    """A tokenizer whose table is read on the driver and sent to the workers by broadcast, so its file need be on the driver only."""
 
+    def __init__(self, spark: SparkSession, name: str, folder: str | None = None):
+        self.name = f"{folder or TOKENIZERS}/{name}"
+        self.table = spark.sparkContext.broadcast(read_ranks(name, folder))
 
-def piece_encoder(name: str, folder: str | None = None):
-    """Encoder that takes a whole text as one piece."""
-    return _encoder(r"[\s\S]+", name, folder)
+    def encoder(self, pattern: str):
+        """The encoder, made once in each worker process; functions come to a worker anew for each task."""
+        import tiktoken
 
+        kept = sys.modules.setdefault("_pagemill_worker_state", types.ModuleType("_pagemill_worker_state")).__dict__
+        key = f"encoder {self.name} {pattern}"
+        if key not in kept:
+            kept[key] = tiktoken.Encoding("pagemill", pat_str=pattern, mergeable_ranks=self.table.value, special_tokens={})
+        return kept[key]
 
-def text_encoder(name: str, folder: str | None = None):
-    """Encoder of whole texts with the library's own pattern."""
-    return _encoder(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", name, folder)
+
+@lru_cache
+def text_encoder(name: str, folder: str | None = None, pattern: str = WHOLE):
+    """Encoder on the driver."""
+    import tiktoken
+
+    return tiktoken.Encoding("pagemill", pat_str=pattern, mergeable_ranks=read_ranks(name, folder), special_tokens={})
 
 
 def pretokens(text: Column) -> Column:
@@ -71,8 +84,10 @@ def pretokens(text: Column) -> Column:
 def encode_words(counts: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Adds ``ids`` to rows of a distinct ``word`` and its count ``n``."""
 
+    tokenizer = Tokenizer(counts.sparkSession, name, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = piece_encoder(name, folder)
+        enc = tokenizer.encoder(PIECE)
         for b in batches:
             ids = [enc.encode_ordinary(w) for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
@@ -175,9 +190,11 @@ def decode(encoded: DataFrame, name: str = "byte_bpe_50k", key: str = "doc_id",
 def count_tokens(df: DataFrame, text: str = "text", name: str = "byte_bpe_50k", folder: str | None = None, out: str = "n_tokens") -> DataFrame:
     """Adds the number of tokens of each text; 0 for an empty or null one."""
 
+    tokenizer = Tokenizer(df.sparkSession, name, folder)
+
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = text_encoder(name, folder)
+        enc = tokenizer.encoder(WHOLE)
         for s in batches:
             yield pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in s], index=s.index, dtype="int32")
 

@@ -32,3 +32,12 @@ def test_pairs(spark):
     forms = {r.doc_id: r.text for r in L.normalised(df).collect()}
     assert forms == {i: None if t is None else L.look(t) for i, t in enumerate(texts)}
     assert L.lookalike_pairs(df.limit(0)).count() == 0
+
+
+def test_hot_forms_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(L, "HOT_FORM", 3)
+    texts = ["a-b", "a‑b", "a‐b", "a－b", "а-b", "a\u200b-b"] * 5 + ["c"] * 7
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(i, j) for i, j in itertools.combinations(range(30), 2) if texts[i] != texts[j]}
+    got = L.lookalike_pairs(df).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)

@@ -68,6 +68,18 @@ def test_mix(spark):
     assert M.mix(df.limit(0), targets).count() == 0 and M.mix(df, targets.limit(0)).count() == 0
 
 
+@files
+def test_equal_texts_are_documents_of_their_own(spark):
+    docs = [(i, "the same text", "a" if i < 5 else "b") for i in range(8)] + [(9, "the same text", "a"), (9, "the same text", "a"), (20, "another text here", "c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 1), ("c", 0.1, 9)], "source string, target_share double, max_repeats int")
+    got = M.units(df, targets).collect()
+    assert sorted(x for r in got for x in r.ids.values()) == [0, 1, 2, 3, 4, 5, 6, 7, 9, 20]
+    assert sorted(len(r.pattern) for r in got) == [1, 1, 1, 1, 2, 2, 2]
+    mixed = M.mix(df, targets, size=100).collect()
+    assert len({r.doc_id for r in mixed if r.source == "a"}) > 3
+
+
 def test_source_names(spark):
     from pyspark.sql import functions as F
 

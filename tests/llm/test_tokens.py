@@ -66,5 +66,5 @@ def test_pieces(text):
 
     pieces = regex.findall(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", text)
     if "".join(pieces) == text and text.isprintable():
-        enc = K.piece_encoder("byte_bpe_50k")
+        enc = K.text_encoder("byte_bpe_50k", pattern=K.PIECE)
         assert [i for p in pieces for i in enc.encode_ordinary(p)] == K.text_encoder("byte_bpe_50k").encode_ordinary(text)
