@@ -68,8 +68,11 @@ def caption_items(elements: DataFrame, manifests: DataFrame | None = None) -> Da
     """
     one = F.when(F.size("caption") > 0, F.col("caption"))
     received = (F.col("received_at") if "received_at" in elements.columns else F.lit(None).cast("timestamp")).alias("received_at")
-    known = elements.select("doc_id", "source_index", "source", *FIELDS, received).filter("doc_id is not null and source_index is not null")
-    rows = latest(known, ["doc_id", "source_index"]).filter(" or ".join(f"size({f}) > 0" for f in FIELDS))
+    key, filled = ["doc_id", "source_index"], " or ".join(f"size({f}) > 0" for f in FIELDS)
+    known = elements.select(*key, "source", *FIELDS, received).filter("doc_id is not null and source_index is not null")
+    # only the few elements delivered more than once are compared with their other deliveries
+    repeated = checkpoint(known.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key))
+    rows = known.filter(filled).join(repeated, key, "left_anti").unionByName(latest(known.join(repeated, key, "left_semi"), key).filter(filled))
     if manifests is not None:
         known, unknown = rows.filter("source is not null"), rows.filter("source is null")
         backend = manifests.select(F.col("package_id").alias("doc_id"), "backend").filter("backend is not null").groupBy("doc_id").agg(F.min("backend").alias("backend"))
@@ -270,6 +273,9 @@ def truncated_items(elements: DataFrame, manifests: DataFrame | None = None) ->
     marks of omission, broken characters, open brackets and open ends behind a whole sentence are cuts.
     """
     items = caption_items(elements, manifests)
+    # the texts are few bytes but costly to cut into words, so they are spread whatever their size
+    tasks = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    items = checkpoint(items.repartition(tasks, "doc_id", "source_index"))
     return judge(items, storage_limits(items))
 
 
