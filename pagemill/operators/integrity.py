@@ -60,17 +60,36 @@ def contract_checks(blocks: DataFrame) -> DataFrame:
     return title.unionByName(order).unionByName(reused.select("doc_id", F.lit("asset-reused").alias("code"), "n"))
 
 
-def anchor_state(blocks: DataFrame) -> DataFrame:
-    """State of each package by its expected and actual anchors: doc_id, expected, missing, unexpected, state.
-
-    Expected are the block ids; actual the ids that the anchors name. Ambiguous with
-    anchors of no block, recoverable with missing ones, else valid.
+def anchor_state(blocks: DataFrame, articles: DataFrame | None = None) -> DataFrame:
+    """State of each package by its contract and anchors: doc_id, expected, missing, unexpected, repeated, faults, state.
+
+    Expected are the block ids; actual the ids that the anchors name. The first that
+    holds: ``invalid-contract`` with a fault of a block or of the contract,
+    ``ambiguous`` with repeated or malformed anchors or anchors of no block,
+    ``recoverable`` with missing ones, ``edited-with-anchors`` where ``articles``
+    (doc_id, recorded, actual digest) says that the text was changed, else ``valid``.
+    A package without a block has no row.
     """
     b = latest(blocks.filter("id is not null and doc_id is not null"), ["id"])
-    want, have = b.select("doc_id", "id").distinct(), b.select("doc_id", F.col("anchor.id").alias("id")).filter("id is not null").distinct()
-    both = want.withColumn("w", F.lit(1)).join(have.withColumn("h", F.lit(1)), ["doc_id", "id"], "full")
-    per = both.groupBy("doc_id").agg(F.count("w").alias("expected"), F.count_if(F.col("h").isNull()).alias("missing"), F.count_if(F.col("w").isNull()).alias("unexpected"))
-    return per.withColumn("state", F.when(F.col("unexpected") > 0, "ambiguous").when(F.col("missing") > 0, "recoverable").otherwise("valid"))
+    faults = block_checks(b).groupBy("id").agg(F.count("*").alias("faults"))
+    own = b.select("doc_id", "id").join(faults, "id").groupBy("doc_id").agg(F.sum("faults").alias("own"))
+    whole = contract_checks(b).groupBy("doc_id").agg(F.count("*").alias("whole"))
+    named = b.select("doc_id", F.col("anchor.id").alias("id")).filter("id is not null")
+    have = named.groupBy("doc_id", "id").agg(F.count("*").alias("h"), F.max((~(F.col("id").rlike(P.BLOCK_ID) | F.col("id").rlike(P.SLOT_ID))).cast("int")).alias("odd"))
+    both = b.select("doc_id", "id").withColumn("w", F.lit(1)).join(have, ["doc_id", "id"], "full")
+    per = both.groupBy("doc_id").agg(
+        F.count("w").alias("expected"), F.count_if(F.col("h").isNull()).alias("missing"), F.count_if(F.col("w").isNull()).alias("unexpected"), F.count_if((F.col("h") > 1) | (F.col("odd") > 0)).alias("repeated")
+    )
+    per = per.join(own, "doc_id", "left").join(whole, "doc_id", "left").withColumn("faults", F.coalesce("own", F.lit(0)) + F.coalesce("whole", F.lit(0))).drop("own", "whole")
+    edited = F.lit(False)
+    if articles is not None:
+        changed = articles.filter(~F.lower("recorded").eqNullSafe(F.lower("actual"))).select("doc_id").distinct().withColumn("edited", F.lit(True))
+        per, edited = per.join(changed, "doc_id", "left"), F.coalesce("edited", F.lit(False))
+    state = (
+        F.when(F.col("faults") > 0, "invalid-contract").when((F.col("repeated") > 0) | (F.col("unexpected") > 0), "ambiguous")
+        .when(F.col("missing") > 0, "recoverable").when(edited, "edited-with-anchors").otherwise("valid")
+    )
+    return per.withColumn("state", state).drop("edited")
 
 
 def manifest_files(manifests: DataFrame) -> DataFrame:

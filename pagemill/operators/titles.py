@@ -94,9 +94,3 @@ def title_candidates(documents: DataFrame, every: int = 50, threshold: float = R
     top = scored.select("title", F.col("y").alias("candidate"), F.round("s", 4).alias("similarity")).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= best)
     return queries.join(top, "title").select("doc_id", "candidate", "similarity", "rank")
 
-
-def sure_candidate(candidates: DataFrame, high: float = HIGH, lead: float = LEAD) -> DataFrame:
-    """The first candidate where it is very similar and leads the second by enough."""
-    order = Window.partitionBy("doc_id").orderBy("rank")
-    led = candidates.withColumn("second", F.lead("similarity").over(order))
-    return led.filter((F.col("rank") == 1) & (F.col("similarity") >= high) & (F.col("second").isNull() | (F.round(F.col("similarity") - F.col("second"), 6) >= lead))).select("doc_id", "candidate", "similarity")

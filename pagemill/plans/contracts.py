@@ -44,11 +44,19 @@ def contract_checks(spark: SparkSession, d: str) -> DataFrame:
     return I.contract_checks(table(spark, d, "reader_blocks"))
 
 
+_FAULTS = " UNION ALL ".join(f"SELECT doc_id FROM b WHERE {v}" for v in _RULES.values())
+
+
 @query(
-    f"""WITH {_B}, w AS (SELECT DISTINCT doc_id, id FROM b), h AS (SELECT DISTINCT doc_id, anchor.id AS id FROM b WHERE anchor.id IS NOT NULL),
-    j AS (SELECT coalesce(w.doc_id, h.doc_id) AS doc_id, w.id AS w, h.id AS h FROM w FULL JOIN h ON w.doc_id = h.doc_id AND w.id = h.id),
-    p AS (SELECT doc_id, count(w) AS expected, count(*) FILTER (h IS NULL) AS missing, count(*) FILTER (w IS NULL) AS unexpected FROM j GROUP BY 1)
-    SELECT *, CASE WHEN unexpected > 0 THEN 'ambiguous' WHEN missing > 0 THEN 'recoverable' ELSE 'valid' END AS state FROM p"""
+    f"""WITH {_B}, c AS (SELECT doc_id, count(*) FILTER (kind = 'title') AS titles, arg_min(kind, block_order) AS first, count(DISTINCT block_order) AS orders, count(block_order) AS ordered FROM b GROUP BY 1),
+    bad AS (SELECT doc_id, count(*) AS faults FROM ({_FAULTS}
+      UNION ALL SELECT doc_id FROM c WHERE NOT coalesce(first = 'title' AND titles = 1, false) UNION ALL SELECT doc_id FROM c WHERE orders < ordered
+      UNION ALL SELECT DISTINCT doc_id FROM (SELECT doc_id, asset_id FROM b WHERE asset_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)) GROUP BY 1),
+    w AS (SELECT doc_id, id FROM b WHERE doc_id IS NOT NULL), h AS (SELECT doc_id, anchor.id AS id, count(*) AS n FROM b WHERE anchor.id IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL),
+    j AS (SELECT coalesce(w.doc_id, h.doc_id) AS doc_id, w.id AS w, h.id AS h, h.n > 1 OR NOT (regexp_matches(h.id, {quoted(P.BLOCK_ID)}) OR regexp_matches(h.id, {quoted(P.SLOT_ID)})) AS odd FROM w FULL JOIN h ON w.doc_id = h.doc_id AND w.id = h.id),
+    p AS (SELECT doc_id, count(w) AS expected, count(*) FILTER (h IS NULL) AS missing, count(*) FILTER (w IS NULL) AS unexpected, count(*) FILTER (odd) AS repeated FROM j GROUP BY 1)
+    SELECT p.*, coalesce(faults, 0) AS faults, CASE WHEN faults > 0 THEN 'invalid-contract' WHEN repeated > 0 OR unexpected > 0 THEN 'ambiguous' WHEN missing > 0 THEN 'recoverable' ELSE 'valid' END AS state
+    FROM p LEFT JOIN bad USING (doc_id)"""
 )
 def anchor_state(spark: SparkSession, d: str) -> DataFrame:
     """SET-01, SET-02: state of each package by its anchors."""

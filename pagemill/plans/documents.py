@@ -60,15 +60,6 @@ def title_candidates_top5(spark: SparkSession, d: str) -> DataFrame:
     return titles.title_candidates(table(spark, d, "documents"))
 
 
-@query(
-    f"""WITH {_TOP}, n AS (SELECT *, lead(similarity) OVER (PARTITION BY doc_id ORDER BY rank) AS second FROM k WHERE rank <= 5)
-    SELECT doc_id, candidate, similarity FROM n WHERE rank = 1 AND similarity >= 0.92 AND (second IS NULL OR round(similarity - second, 6) >= 0.08)"""
-)
-def title_high_confidence(spark: SparkSession, d: str) -> DataFrame:
-    """TOPK-01: the candidate that is sure."""
-    return titles.sure_candidate(titles.title_candidates(table(spark, d, "documents")))
-
-
 _TRIM_X = f"regexp_replace(x, {quoted(P.TRIM)}, '', 'g')"
 
 

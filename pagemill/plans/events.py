@@ -35,9 +35,13 @@ def follow_states(spark: SparkSession, d: str) -> DataFrame:
     return states.follow_state(table(spark, d, "events"))
 
 
-@query("SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS requests, greatest(count(*) - 3, 0) AS refused FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2")
+@query(
+    """WITH RECURSIVE o AS (SELECT user_id, min(ts) AS started FROM events WHERE user_id IS NOT NULL GROUP BY 1
+      UNION ALL SELECT o.user_id, min(e.ts) FROM o JOIN events e ON e.user_id = o.user_id AND e.ts >= o.started + INTERVAL 1 HOUR GROUP BY o.user_id, o.started)
+    SELECT o.user_id, o.started, count(*) AS requests, greatest(count(*) - 3, 0) AS refused FROM o JOIN events e ON e.user_id = o.user_id AND e.ts >= o.started AND e.ts < o.started + INTERVAL 1 HOUR GROUP BY ALL"""
+)
 def hourly_limit(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-24: requests beyond a limit by hour."""
+    """WIN-24: requests beyond a limit in the hours that the requests of a client open."""
     return states.hourly_limit(table(spark, d, "events"), 3)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,11 +75,45 @@ def follow_state(events: DataFrame) -> DataFrame:
     return events.filter("user_id is not null and ts is not null").select("user_id", "ts", "event_id", "event_type", "value").groupBy("user_id").applyInPandas(fold, FOLLOW)
 
 
-def hourly_limit(events: DataFrame, most: int = 30) -> DataFrame:
-    """Requests beyond ``most`` for each user and clock hour: user_id, hour, requests, refused."""
-    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
-    per = events.filter("user_id is not null and ts is not null").groupBy("user_id", hour.alias("hour")).agg(F.count("*").alias("requests"))
-    return per.withColumn("refused", F.greatest(F.col("requests") - most, F.lit(0)))
+def hourly_limit(events: DataFrame, most: int = 30, key: str = "user_id") -> DataFrame:
+    """Requests beyond ``most`` in the hour that a client's request opens: key, started, requests, refused.
+
+    An hour opens with a client's first request and with the first one that comes an
+    hour or more after the last opening. The requests of a client are read in order
+    and counted as they come, so nothing is held but the open hour.
+    """
+    rows = events.filter(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(F.col(key).alias("client"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    kind = events.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        client, began, n = None, 0, 0
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*out)) or [[], [], []]
+            made = pa.RecordBatch.from_arrays([pa.array(cols[0], kinds[0]), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["client", "began", "requests"])
+            out.clear()
+            return made
+
+        kinds = [pa.int64()]
+        for b in batches:
+            kinds[0] = b.schema.field(0).type
+            for c, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if c == client and at - began < 3_600_000_000:
+                    n += 1
+                else:
+                    if n:
+                        out.append((client, began, n))
+                    client, began, n = c, at, 1
+            if len(out) > 10_000:
+                yield batch()
+        if n:
+            out.append((client, began, n))
+        if out:
+            yield batch()
+
+    hours = rows.repartition("client").sortWithinPartitions("client", "at").mapInArrow(run, f"client {kind}, began long, requests long")
+    return hours.select(F.col("client").alias(key), F.timestamp_micros("began").cast("timestamp_ntz").alias("started"), "requests", F.greatest(F.col("requests") - most, F.lit(0)).alias("refused"))
 
 
 def stream_transitions(events: DataFrame, edges: dict[str, tuple[str, ...]] = TRANSITIONS) -> DataFrame:
@@ -86,7 +121,6 @@ def stream_transitions(events: DataFrame, edges: dict[str, tuple[str, ...]] = TR
 
     The last state of a job is kept as the stream's state until the job ends.
     """
-    import pyarrow as pa  # noqa: F401
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     final = {a for a, bs in edges.items() if not bs}
