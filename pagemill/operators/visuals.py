@@ -230,7 +230,7 @@ def score_group(members: list[dict], parts: list[dict], edges: int, existing: bo
 
 
 def page_groups(page: list[dict]) -> list[dict]:
-    """Groups of the visuals of one page, in order of their place."""
+    """Groups of the visuals of one page, in order of their place; ``n`` counts them before nested ones are united."""
     visuals = [b for b in page if b["role"] == "visual" and b["asset_path"] and b["box"]]
     inside: dict[str, str] = {}
     for c in visuals:
@@ -272,7 +272,47 @@ def page_groups(page: list[dict]) -> list[dict]:
                 "edges": edges,
             }
         )
-    return sorted(out, key=lambda g: (g["box"][1], g["box"][0]))
+    placed = sorted(out, key=lambda g: (g["box"][1], g["box"][0]))
+    return merge_nested([g | {"n": i} for i, g in enumerate(placed)], page)
+
+
+#: How much larger a group must be than one inside it, and the share of the inner one that must lie inside.
+NESTED_SIZE, NESTED_SHARE = 1.35, 0.97
+
+
+def _nested(outer: dict, inner: dict, blocks: dict[str, dict]) -> float | None:
+    """The share of ``inner`` inside ``outer`` if they are one figure drawn twice, else None.
+
+    Both are sure crops of the page, their blocks touch in reading order, and
+    together they name exactly one figure, formally or as one on the next page.
+    """
+    sure = all(g["decision"] == "auto" and g["mode"] == "pdf_crop" for g in (outer, inner))
+    a, b = outer["box"], inner["box"]
+    if not sure or _size(b) <= 0 or _size(a) < NESTED_SIZE * _size(b):
+        return None
+    inside = _overlap(a[0], a[2], b[0], b[2]) * _overlap(a[1], a[3], b[1], b[3]) / _size(b)
+    (first, last), (low, high) = ((min(at), max(at)) for at in ([blocks[i]["page_order"] for i in g["members"]] for g in (outer, inner)))
+    named = {k for g in (outer, inner) for i in g["members"] for k in (*blocks[i]["formal_keys"], *blocks[i]["next_keys"])}
+    return inside if inside >= NESTED_SHARE and low <= last + 1 and first <= high + 1 and len(named) == 1 else None
+
+
+def merge_nested(groups: list[dict], page: list[dict]) -> list[dict]:
+    """Unites groups that lie in each other, from the first pair on, until none is left."""
+    blocks = {b["id"]: b for b in page}
+    order = lambda ids: sorted(dict.fromkeys(ids), key=lambda i: blocks[i]["page_order"])
+    union = lambda *lists: list(dict.fromkeys(x for one in lists for x in one))
+    while True:
+        pairs = ((i, j, *sorted((groups[i], groups[j]), key=lambda g: -_size(g["box"]))) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        hit = next(((i, j, a, b, share) for i, j, a, b in pairs if (share := _nested(a, b, blocks)) is not None), None)
+        if hit is None:
+            return groups
+        i, j, a, b, share = hit
+        one = a | {
+            "members": order(a["members"] + b["members"]), "anchors_at": order(a["anchors_at"] + b["anchors_at"]), "confidence": min(a["confidence"], b["confidence"]),
+            "edges": a["edges"] + b["edges"], "anchors": a["anchors"] + b["anchors"], "image_ids": union(a["image_ids"], b["image_ids"]), "nested": round(share, 4),
+            "reasons": union(a["reasons"], b["reasons"], ["nested_visual_overlap_deduplicated"]), "warnings": union(a["warnings"], b["warnings"]),
+        }
+        groups = [one if k == i else g for k, g in enumerate(groups) if k != j]
 
 
 GROUPS = "doc_id string, page_idx int, id string, member_block_ids array<string>, caption_anchor_block_ids array<string>, mode string, bbox_norm array<double>, confidence double, decision string, adjacent_pair_count int, union_area_fraction double, markdown_reference_coverage double, max_markdown_gap_chars int, reason_codes array<string>, warning_codes array<string>"
@@ -288,14 +328,14 @@ def described_blocks(elements: DataFrame, images: DataFrame | None = None) -> Da
     caps = caption_items(elements).groupBy("doc_id", "source_index").agg(
         F.count_if(F.length("text") >= 30).alias("long"), F.count_if(F.col("formal_key").isNotNull()).alias("anchors"),
         F.count_if(F.col("text").rlike(P.PANEL_LABEL)).alias("panels"),
-        F.array_sort(F.collect_set("figure_key")).alias("figure_keys"),
+        F.array_sort(F.collect_set("figure_key")).alias("figure_keys"), F.array_sort(F.collect_set("formal_key")).alias("formal_keys"),
         F.array_sort(F.collect_set(F.when(F.col("kind") == "next-page-placeholder", F.col("figure_key")))).alias("next_keys"),
     )
     t = X.trim(F.coalesce("text", F.lit("")))
     out = blocks.join(caps, ["doc_id", "source_index"], "left").select(
         "doc_id", "page_idx", "source_index", "id", "page_order", "role", "box", "asset_path",
         *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in ("long", "anchors", "panels")],
-        F.coalesce("figure_keys", F.array().cast("array<string>")).alias("figure_keys"), F.coalesce("next_keys", F.array().cast("array<string>")).alias("next_keys"),
+        *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("figure_keys", "formal_keys", "next_keys")],
         F.length(t).alias("chars"), X.figure_key(t).alias("key"), X.formal_figure_key(t).alias("formal"),
         X.ends_with_terminal(t).alias("ended"), (X.first_letter_is_lower(t) | t.rlike(P.PANEL_START)).alias("goes_on"),
     )
@@ -316,15 +356,15 @@ def visual_groups(elements: DataFrame, images: DataFrame | None = None) -> DataF
     blocks = described_blocks(elements, images)
     visual = (F.col("role") == "visual") & F.col("asset_path").isNotNull() & F.col("box").isNotNull()
     wanted = blocks.filter(visual | F.col("role").isin("text", "title"))
-    cols = ["page_order", "id", "role", "box", "asset_path", "long", "anchors", "panels", "formal", "images"]
+    cols = ["page_order", "id", "role", "box", "asset_path", "long", "anchors", "panels", "formal", "formal_keys", "next_keys", "images"]
     pages = wanted.groupBy("doc_id", "page_idx").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("blocks"), F.count_if(visual).alias("n")).filter("n > 1").drop("n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                for i, g in enumerate(page_groups(r["blocks"])):
-                    rows.append((r["doc_id"], r["page_idx"], f"vr-p{r['page_idx']:04d}-g{i:04d}", g["members"], g["anchors_at"], g["mode"], g["box"], g["confidence"], g["decision"], g["edges"], g["area"], g["coverage"], g["widest_gap"], g["reasons"], g["warnings"]))
+                for g in page_groups(r["blocks"]):
+                    rows.append((r["doc_id"], r["page_idx"], f"vr-p{r['page_idx']:04d}-g{g['n']:04d}", g["members"], g["anchors_at"], g["mode"], g["box"], g["confidence"], g["decision"], g["edges"], g["area"], g["coverage"], g["widest_gap"], g["reasons"], g["warnings"]))
             kinds = [pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
             names = [x.split()[0] for x in GROUPS.split(", ")]
             cols_ = list(zip(*rows)) or [[]] * len(kinds)

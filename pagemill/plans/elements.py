@@ -10,6 +10,7 @@ from pagemill.functions import patterns as P
 from pagemill.functions import text as X
 from pagemill.operators import elements as E
 from pagemill.operators import ordered, visuals
+from pagemill.operators.markdown import image_occurrences
 from pagemill.plans.registry import query, quoted
 from pagemill.runtime import table
 
@@ -172,8 +173,13 @@ def visual_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def visual_groups_built(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-05 to AGG-10, WIN-04 to WIN-07: groups with confidence and decision (tested on golden pages)."""
-    return visuals.visual_groups(table(spark, d, "paper_content_list"))
+    """AGG-07 to AGG-10, WIN-04 to WIN-07: groups with confidence and decision (tested on golden pages).
+
+    The package's article is its first document that shows images.
+    """
+    shows = table(spark, d, "documents").filter("package_id is not null and (contains(text, '![') or contains(lower(text), '<img'))")
+    articles = shows.groupBy(F.col("package_id").alias("doc_id")).agg(F.min_by("text", F.col("doc_id")).alias("text"))
+    return visuals.visual_groups(table(spark, d, "paper_content_list"), image_occurrences(articles))
 
 
 @query()

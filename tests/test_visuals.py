@@ -113,3 +113,16 @@ def test_missing_parts(spark):
     assert sorted((r.id, r.page_order, r.role) for r in elements.viewer_blocks(df).collect()) == [("p0000-s000002", 0, "text"), ("p0000-s000003", 1, "other")]
     for f in (visuals.visual_groups, visuals.caption_links, elements.caption_summaries, visuals.following_captions):
         assert f(df).count() == 0 and f(df.limit(0)).count() == 0
+
+
+def test_nested_groups_are_united():
+    block = lambda i, keys=(): {"id": f"b{i}", "page_order": i, "formal_keys": list(keys), "next_keys": []}
+    page = [block(0), block(1, ["figure:1"]), block(2), block(3), block(9)]
+    group = lambda n, members, box, **x: {"n": n, "members": members, "box": box, "decision": "auto", "mode": "pdf_crop", "anchors_at": members[-1:], "confidence": 0.9, "edges": 1, "anchors": 1, "image_ids": [], "reasons": ["a"], "warnings": []} | x
+    small, large, far = group(0, ["b2", "b3"], [110, 110, 300, 300], confidence=0.87), group(1, ["b0", "b1"], [100, 100, 500, 500]), group(2, ["b9"], [120, 120, 200, 200])
+    got = visuals.merge_nested([small, large, far], page)
+    assert [(g["n"], g["members"], g["confidence"], g["edges"]) for g in got] == [(1, ["b0", "b1", "b2", "b3"], 0.87, 2), (2, ["b9"], 0.9, 1)]
+    assert got[0]["reasons"] == ["a", "nested_visual_overlap_deduplicated"] and got[0]["nested"] == 1.0 and got[0]["box"] == [100, 100, 500, 500]
+    two = [block(0, ["figure:2"]), *page[1:]]
+    assert len(visuals.merge_nested([small, large], two)) == 2
+    assert len(visuals.merge_nested([small | {"decision": "review"}, large], page)) == 2
