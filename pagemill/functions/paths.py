@@ -58,7 +58,7 @@ def percent_decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def asset_path(c: Column) -> Column:
     """Path of a local asset, or null: decoded, slashes forward, no ``./``, scheme, root, ``..`` or NUL."""
     bare = F.regexp_replace(trim(c), r"^<|>$", "")
-    decoded = F.when(bare.contains("%"), percent_decode(bare)).otherwise(bare)
+    decoded = F.when(bare.contains("%"), percent_decode(F.when(bare.contains("%"), bare))).otherwise(bare)
     v = F.regexp_replace(F.replace(decoded, F.lit("\\"), F.lit("/")), r"^(?:\./)+", "")
     return F.when((F.length(v) > 0) & ~v.rlike(r"\x{00}|^/") & ~v.rlike(P.SCHEME) & ~F.array_contains(F.split(v, "/"), ".."), v)
 
@@ -112,7 +112,7 @@ def paper_query(c: Column) -> Column:
     """
     t = trim(c)
     u = url_parts(t)
-    host, path = u["host"], F.when(u["path"].contains("%"), percent_decode(u["path"])).otherwise(u["path"])
+    host, path = u["host"], F.when(u["path"].contains("%"), percent_decode(F.when(u["path"].contains("%"), u["path"]))).otherwise(u["path"])
     ncbi = F.regexp_extract(path, r"(?i)^/pubmed/(\d{1,9})/?$", 1)
     pubmed = F.regexp_extract(path, r"^/(\d{1,9})/?$", 1)
     pmc = F.upper(F.regexp_extract(path, r"(?i)^/articles/(PMC\d+)/?$", 1))

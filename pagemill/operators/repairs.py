@@ -103,27 +103,34 @@ def page_anchors(articles: DataFrame, texts: DataFrame) -> DataFrame:
 
     Articles: doc_id, markdown. Texts: doc_id, page_idx, source_index, text. Of a page's
     texts, in reading order, the first that stands once in the article and behind the
-    page before is the anchor; pages without one are left out. As each page depends on
-    the one before, a document is walked over in order.
+    texts, in reading order, the first that stands once in the article and behind the
+    page before is the anchor; pages without one are left out, and so are texts of less
+    than 8 or more than 24,000 characters. As each page depends on the one before, a
+    package's texts are read in order as they come, behind its article; none are held.
     """
-    t = texts.select("doc_id", "page_idx", "source_index", X.trim(F.col("text")).alias("text")).filter("page_idx is not null").filter(F.length("text").between(8, 24_000))
-    pages = t.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("page_idx", "source_index", "text"))).alias("texts"))
-    joined = articles.select("doc_id", "markdown").filter("markdown is not null").join(pages, "doc_id")
+    t = texts.select("doc_id", "page_idx", "source_index", X.trim(F.col("text")).alias("text")).filter("doc_id is not null and page_idx is not null").filter(F.length("text").between(8, 24_000))
+    article = articles.filter("doc_id is not null and markdown is not null").groupBy("doc_id").agg(F.min("markdown").alias("text"))
+    both = article.select("doc_id", F.lit(None).cast("int").alias("page_idx"), F.lit(None).cast("int").alias("source_index"), "text", F.lit(0).alias("of"))
+    both = both.unionByName(t.select("doc_id", F.col("page_idx").cast("int"), F.col("source_index").cast("int"), "text", F.lit(1).alias("of")))
+    rows = both.repartition("doc_id").sortWithinPartitions("doc_id", "of", "page_idx", "source_index", "text").select("doc_id", "page_idx", "text", "of")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, markdown, upto, done = None, None, 0, None
         for pdf in batches:
             out = []
-            for doc, md, texts_ in zip(pdf["doc_id"], pdf["markdown"], pdf["texts"]):
-                upto, done = 0, None
-                for x in texts_:
-                    page = x["page_idx"]
-                    at = md.find(x["text"])
-                    if page != done and at >= upto and md.find(x["text"], at + 1) < 0 and at >= 0:
-                        out.append((doc, page, at, x["text"]))
-                        upto, done = at + len(x["text"]), page
+            for d, page, text, of in zip(pdf["doc_id"], pdf["page_idx"], pdf["text"], pdf["of"]):
+                if d != doc:
+                    doc, markdown, upto, done = d, None, 0, None
+                if of == 0:
+                    markdown = text
+                elif markdown is not None and page != done:
+                    at = markdown.find(text)
+                    if at >= upto and markdown.find(text, at + 1) < 0:
+                        out.append((d, page, at, text))
+                        upto, done = at + len(text), page
             yield pd.DataFrame(out, columns=["doc_id", "page_idx", "start", "text"]).astype({"page_idx": "int32", "start": "int32"})
 
-    return joined.mapInPandas(walk, ANCHORS)
+    return rows.mapInPandas(walk, ANCHORS)
 
 
 def closure(references: DataFrame, files: DataFrame) -> DataFrame:

@@ -17,6 +17,10 @@ from pagemill.functions import text as X
 from pagemill.runtime import checkpoint
 
 RELEVANT, HIGH, LEAD, BEST = 0.65, 0.92, 0.08, 5
+#: Tokens with this share of all tokens are at hand in every task: at most its inverse in number.
+FREQUENT = 1e-5
+#: A key with more titles is split, and the parts into which it is spread.
+HOT_KEY, SALTS = 512, 16
 
 
 def first_line(text: Column) -> Column:
@@ -45,7 +49,12 @@ def _keyed(classes: DataFrame, threshold: float) -> DataFrame:
     share = threshold / (2 - threshold)
     tokens = classes.select(F.col("first_doc").alias("doc"), F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    ranked = tokens.join(counts, "token").groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: F.xxhash64(x["token"])).alias("h"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # a frequent token stands in very many titles: its count is at hand, the rest is joined by shuffle
+    often = tokens.join(F.broadcast(counts.filter(F.col("n") >= FREQUENT * total)), "token", "left")
+    seldom = often.filter("n is null").drop("n").join(counts.filter(F.col("n") < FREQUENT * total), "token")
+    counted = often.filter("n is not null").unionByName(seldom)
+    ranked = counted.groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: F.xxhash64(x["token"])).alias("h"))
     n = F.size("h")
     first = ranked.select("doc", "h", F.slice("h", 1, F.least(n, n - F.ceil(n * share - 1e-9).cast("int") + 2)).alias("t"))
     pairs = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
@@ -55,13 +64,20 @@ def _keyed(classes: DataFrame, threshold: float) -> DataFrame:
 def _candidates(left: DataFrame, right: DataFrame, threshold: float, ordered: bool) -> DataFrame:
     """Pairs of classes (x, y) that pass the threshold by the hashes of their tokens.
 
-    The comparison stands in the join, so what fails is never shuffled.
+    The comparison stands in the join, so what fails is never shuffled. The titles of
+    a key that has very many are spread over ``SALTS`` tasks at least.
     """
-    a, b = left.alias("a"), right.alias("b")
+    hot = checkpoint(right.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_KEY).select("key", F.lit(True).alias("hot")))
+    if hot.isEmpty():
+        a, b = left.withColumn("salt", F.lit(0)).alias("a"), right.withColumn("salt", F.lit(0)).alias("b")
+    else:
+        marked = lambda df: df.join(hot.hint("merge"), "key", "left")
+        a = marked(left).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).otherwise(0)).alias("a")
+        b = marked(right).withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).alias("b")
     n, m = F.size("a.h"), F.size("b.h")
     apart = F.col("a.doc") < F.col("b.doc") if ordered else F.col("a.doc") != F.col("b.doc")
     alike = (2 * F.least(n, m) >= threshold * (n + m)) & (2 * F.size(F.array_intersect("a.h", "b.h")) >= threshold * (n + m) - 1e-9)
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & apart & alike).select(F.col("a.doc").alias("x"), F.col("b.doc").alias("y")).distinct()
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")) & apart & alike).select(F.col("a.doc").alias("x"), F.col("b.doc").alias("y")).distinct()
 
 
 def title_pairs(documents: DataFrame, threshold: float = RELEVANT) -> DataFrame:
