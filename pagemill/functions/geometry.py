@@ -127,3 +127,60 @@ def padded(b: Column, by: float) -> Column:
 def footer_badge(b: Column) -> Column:
     """A small mark near the page's foot."""
     return (part(b, 1) >= 700) & (width(b) <= 100) & (height(b) <= 35) & (area(b) <= 2500)
+
+
+def touching(a: Column, b: Column) -> Column:
+    """Close enough to be parts of one figure, by the narrow or by the broad rule."""
+    return adjacent(a, b, 20, 0.15) | share_extended_band(a, b, 40, 0.65)
+
+
+def conflicting(a: Column, b: Column) -> Column:
+    """Two boxes of nearly the same place and size."""
+    small, large = F.least(area(a), area(b)), F.greatest(area(a), area(b))
+    return (F.try_divide(intersection(a, b), small) > 0.92) & (F.try_divide(large, small) < 1.35)
+
+
+def aligned(a: Column, b: Column) -> Column:
+    """A caption under or over a visual: a fifth of the smaller width is shared, or the centres are near."""
+    centre = lambda x: (part(x, 0) + part(x, 2)) / 2
+    return (x_overlap(a, b) >= 0.2 * F.least(width(a), width(b))) | (F.abs(centre(a) - centre(b)) <= 180)
+
+
+def side_score(caption: Column, visual: Column) -> Column:
+    """Distance of a caption beside a visual plus 40 times the share that it misses in height; null if it is too far off or of another height."""
+    tall = F.greatest(F.lit(1.0), height(visual))
+    shared = y_overlap(caption, visual) / F.greatest(F.lit(1.0), F.least(height(caption), height(visual)))
+    right, left = part(caption, 0) - part(visual, 2), part(visual, 0) - part(caption, 2)
+    off = F.when(right >= -20, F.greatest(right, F.lit(0.0))).when(left >= -20, F.greatest(left, F.lit(0.0)))
+    level = F.abs(part(caption, 1) - part(visual, 1)) <= 45
+    return F.when((off <= 80) & level & (shared >= 0.55) & (height(caption) / tall).between(0.45, 2.2), off + (1 - shared) * 40)
+
+
+def caption_score_any_side(caption: Column, visual: Column) -> Column:
+    """As ``caption_score``, or beside the visual where that gives none."""
+    return F.coalesce(caption_score(caption, visual), side_score(caption, visual))
+
+
+def loose_unit_box(box: Column) -> Column:
+    """Struct x, y, width, height in shares of the page, also beyond its edges; null unless four finite numbers in order."""
+    sane = (F.size(box) == 4) & F.forall(box, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    scale = F.when(F.array_max(F.transform(box, F.abs)) <= 1, 1.0).otherwise(EXTENT)
+    made = F.struct((part(box, 0) / scale).alias("x"), (part(box, 1) / scale).alias("y"), (width(box) / scale).alias("width"), (height(box) / scale).alias("height"))
+    return F.when(sane & (width(box) >= 0) & (height(box) >= 0), made)
+
+
+def stacked(upper: Column, lower: Column) -> Column:
+    """Unit boxes of two paragraphs one below the other in a column."""
+    shared = F.greatest(F.lit(0.0), F.least(upper["x"] + upper["width"], lower["x"] + lower["width"]) - F.greatest(upper["x"], lower["x"]))
+    share = shared / F.greatest(F.lit(1e-6), F.least(upper["width"], lower["width"]))
+    return (share >= 0.62) & (lower["y"] - (upper["y"] + upper["height"])).between(-0.02, 0.12)
+
+
+def paragraph_place(u: Column) -> Column:
+    """Whether a paragraph of the body can stand in a unit box: within the margins, neither too small nor a page wide."""
+    inside = (u["x"] >= 0.02) & (u["y"] >= 0.04) & (u["x"] + u["width"] <= 0.98) & (u["y"] + u["height"] <= 0.96)
+    return inside & u["width"].between(0.2, 0.7) & u["height"].between(0.025, 0.65)
+
+
+def large_image(u: Column) -> Column:
+    return u["width"] * u["height"] >= 0.08

@@ -154,3 +154,113 @@ def review_package(candidates: DataFrame, most: int = 128) -> DataFrame:
     c = candidates.filter("doc_id is not null and candidate_id is not null").select("doc_id", "candidate_id", "kind").distinct()
     per = c.groupBy("doc_id").agg(F.count("*").alias("candidates"), F.countDistinct("kind").alias("kinds"))
     return per.withColumn("status", F.when(F.col("candidates") > most, "too-many").otherwise("ready"))
+
+
+#: Parts of the reader contract (fixed values).
+ASSET_KINDS, RELATION_TYPES = ("figure", "table", "equation", "unknown"), ("places", "caption-of")
+RELATION_ID, ANY_BLOCK_ID, ASSET_PATH = r"^rel_[0-9a-f]{24}$", r"^(?:blk|slot)_[0-9a-f]{24}$", r"^images/[^/]+\.png$"
+ANCHOR_CONTRACT, FINGERPRINT_CONTRACT, READER_CONTRACT = "paper2md-markdown-anchor-v0.1", "paper2md-visible-block-fingerprint-v0.1", "paper2md-reader-v0.1"
+BOUND_MANIFESTS = ("paper2md-manifest-v0.8", "paper2md-manifest-v0.9", "paper2md-manifest-v0.10")
+ASSET_COUNT, ASSET_BYTES, ALL_ASSET_BYTES = 256, 32 * 1024 * 1024, 256 * 1024 * 1024
+
+
+def _not(c: Column) -> Column:
+    return ~F.coalesce(c, F.lit(False))
+
+
+def asset_checks(assets: DataFrame) -> DataFrame:
+    """Faults of a contract's assets: doc_id, id, code; faults of all assets of a document have a null id.
+
+    Assets: doc_id, id, kind, path, sha256, size_bytes, width_px, height_px,
+    display_label, caption_block_id, placement_block_id.
+    """
+    a = assets.filter("doc_id is not null")
+    own = codes(
+        a, ["doc_id", "id"],
+        {
+            "invalid-asset-id": _not(F.col("id").rlike(P.ASSET_ID)), "invalid-asset-kind": _not(F.col("kind").isin(*ASSET_KINDS)), "invalid-asset-path": _not(F.col("path").rlike(ASSET_PATH)),
+            "invalid-asset-hash": _not(F.col("sha256").rlike(P.SHA256)), "asset-too-large": F.col("size_bytes") > ASSET_BYTES,
+            "invalid-asset-metadata": _not((F.col("size_bytes") >= 1) & (F.col("width_px") >= 1) & (F.col("height_px") >= 1)),
+            "invalid-display-label": F.col("display_label").isNotNull() & (F.trim("display_label") == ""),
+            "invalid-caption-block": F.col("caption_block_id").isNotNull() & _not(F.col("caption_block_id").rlike(P.BLOCK_ID)),
+            "invalid-placement-block": _not(F.col("placement_block_id").rlike(P.SLOT_ID)),
+        },
+    )
+    per = a.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("size_bytes") >= 1, F.col("size_bytes"))).alias("bytes")).withColumn("id", F.lit(None).cast("string"))
+    return own.unionByName(codes(per, ["doc_id", "id"], {"too-many-assets": F.col("n") > ASSET_COUNT, "asset-total-too-large": F.col("bytes") > ALL_ASSET_BYTES}))
+
+
+def relation_checks(relations: DataFrame) -> DataFrame:
+    """Faults of a contract's relations: doc_id, id, code. Relations: doc_id, id, type, source_id, target_id, label."""
+    return codes(
+        relations.filter("doc_id is not null"), ["doc_id", "id"],
+        {
+            "invalid-relation-id": _not(F.col("id").rlike(RELATION_ID)), "invalid-relation-type": _not(F.col("type").isin(*RELATION_TYPES)), "invalid-relation-source": _not(F.col("source_id").rlike(ANY_BLOCK_ID)),
+            "invalid-relation-target": _not(F.col("target_id").rlike(P.ASSET_ID)), "invalid-relation-label": F.col("label").isNotNull() & (F.trim("label") == ""),
+        },
+    )
+
+
+def contract_heads(contracts: DataFrame) -> DataFrame:
+    """Faults of the heads of contracts: doc_id, code.
+
+    Contracts: doc_id, article struct<path, sha256, anchor_contract,
+    block_fingerprint_version>, capabilities struct<layout_semantics, caption_binding, body_references>.
+    """
+    a, c = F.col("article"), F.col("capabilities")
+    there = a.isNotNull()
+    return codes(
+        contracts.filter("doc_id is not null"), ["doc_id"],
+        {
+            "invalid-article": ~there, "invalid-article-path": there & _not(a["path"] == "article.md"), "invalid-article-hash": there & _not(a["sha256"].rlike(P.SHA256)),
+            "unsupported-anchor-contract": there & _not(a["anchor_contract"] == ANCHOR_CONTRACT), "unsupported-fingerprint-contract": there & _not(a["block_fingerprint_version"] == FINGERPRINT_CONTRACT),
+            "invalid-capabilities": _not((c["layout_semantics"] == "reviewed") & (c["caption_binding"] == "reviewed-layout-geometry") & (c["body_references"] == "unavailable")),
+        },
+    )
+
+
+def manifest_binding(manifests: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Faults between manifests and the contracts that they name: doc_id, code.
+
+    Manifests: doc_id, manifest_version, source_sha256, reader struct<contract_version,
+    path, sha256, article_path, article_sha256, anchor_contract>, outputs array<struct<path,
+    role, sha256>>. Contracts: doc_id, source_sha256, article_path, article_sha256,
+    reader_sha256. A manifest of an unknown version has this fault only, and one
+    without reader no fault of its parts; without a contract nothing matches.
+    """
+    m, c = manifests.filter("doc_id is not null").alias("m"), contracts.filter("doc_id is not null").alias("c")
+    both = m.join(c, F.col("m.doc_id") == F.col("c.doc_id"), "left").withColumn("key", F.col("m.doc_id"))
+    known, r, outputs = F.coalesce(F.col("m.manifest_version").isin(*BOUND_MANIFESTS), F.lit(False)), F.col("m.reader"), F.col("m.outputs")
+    read, listed = known & r.isNotNull(), known & r.isNotNull() & outputs.isNotNull()
+
+    def once(path: Column, role: str, sha: Column) -> Column:
+        at = F.filter(outputs, lambda o: o["path"] == path)
+        first = F.try_element_at(at, F.lit(1))
+        return (F.size(at) == 1) & (first["role"] == role) & (first["sha256"] == sha)
+
+    found = codes(
+        both, ["key"],
+        {
+            "unsupported-manifest-version": ~known, "manifest-source-mismatch": known & ~F.col("m.source_sha256").eqNullSafe(F.col("c.source_sha256")), "invalid-manifest-reader": known & r.isNull(),
+            "manifest-reader-contract-mismatch": read & _not((r["contract_version"] == READER_CONTRACT) & (r["path"] == "_paper2md/reader.json") & (r["article_path"] == F.col("c.article_path")) & (r["anchor_contract"] == ANCHOR_CONTRACT)),
+            "manifest-reader-hash-mismatch": read & _not(r["sha256"].rlike(P.SHA256) & (r["sha256"] == F.col("c.reader_sha256"))),
+            "manifest-article-hash-mismatch": read & _not(r["article_sha256"].rlike(P.SHA256) & (r["article_sha256"] == F.col("c.article_sha256"))),
+            "invalid-manifest-outputs": read & outputs.isNull(),
+            "manifest-reader-output-mismatch": listed & _not(once(r["path"], "reader_index", r["sha256"])), "manifest-article-output-mismatch": listed & _not(once(r["article_path"], "markdown", r["article_sha256"])),
+        },
+    )
+    return found.withColumnRenamed("key", "doc_id")
+
+
+def single_claims(requests: DataFrame, gap: list[str]) -> DataFrame:
+    """Requests whose gap no other request claims."""
+    once = requests.groupBy(*gap).agg(F.count("*").alias("__n")).filter("__n = 1").drop("__n")
+    return requests.join(once, gap, "left_semi")
+
+
+def source_pdf(files: DataFrame) -> DataFrame:
+    """The PDF that a package was made of: package_id, name; packages that leave it open have no row. Files: package_id, name."""
+    pdf = files.filter(F.lower("name").endswith(".pdf")).select("package_id", "name").distinct()
+    origin = F.col("name").rlike(r"(?i)(?:^|[_-])origin\.pdf$")
+    per = pdf.groupBy("package_id").agg(F.count_if(origin).alias("o"), F.max(F.when(origin, F.col("name"))).alias("origin"), F.count("*").alias("n"), F.max("name").alias("only"))
+    return per.select("package_id", F.when(F.col("o") == 1, F.col("origin")).when(F.col("n") == 1, F.col("only")).alias("name")).filter("name is not null")

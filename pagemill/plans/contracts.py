@@ -222,3 +222,18 @@ def bound_elements(spark: SparkSession, d: str) -> DataFrame:
     per = E.delivered_once(table(spark, d, "paper_content_list").select("doc_id", "source_index")).groupBy("doc_id").agg(F.count("*").alias("elements"))
     m = table(spark, d, "manifests").filter("kind = 'extraction'").select(F.col("package_id").alias("doc_id"), "backend")
     return per.join(m, "doc_id")
+
+
+@query(
+    f"""WITH {_F}, v AS (SELECT arg_max(doc_id, received_at) AS package_id, arg_max(path, received_at) AS path, arg_max(content, received_at) AS content FROM visual_repair_files WHERE file_id IS NOT NULL GROUP BY file_id),
+    h AS (SELECT DISTINCT package_id, path, strlen(content) AS size, sha256(content) AS sha256 FROM v WHERE package_id IS NOT NULL AND path IS NOT NULL),
+    r AS (SELECT DISTINCT package_id, path, size, sha256 FROM f WHERE path IS NOT NULL)
+    SELECT coalesce(r.package_id, h.package_id) AS package_id, coalesce(r.path, h.path) AS path, CASE WHEN h.path IS NULL THEN 'missing' WHEN r.path IS NULL THEN 'unexpected' WHEN h.size IS DISTINCT FROM r.size THEN 'size-differs'
+      WHEN h.sha256 IS DISTINCT FROM r.sha256 THEN 'hash-differs' ELSE 'bound' END AS status FROM r FULL JOIN h ON r.package_id = h.package_id AND r.path = h.path"""
+)
+def bound_files(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-05, JOIN-04, SET-06: the written files against the records of the manifests, size and digest recomputed."""
+    v = latest(table(spark, d, "visual_repair_files").filter("file_id is not null").select("file_id", "doc_id", "path", "content", "received_at"), ["file_id"])
+    files = v.filter("doc_id is not null and path is not null").select(F.col("doc_id").alias("package_id"), "path", F.octet_length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("sha256")).distinct()
+    records = I.manifest_files(table(spark, d, "manifests")).select("package_id", "path", "size", "sha256").filter("path is not null").distinct()
+    return I.bind(files, records)

@@ -183,3 +183,28 @@ def language_totals(spark: SparkSession, d: str) -> DataFrame:
     """AGG-14: totals by language, ranked (the window runs over one row for each language)."""
     g = table(spark, d, "documents").groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count("*").alias("documents"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"), F.countDistinct("source").alias("sources"))
     return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("documents"), "lang")))
+
+
+_SP = quoted(P.WS + "+")
+_CLEAN = "regexp_replace(regexp_replace(%s, " + quoted(P.TRIM) + ", '', 'g'), " + _SP + ", ' ', 'g')"
+_CTRL = quoted("[\\x{00}-\\x{1F}\\x{7F}]")
+
+
+@query(
+    f"""WITH q AS (SELECT DISTINCT regexp_extract(text, '^[^\\n\\r]*') AS t FROM documents WHERE text IS NOT NULL)
+    SELECT t, nullif(left({_CLEAN % "t"}, 80), '') AS bounded, coalesce(nullif(left({_CLEAN % f"regexp_replace(t, {_CTRL} || '+', ' ', 'g')"}, 512), ''), 'none') AS label,
+    CAST(to_json(regexp_replace(regexp_replace(t, {_CTRL}, ' ', 'g'), {quoted(P.TRIM)}, '', 'g')) AS VARCHAR) AS yaml,
+    coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(t, '[\\x{{00}}-\\x{{20}}\\x{{7F}}]+', ' ', 'g'), '([\\\\`*{{}}\\[\\]()#+\\-.!_>])', '\\\\\\1', 'g'), {quoted(P.TRIM)}, '', 'g'), ''), 'Untitled paper') AS heading,
+    regexp_replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\\\`*_\\[\\]!$])', '\\\\\\1', 'g') AS paragraph,
+    coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(t, '(?i)(\\.mineru)?\\.zip$', ''), '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'paper') AS stem FROM q"""
+)
+def title_forms(spark: SparkSession, d: str) -> DataFrame:
+    """STR-31, STR-32, STR-47, STR-73, STR-75, PRD-40: the first lines of the documents as names, labels and markup."""
+    from pagemill.functions import names as N
+
+    t = F.col("t")
+    df = table(spark, d, "documents").filter("text is not null").select(F.regexp_extract("text", r"^[^\n\r]*", 0).alias("t")).distinct()
+    return df.select(
+        "t", N.bounded(t, 80).alias("bounded"), N.printable_label(t, F.lit("none")).alias("label"), N.yaml_text(t).alias("yaml"), N.heading_text(t).alias("heading"),
+        N.paragraph_markup(t).alias("paragraph"), N.archive_stem(t).alias("stem"),
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagemill.functions import geometry as G
 from pagemill.functions import patterns as P
@@ -293,3 +294,34 @@ def complete_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """PRD-32: whether a text looks like a complete paragraph of the body."""
     e = E.delivered_once(table(spark, d, "paper_content_list")).filter(E.role(F.col("type"), F.col("text_level")) == "text").filter("text is not null")
     return e.select("doc_id", "source_index", X.looks_like_paragraph(X.trim(F.col("text"))).alias("complete"))
+
+
+_U = "struct_pack(x := {0}[1] / 1000.0, y := {0}[2] / 1000.0, w := ({0}[3] - {0}[1]) / 1000.0, h := ({0}[4] - {0}[2]) / 1000.0)"
+
+
+@query(
+    f"""WITH {BLOCKS}, n AS (SELECT doc_id, id, lag(id) OVER w AS before, box AS b, lag(box) OVER w AS a FROM b2 WHERE box IS NOT NULL WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY page_order)),
+    g AS (SELECT *, greatest(0, greatest(a[1], b[1]) - least(a[3], b[3])) AS gx, greatest(0, greatest(a[2], b[2]) - least(a[4], b[4])) AS gy, greatest(0, least(a[3], b[3]) - greatest(a[1], b[1])) AS ox,
+      greatest(0, least(a[4], b[4]) - greatest(a[2], b[2])) AS oy, a[3] - a[1] AS aw, b[3] - b[1] AS bw, a[4] - a[2] AS ah, b[4] - b[2] AS bh, {_U.format('a')} AS u, {_U.format('b')} AS v FROM n WHERE a IS NOT NULL),
+    s AS (SELECT *, oy / greatest(1, least(ah, bh)) AS share, CASE WHEN b[1] - a[3] >= -20 THEN greatest(b[1] - a[3], 0) WHEN a[1] - b[3] >= -20 THEN greatest(a[1] - b[3], 0) END AS beside,
+      ox / greatest(1, least(aw, bw)) AS wide, b[2] - a[4] AS below, a[2] - b[4] AS above FROM g)
+    SELECT doc_id, before, id, (gx <= 20 AND oy >= 0.15 * least(ah, bh)) OR (gy <= 20 AND ox >= 0.15 * least(aw, bw)) OR (gx <= 40 AND oy >= 0.65 * greatest(ah, bh)) OR (gy <= 40 AND ox >= 0.65 * greatest(aw, bw)) AS touching,
+    ox * oy / least(aw * ah, bw * bh) > 0.92 AND greatest(aw * ah, bw * bh) / least(aw * ah, bw * bh) < 1.35 AS conflicting,
+    ox >= 0.2 * least(aw, bw) OR abs((a[1] + a[3]) / 2 - (b[1] + b[3]) / 2) <= 180 AS aligned,
+    round(coalesce(CASE WHEN wide >= 0.55 THEN (CASE WHEN below >= -20 THEN CASE WHEN greatest(below, 0) <= 100 THEN greatest(below, 0) END WHEN above >= -20 THEN CASE WHEN greatest(above, 0) <= 80 THEN greatest(above, 0) END END) + (1 - wide) * 40 END,
+      CASE WHEN beside <= 80 AND abs(a[2] - b[2]) <= 45 AND share >= 0.55 AND bh / greatest(1, ah) BETWEEN 0.45 AND 2.2 THEN beside + (1 - share) * 40 END, -1), 6) AS distance,
+    greatest(0, least(u.x + u.w, v.x + v.w) - greatest(u.x, v.x)) / greatest(1e-6, least(u.w, v.w)) >= 0.62 AND v.y - (u.y + u.h) BETWEEN -0.02 AND 0.12 AS stacked,
+    v.x >= 0.02 AND v.y >= 0.04 AND v.x + v.w <= 0.98 AND v.y + v.h <= 0.96 AND v.w BETWEEN 0.2 AND 0.7 AND v.h BETWEEN 0.025 AND 0.65 AS paragraph_place, v.w * v.h >= 0.08 AS large FROM s"""
+)
+def block_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """GEO-07, GEO-10 to GEO-13, GEO-15, PRD-23, PRD-30: how each located block stands to the one before it on its page."""
+    w = Window.partitionBy("doc_id", "page_idx").orderBy("page_order")
+    b = E.viewer_blocks(table(spark, d, "paper_content_list")).filter("box is not null").select("doc_id", "id", F.lag("id").over(w).alias("before"), F.col("box").alias("b"), F.lag("box").over(w).alias("a")).filter("a is not null")
+    x, y = F.col("a"), F.col("b")
+    # boxes are in thousandths here; a box within 1 is a very small one, not a share of the page
+    unit = lambda c: F.struct(*[(e / 1000.0).alias(n) for n, e in (("x", G.part(c, 0)), ("y", G.part(c, 1)), ("width", G.width(c)), ("height", G.height(c)))])
+    u, v = unit(x), unit(y)
+    return b.select(
+        "doc_id", "before", "id", G.touching(x, y).alias("touching"), G.conflicting(x, y).alias("conflicting"), G.aligned(x, y).alias("aligned"),
+        F.round(F.coalesce(G.caption_score_any_side(y, x), F.lit(-1.0)), 6).alias("distance"), G.stacked(u, v).alias("stacked"), G.paragraph_place(v).alias("paragraph_place"), G.large_image(v).alias("large"),
+    )
