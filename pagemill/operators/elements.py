@@ -118,3 +118,18 @@ def string_summaries(elements: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 def element_summary(elements: DataFrame) -> DataFrame:
     """Elements and pages of each package; a package without page numbers has one page."""
     return delivered_once(elements).groupBy("doc_id").agg(F.count("*").alias("element_count"), F.coalesce(F.max("page_idx") + 1, F.lit(1)).alias("page_count"))
+
+
+def best_captions(elements: DataFrame) -> DataFrame:
+    """The caption that stands for each element that has items: doc_id, source_index, caption, panels.
+
+    The longest formal caption, else the longest item; of equally long ones the
+    first. ``panels`` are the different panel labels in order.
+    """
+    place = F.struct(F.length("text").alias("n"), -F.when(F.col("field") == "image_caption", 0).otherwise(1), -F.col("item"))
+    formal = F.col("kind") == "formal-caption"
+    seen = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "panel-label", F.struct(F.col("field"), F.col("item"), X.trim(F.col("text")).alias("t"))))), lambda x: x["t"])
+    per = caption_items(elements).filter("text <> ''").groupBy("doc_id", "source_index").agg(
+        F.coalesce(F.max_by(F.when(formal, F.col("text")), F.when(formal, place)), F.max_by("text", place)).alias("caption"), F.array_distinct(seen).alias("panels")
+    )
+    return per

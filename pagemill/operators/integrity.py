@@ -264,3 +264,9 @@ def source_pdf(files: DataFrame) -> DataFrame:
     origin = F.col("name").rlike(r"(?i)(?:^|[_-])origin\.pdf$")
     per = pdf.groupBy("package_id").agg(F.count_if(origin).alias("o"), F.max(F.when(origin, F.col("name"))).alias("origin"), F.count("*").alias("n"), F.max("name").alias("only"))
     return per.select("package_id", F.when(F.col("o") == 1, F.col("origin")).when(F.col("n") == 1, F.col("only")).alias("name")).filter("name is not null")
+
+
+def natural_key(path: Column) -> Column:
+    """A text by which paths sort with their numbers in order: runs of digits filled up to 20 places, lower case."""
+    parts = F.regexp_extract_all(F.lower(path), F.lit(r"\d+|\D+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d{1,20}$"), F.lpad(x, 20, "0")).otherwise(x)), "")

@@ -146,3 +146,19 @@ def image_occurrences(documents: DataFrame) -> DataFrame:
     nth = Window.partitionBy("doc_id", "asset_path").orderBy("start")
     n = F.row_number().over(order) - 1
     return spans.select("doc_id", F.format_string("md-img-%04d", n).alias("id"), n.alias("order"), "asset_path", (F.row_number().over(nth) - 1).alias("occurrence"), "syntax", "start", "end")
+
+
+def nearby_lines(documents: DataFrame, limit: int = 3, most_blank: int = 2) -> DataFrame:
+    """For each line that is not blank the nearest such lines around it: doc_id, line_no, before (nearest first), after.
+
+    At most ``limit`` on either side (the feature), and none beyond more than
+    ``most_blank`` blank lines in a row. A text is thus cut into runs, and the
+    windows run within a run.
+    """
+    lines = _lines(documents).filter(F.length(X.trim(F.col("line"))) > 0)
+    w = Window.partitionBy("doc_id").orderBy("p")
+    gap = F.coalesce(F.col("p") - F.lag("p").over(w) > most_blank + 1, F.lit(False)).cast("int")
+    runs = lines.withColumn("gap", gap).withColumn("run", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = Window.partitionBy("doc_id", "run").orderBy("p")
+    before, after = F.collect_list("line").over(r.rowsBetween(-limit, -1)), F.collect_list("line").over(r.rowsBetween(1, limit))
+    return runs.select("doc_id", (F.col("p") + 1).alias("line_no"), F.reverse(before).alias("before"), after.alias("after"))

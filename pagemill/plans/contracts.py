@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagemill.functions import patterns as P
 from pagemill.operators import elements as E
@@ -237,3 +238,34 @@ def bound_files(spark: SparkSession, d: str) -> DataFrame:
     files = v.filter("doc_id is not null and path is not null").select(F.col("doc_id").alias("package_id"), "path", F.octet_length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("sha256")).distinct()
     records = I.manifest_files(table(spark, d, "manifests")).select("package_id", "path", "size", "sha256").filter("path is not null").distinct()
     return I.bind(files, records)
+
+
+_PAD = "array_to_string(list_transform(regexp_extract_all(lower(path), '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d{1,20}$') THEN lpad(x, 20, '0') ELSE x END), '')"
+
+
+@query(f"WITH {_F}, p AS (SELECT DISTINCT package_id, path FROM f WHERE path IS NOT NULL) SELECT package_id, path, row_number() OVER (PARTITION BY package_id ORDER BY {_PAD}, path) AS nth FROM p")
+def natural_order(spark: SparkSession, d: str) -> DataFrame:
+    """TOPK-10: the files of each package with the numbers in their names in order."""
+    f = I.manifest_files(table(spark, d, "manifests")).select("package_id", "path").filter("path is not null").distinct()
+    return f.withColumn("nth", F.row_number().over(Window.partitionBy("package_id").orderBy(I.natural_key(F.col("path")), "path")))
+
+
+_SAFE_ID, _SAFE_CODE = r"^[A-Za-z0-9_.:\-]{1,200}$", r"^[a-z0-9][a-z0-9_.:-]{0,119}$"
+
+
+@query(
+    f"""WITH c AS (SELECT candidate_id, arg_max(evidence, coalesce(received_at, TIMESTAMP '1970-01-01')) AS evidence FROM review_candidates WHERE candidate_id IS NOT NULL GROUP BY 1),
+    j AS (SELECT candidate_id, CASE WHEN json_valid(evidence) THEN evidence END AS e FROM c),
+    l AS (SELECT candidate_id, CASE WHEN json_type(e, '$.caption_anchor_block_ids') = 'ARRAY' THEN CAST(json_extract(e, '$.caption_anchor_block_ids') AS VARCHAR[]) ELSE [] END AS ids,
+      CASE WHEN json_type(e, '$.reason_codes') = 'ARRAY' THEN CAST(json_extract(e, '$.reason_codes') AS VARCHAR[]) ELSE [] END AS codes FROM j)
+    SELECT candidate_id, list_sort(list_distinct(list_filter(list_transform(ids, lambda x: trim(x)), lambda x: regexp_matches(x, {quoted(_SAFE_ID)})))) AS anchors,
+    list_sort(list_distinct(list_filter(list_transform(codes, lambda x: lower(trim(x))), lambda x: regexp_matches(x, {quoted(_SAFE_CODE)})))) AS codes FROM l"""
+)
+def evidence_codes(spark: SparkSession, d: str) -> DataFrame:
+    """JSN-20, JSN-21: safe anchors and codes of the evidence where it lists them at its top."""
+    c = latest(table(spark, d, "review_candidates").filter("candidate_id is not null").select("candidate_id", "evidence", "received_at"), ["candidate_id"])
+    safe = lambda col, change, pattern: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(col, F.array().cast("array<string>")), change), lambda x: x.rlike(pattern))))
+    e = F.from_json("evidence", "caption_anchor_block_ids array<string>, reason_codes array<string>")
+    return c.select("candidate_id", e.alias("e")).select(
+        "candidate_id", safe(F.col("e.caption_anchor_block_ids"), lambda x: F.trim(x), _SAFE_ID).alias("anchors"), safe(F.col("e.reason_codes"), lambda x: F.lower(F.trim(x)), _SAFE_CODE).alias("codes")
+    )

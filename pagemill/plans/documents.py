@@ -208,3 +208,15 @@ def title_forms(spark: SparkSession, d: str) -> DataFrame:
         "t", N.bounded(t, 80).alias("bounded"), N.printable_label(t, F.lit("none")).alias("label"), N.yaml_text(t).alias("yaml"), N.heading_text(t).alias("heading"),
         N.paragraph_markup(t).alias("paragraph"), N.archive_stem(t).alias("stem"),
     )
+
+
+@query(
+    rf"""WITH s AS (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS a FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, i AS line_no, a[i] AS line FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM s)),
+    n AS (SELECT *, CASE WHEN line_no - lag(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) > 3 THEN 1 ELSE 0 END AS gap FROM l WHERE length(regexp_replace(line, {quoted(P.TRIM)}, '', 'g')) > 0),
+    r AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM n)
+    SELECT doc_id, line_no, coalesce(list_reverse(list(line) OVER (PARTITION BY doc_id, run ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)), []) AS before,
+    coalesce(list(line) OVER (PARTITION BY doc_id, run ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), []) AS after FROM r"""
+)
+def nearby_lines(spark: SparkSession, d: str) -> DataFrame:
+    """WIN-18: the nearest lines that are not blank around each line."""
+    return markdown.nearby_lines(table(spark, d, "documents"))

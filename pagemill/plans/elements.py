@@ -325,3 +325,28 @@ def block_neighbours(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "before", "id", G.touching(x, y).alias("touching"), G.conflicting(x, y).alias("conflicting"), G.aligned(x, y).alias("aligned"),
         F.round(F.coalesce(G.caption_score_any_side(y, x), F.lit(-1.0)), 6).alias("distance"), G.stacked(u, v).alias("stacked"), G.paragraph_place(v).alias("paragraph_place"), G.large_image(v).alias("large"),
     )
+
+
+@query(
+    f"""WITH {ITEMS}, placed AS (SELECT *, row(length(text), CASE WHEN field = 'image_caption' THEN 0 ELSE -1 END, -item) AS place FROM c WHERE text <> ''),
+    p AS (SELECT doc_id, source_index, {_TRIM % "text"} AS t, min((field, item)) AS k FROM placed WHERE kind = 'panel-label' GROUP BY 1, 2, 3), l AS (SELECT doc_id, source_index, list(t ORDER BY k) AS panels FROM p GROUP BY 1, 2),
+    b AS (SELECT doc_id, source_index, coalesce(arg_max(text, place) FILTER (kind = 'formal-caption'), arg_max(text, place)) AS caption FROM placed GROUP BY 1, 2)
+    SELECT b.*, coalesce(panels, []) AS panels FROM b LEFT JOIN l USING (doc_id, source_index)"""
+)
+def best_captions(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-19, AGG-20: the caption and the panel labels of each element."""
+    return E.best_captions(table(spark, d, "paper_content_list"))
+
+
+@query(
+    f"""WITH {BLOCKS}, f AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_idx, page_order) AS nth, id, asset_path AS path FROM b2 WHERE role = 'visual' AND asset_path IS NOT NULL AND box IS NOT NULL)
+    SELECT doc_id, nth, id, path, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]+$', '') AS label FROM f WHERE nth <= 200"""
+)
+def package_figures(spark: SparkSession, d: str) -> DataFrame:
+    """TOPK-07: the first 200 figures of each package in reading order, labelled by their files where nothing else names them."""
+    from pagemill.functions import names as N
+
+    v = visuals.located_visuals(E.viewer_blocks(table(spark, d, "paper_content_list"))).select("doc_id", "page_idx", "page_order", "id", F.col("asset_path").alias("path"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_idx", "page_order"))
+    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]+$", "")
+    return v.withColumn("nth", nth).filter("nth <= 200").select("doc_id", "nth", "id", "path", N.printable_label(stem, F.lit("")).alias("label"))
