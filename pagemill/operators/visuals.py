@@ -17,6 +17,8 @@ from pagemill.functions import geometry as G
 from pagemill.functions import patterns as P
 from pagemill.functions import text as X
 from pagemill.operators.elements import caption_items, viewer_blocks
+from pagemill.operators.integrity import codes
+from pagemill.runtime import latest
 
 PADDING = 6
 AUTO, REVIEW = 0.85, 0.65
@@ -507,3 +509,43 @@ def following_captions(elements: DataFrame) -> DataFrame:
         "doc_id", "page_idx", "id", F.col("next.id").alias("caption_id"), F.col("next.f").alias("figure_key"),
         F.round(G.caption_score(F.col("next.box"), F.col("box")), 6).alias("distance"),
     )
+
+
+MODES, DECISIONS = ("pdf_crop", "existing_asset"), ("auto", "review", "skip")
+
+
+def group_checks(groups: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Faults of figure groups against the blocks of their package: doc_id, id, code.
+
+    Of a group delivered more than once the last ``received_at`` counts. Members and
+    anchors are looked up by package and id, so a large package is spread. A caption
+    outside the members must be a text or title of the group's page; a crop must
+    cover every located member; an existing asset must be that of a member.
+    """
+    g = latest(groups.filter("doc_id is not null and id is not null").select("doc_id", "id", "page_idx", "member_block_ids", "caption_anchor_block_ids", "decision", "confidence", "replacement", "received_at"), ["doc_id", "id"])
+    crop = G.contract_box(F.col("replacement.bbox_norm"))
+    known = blocks.select("doc_id", F.col("id").alias("block"), F.col("page_idx").alias("block_page"), "role", F.col("box").alias("block_box"))
+    named = lambda column: g.select("doc_id", "id", "page_idx", crop.alias("crop"), (F.col("replacement.mode") == "pdf_crop").alias("cropped"), "member_block_ids", F.explode(column).alias("block")).distinct().join(known, ["doc_id", "block"], "left")
+    per_block = named("member_block_ids").filter("block is not null")
+    shared = per_block.groupBy("doc_id", "block").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "block", F.lit(True).alias("shared"))
+    holds = lambda c: F.max(F.coalesce(c, F.lit(False)))
+    members = per_block.join(shared, ["doc_id", "block"], "left").groupBy("doc_id", "id").agg(
+        holds(F.col("block_page").isNull()).alias("unknown"), holds(F.col("shared")).alias("shared"), holds(F.col("block_page") != F.col("page_idx")).alias("elsewhere"),
+        holds(F.col("cropped") & (G.intersection(F.col("crop"), F.col("block_box")) < G.area(F.col("block_box")) - 1e-6)).alias("uncovered"),
+    )
+    placed = F.coalesce((F.col("block_page") == F.col("page_idx")) & F.col("role").isin(*TEXTS), F.lit(False))
+    outside = F.coalesce(~F.array_contains("member_block_ids", F.col("block")), F.lit(True))
+    anchors = named("caption_anchor_block_ids").filter("block is not null").filter(outside).groupBy("doc_id", "id").agg(holds(~placed).alias("stray"))
+    all_ = g.join(members, ["doc_id", "id"], "left").join(anchors, ["doc_id", "id"], "left")
+    r, mode = F.col("replacement"), F.col("replacement.mode")
+    bad = lambda c: ~F.coalesce(c, F.lit(False))
+    asset = mode == "existing_asset"
+    return codes(
+        all_, ["doc_id", "id"],
+        {
+            "invalid-confidence": bad(F.col("confidence").between(0, 1)), "invalid-decision": bad(F.col("decision").isin(*DECISIONS)), "no-members": F.coalesce(F.size("member_block_ids"), F.lit(0)) < 1,
+            "unknown-block": F.col("unknown"), "block-in-several-groups": F.col("shared"), "member-on-another-page": F.col("elsewhere"), "invalid-caption-anchor": F.col("stray"),
+            "missing-replacement": r.isNull(), "unsupported-mode": r.isNotNull() & bad(mode.isin(*MODES)), "invalid-crop-box": (mode == "pdf_crop") & crop.isNull(), "crop-misses-member": F.col("uncovered"),
+            "missing-asset": asset & bad(F.length(r["asset_path"]) > 0), "asset-of-no-member": asset & bad(F.array_contains("member_block_ids", r["block_id"])),
+        },
+    )

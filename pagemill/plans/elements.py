@@ -350,3 +350,31 @@ def package_figures(spark: SparkSession, d: str) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_idx", "page_order"))
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]+$", "")
     return v.withColumn("nth", nth).filter("nth <= 200").select("doc_id", "nth", "id", "path", N.printable_label(stem, F.lit("")).alias("label"))
+
+
+_CROP = "CASE WHEN len(replacement.bbox_norm) = 4 AND len(list_filter(replacement.bbox_norm, lambda x: x BETWEEN 0 AND 1000)) = 4 AND replacement.bbox_norm[3] > replacement.bbox_norm[1] AND replacement.bbox_norm[4] > replacement.bbox_norm[2] THEN replacement.bbox_norm END"
+
+
+@query(
+    f"""WITH {BLOCKS}, g AS (SELECT DISTINCT ON (doc_id, id) *, {_CROP} AS crop FROM visual_groups WHERE doc_id IS NOT NULL AND id IS NOT NULL),
+    m AS (SELECT DISTINCT g.doc_id, g.id, g.page_idx, g.crop, g.replacement.mode AS mode, x AS block FROM g, unnest(member_block_ids) AS u(x) WHERE x IS NOT NULL),
+    k AS (SELECT m.*, b2.page_idx AS block_page, b2.box, count(*) OVER (PARTITION BY m.doc_id, m.block) AS n FROM m LEFT JOIN b2 ON b2.doc_id = m.doc_id AND b2.id = m.block),
+    a AS (SELECT g.doc_id, g.id, g.page_idx, g.member_block_ids AS members, x AS block FROM g, unnest(caption_anchor_block_ids) AS u(x) WHERE x IS NOT NULL AND NOT coalesce(list_contains(g.member_block_ids, x), false))
+    SELECT doc_id, id, 'invalid-confidence' AS code FROM g WHERE NOT coalesce(confidence BETWEEN 0 AND 1, false)
+    UNION ALL SELECT doc_id, id, 'invalid-decision' FROM g WHERE NOT coalesce(decision IN ('auto', 'review', 'skip'), false)
+    UNION ALL SELECT doc_id, id, 'no-members' FROM g WHERE coalesce(len(member_block_ids), 0) < 1
+    UNION ALL SELECT DISTINCT doc_id, id, 'unknown-block' FROM k WHERE block_page IS NULL
+    UNION ALL SELECT DISTINCT doc_id, id, 'block-in-several-groups' FROM k WHERE n > 1
+    UNION ALL SELECT DISTINCT doc_id, id, 'member-on-another-page' FROM k WHERE block_page <> page_idx
+    UNION ALL SELECT DISTINCT doc_id, id, 'crop-misses-member' FROM k WHERE mode = 'pdf_crop' AND crop IS NOT NULL AND box IS NOT NULL AND
+      greatest(0, least(crop[3], box[3]) - greatest(crop[1], box[1])) * greatest(0, least(crop[4], box[4]) - greatest(crop[2], box[2])) < (box[3] - box[1]) * (box[4] - box[2]) - 1e-6
+    UNION ALL SELECT DISTINCT a.doc_id, a.id, 'invalid-caption-anchor' FROM a LEFT JOIN b2 ON b2.doc_id = a.doc_id AND b2.id = a.block WHERE NOT coalesce(b2.page_idx = a.page_idx AND b2.role IN ('text', 'title'), false)
+    UNION ALL SELECT doc_id, id, 'missing-replacement' FROM g WHERE replacement IS NULL
+    UNION ALL SELECT doc_id, id, 'unsupported-mode' FROM g WHERE replacement IS NOT NULL AND NOT coalesce(replacement.mode IN ('pdf_crop', 'existing_asset'), false)
+    UNION ALL SELECT doc_id, id, 'invalid-crop-box' FROM g WHERE replacement.mode = 'pdf_crop' AND crop IS NULL
+    UNION ALL SELECT doc_id, id, 'missing-asset' FROM g WHERE replacement.mode = 'existing_asset' AND NOT coalesce(length(replacement.asset_path) > 0, false)
+    UNION ALL SELECT doc_id, id, 'asset-of-no-member' FROM g WHERE replacement.mode = 'existing_asset' AND NOT coalesce(list_contains(member_block_ids, replacement.block_id), false)"""
+)
+def group_checks(spark: SparkSession, d: str) -> DataFrame:
+    """JSN-09: faults of the figure groups against the blocks of their packages."""
+    return visuals.group_checks(table(spark, d, "visual_groups"), E.viewer_blocks(table(spark, d, "paper_content_list")))
