@@ -17,6 +17,7 @@ _FIGURE_NUMBER = r"[A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)*"
 FIGURE_KEY = rf"(?i)^{WS}*({_FIGURE_KIND})\.?{WS}*({_FIGURE_NUMBER})"
 DELIMITER = r"[|｜:：.]"
 #: What stands behind a figure's number if it is a caption's title.
+#: Fixed value: it decides which captions are formal and so the anchors of figure groups.
 FORMAL_TITLE = rf"^(?:{WS}*{DELIMITER}{WS}*|{WS}+)([^|｜:：.\x{{09}}-\x{{0D}}\x{{20}}\x{{A0}}\x{{3000}}][\s\S]*)$"
 REFERENCE_VERB = (
     r"(?i)^(?:shows?|illustrates?|depicts?|demonstrates?|presents?|reports?|displays?|compares?|lists?|summari[sz]es?"
@@ -57,6 +58,7 @@ BAD_SEGMENT = (
     r"[\x{00}-\x{1F}<>:\"|?*#]|[. ]$|(?i)^(?:con|prn|aux|nul|clock\$|conin\$|conout\$|com[1-9]|lpt[1-9])(?:\..*)?$"
     r"|^(?:__proto__|constructor|prototype)$"
 )
+#: Which lines are headings decides the heading ids and sections of a text; which marks are images decides their numbers.
 ATX = r"^ {0,3}(#{1,6})[\t ]+(.+?)[\t ]*#*[\t ]*$"
 FENCE = r"^ {0,3}(`{3,}|~{3,})"
 SETEXT = r"^ {0,3}(?:=+|-+)\s*$"

@@ -116,17 +116,23 @@ def hourly_limit(events: DataFrame, most: int = 30, key: str = "user_id") -> Dat
     return hours.select(F.col("client").alias(key), F.timestamp_micros("began").cast("timestamp_ntz").alias("started"), "requests", F.greatest(F.col("requests") - most, F.lit(0)).alias("refused"))
 
 
-def stream_transitions(events: DataFrame, edges: dict[str, tuple[str, ...]] = TRANSITIONS) -> DataFrame:
+def stream_transitions(events: DataFrame, edges: dict[str, tuple[str, ...]] = TRANSITIONS, late: str = "10 minutes", keep_days: float = 30) -> DataFrame:
     """Streaming form of ``transitions`` for (job_id, ts, state): job_id, state, before, legal.
 
-    The last state of a job is kept as the stream's state until the job ends.
+    The last state of a job is kept as the stream's state until the job ends or the
+    watermark has passed its last event by ``keep_days``; an event after that counts
+    as the first. Events are put in order within a micro-batch; one that comes in a
+    later batch than its successor follows it. Rows without a job or time are left out.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     final = {a for a, bs in edges.items() if not bs}
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("ts")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         before = state.get[0] if state.exists else None
         out = []
         for s in rows["state"]:
@@ -136,11 +142,14 @@ def stream_transitions(events: DataFrame, edges: dict[str, tuple[str, ...]] = TR
             before = s
         if before is not None and before not in final:
             state.update((before,))
+            last = int(rows["ts"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + int(keep_days * 86_400_000) + 1)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["job_id", "state", "before", "legal"])
 
-    return events.groupBy("job_id").applyInPandasWithState(step, "job_id string, state string, before string, legal boolean", "last string", "append", GroupStateTimeout.NoTimeout)
+    timed = events.filter("job_id is not null and ts is not null").withWatermark("ts", late)
+    return timed.groupBy("job_id").applyInPandasWithState(step, "job_id string, state string, before string, legal boolean", "last string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

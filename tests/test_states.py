@@ -42,6 +42,24 @@ def test_streams_give_the_batch_result(spark, tmp_path):
     assert got == sorted([("j", "queued", None, True), ("j", "resolving", "queued", True), ("j", "ready", "resolving", False), ("k", "failed", None, True), ("k", "queued", "failed", False)], key=repr)
 
 
+def test_states_of_jobs_that_never_end_are_given_up(spark, tmp_path):
+    schema = "job_id string, ts timestamp, state string"
+    source = tmp_path / "in"
+    add = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(source))
+    add(("j", at(0), "queued"), (None, at(0), "queued"))
+    q = states.stream_transitions(spark.readStream.schema(schema).parquet(str(source)), keep_days=1).writeStream.format("memory").queryName("given_up").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for rows_ in ([("k", at(60 * 72), "queued")], [("k", at(60 * 73), "resolving")], [("j", at(60 * 74), "resolving")]):
+            q.processAllAvailable()
+            add(*rows_)
+        q.processAllAvailable()
+        got = sorted(map(tuple, spark.table("given_up").collect()), key=repr)
+    finally:
+        q.stop()
+    # the first state of j was given up after a day, so its next event is a first one
+    assert got == sorted([("j", "queued", None, True), ("k", "queued", None, True), ("k", "resolving", "queued", True), ("j", "resolving", None, True)], key=repr)
+
+
 def test_window_counts(spark, tmp_path):
     schema = "ts timestamp, event_type string, value double"
     source = tmp_path / "in"
