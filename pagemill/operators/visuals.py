@@ -421,10 +421,10 @@ def _decided(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
     return out
 
 
-def link_status(key: Column, page: Column) -> Column:
-    """Where the caption of figure ``key`` stands on a page: struct of status, caption_block_ids and reason_codes.
+def with_link(df: DataFrame, key: str, page: str) -> DataFrame:
+    """Adds where the caption of figure ``key`` stands on a page: ``link``, a struct of status, caption_block_ids and reason_codes.
 
-    ``page``: the page's blocks as an ordered array. Two blocks decide. The *head* is
+    ``page``: the column of the page's blocks as an ordered array. Two blocks decide. The *head* is
     the first block that is a barrier or has text, page headers left out; it is the
     caption or there is none. The *tail* is the first block behind the head that is
     a barrier, has text, or is an empty column beside it; it repeats the caption
@@ -433,7 +433,9 @@ def link_status(key: Column, page: Column) -> Column:
     said = lambda status, ids, *codes: F.struct(F.lit(status).alias("status"), ids.alias("caption_block_ids"), F.array(*codes).cast("array<string>").alias("reason_codes"))
     none = F.array().cast("array<string>")
     reaches = lambda b: b["role"].isin(*BARRIERS) | _written(b)
-    head = _first(page, lambda b: reaches(b) & ~F.coalesce(_page_header(b), F.lit(False)))
+    # each block is picked in a step of its own, else it would be searched for again at each use
+    df = df.withColumn("__head", _first(F.col(page), lambda b: reaches(b) & ~F.coalesce(_page_header(b), F.lit(False))))
+    head, key = F.col("__head"), F.col(key)
     barrier = lambda b, ending: F.concat(b["role"], F.lit(ending))
     is_barrier = lambda b: b["role"].isin(*BARRIERS)
     named = lambda b: b["key"].isNotNull()
@@ -446,12 +448,13 @@ def link_status(key: Column, page: Column) -> Column:
         ],
         F.when(head["role"] == "title", "title_boundary").otherwise("body_text_boundary"),
     )
-    behind = F.filter(page, lambda b: b["page_order"] > head["page_order"])
     beside = lambda b: F.coalesce(G.same_top_band(head["box"], b["box"]), F.lit(False))
-    again = _first(behind, reaches)
+    df = df.withColumn("__behind", F.filter(F.col(page), lambda b: b["page_order"] > head["page_order"]))
+    empty = lambda b: b["role"].isin(*TEXTS) & (b["chars"] == 0)
+    df = df.withColumn("__again", _first(F.col("__behind"), reaches)).withColumn("__tail", _first(F.col("__behind"), lambda b: reaches(b) | (empty(b) & beside(b))))
+    again, tail = F.col("__again"), F.col("__tail")
     repeated = F.coalesce(_written(again) & (again["formal"] == key) & _at_top(again) & beside(again), F.lit(False))
-    tail = _first(behind, lambda b: reaches(b) | (b["role"].isin(*TEXTS) & (b["chars"] == 0) & beside(b)))
-    refused = _decided(
+    df = df.withColumn("__refused", _decided(
         [
             (tail.isNull(), F.lit("unterminated_caption_anchor")),
             (is_barrier(tail), barrier(tail, "_boundary_before_caption_continuation")),
@@ -462,10 +465,11 @@ def link_status(key: Column, page: Column) -> Column:
             (~F.coalesce(tail["goes_on"], F.lit(False)), F.lit("uncertain_adjacent_caption_continuation")),
         ],
         F.lit(None).cast("string"),
-    )
+    ))
+    refused = F.col("__refused")
     ended = lambda b: F.coalesce(b["ended"], F.lit(False))
     both = F.array(head["id"], tail["id"])
-    return _decided(
+    link = _decided(
         [
             (head.isNull(), said("missing", none)),
             (~F.coalesce(_written(head) & _at_top(head) & (head["formal"] == key), F.lit(False)), said("missing", none, no_head)),
@@ -476,6 +480,7 @@ def link_status(key: Column, page: Column) -> Column:
         ],
         said("partial", both, F.lit("unterminated_caption_continuation")),
     )
+    return df.withColumn("link", link).drop("__head", "__behind", "__again", "__tail", "__refused")
 
 
 def caption_links(elements: DataFrame) -> DataFrame:
@@ -492,10 +497,9 @@ def caption_links(elements: DataFrame) -> DataFrame:
     cols = ["page_order", "id", "role", "box", "chars", "key", "formal", "ended", "goes_on"]
     wanted = saying.select("doc_id", "page_idx").distinct()
     pages = blocks.join(wanted, ["doc_id", "page_idx"], "left_semi").groupBy("doc_id", "page_idx").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("blocks"))
-    link = link_status(F.col("figure_key"), F.col("blocks"))
     none = F.array().cast("array<string>")
-    status = F.when(F.col("figure_key").isNull(), F.struct(F.lit("unclear").alias("status"), none.alias("caption_block_ids"), none.alias("reason_codes"))).otherwise(link)
-    return saying.join(pages, ["doc_id", "page_idx"], "left").select("doc_id", "visual_block_id", "source_page_idx", "figure_key", status.alias("s")).select("doc_id", "visual_block_id", "source_page_idx", "figure_key", "s.*")
+    status = F.when(F.col("figure_key").isNull(), F.struct(F.lit("unclear").alias("status"), none.alias("caption_block_ids"), none.alias("reason_codes"))).otherwise(F.col("link"))
+    return with_link(saying.join(pages, ["doc_id", "page_idx"], "left"), "figure_key", "blocks").select("doc_id", "visual_block_id", "source_page_idx", "figure_key", status.alias("s")).select("doc_id", "visual_block_id", "source_page_idx", "figure_key", "s.*")
 
 
 def following_captions(elements: DataFrame) -> DataFrame:

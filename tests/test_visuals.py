@@ -89,9 +89,7 @@ def test_link_cases(spark):
         (None, ("missing", [], [])),
     ]
     df = spark.createDataFrame([(i, fig, page) for i, (page, _) in enumerate(cases)], f"i int, fig string, page {PAGE}")
-    from pyspark.sql import functions as F
-
-    got = {r.i: (r.s.status, r.s.caption_block_ids, r.s.reason_codes) for r in df.select("i", visuals.link_status(F.col("fig"), F.col("page")).alias("s")).collect()}
+    got = {r.i: (r.link.status, r.link.caption_block_ids, r.link.reason_codes) for r in visuals.with_link(df, "fig", "page").collect()}
     assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
 
 
