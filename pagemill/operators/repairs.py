@@ -13,8 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagemill.functions import geometry as G
 from pagemill.functions import text as X
+from pagemill.functions.names import paragraph_markup
 from pagemill.functions.recover import LOST, is_glyph
+from pagemill.operators.elements import viewer_blocks
+from pagemill.operators.integrity import single_claims
+from pagemill.operators.ordered import with_neighbours
 
 
 def _passive(source: str | None, replacement: str | None) -> bool:
@@ -166,3 +171,57 @@ def visual_labels(visuals: DataFrame) -> DataFrame:
 
     named = visuals.select("doc_id", "pos", X.explicit_label(F.col("caption")).alias("label"))
     return named.groupBy("doc_id").applyInPandas(name, "doc_id string, pos int, label string")
+
+
+#: Length of a paragraph by which a gap beside it can be placed, and the share of the gap that other blocks may cover.
+ANCHOR_CHARS, COVERED = (24, 20_000), 0.08
+
+
+def paragraph_gaps(elements: DataFrame) -> DataFrame:
+    """Blocks of the body whose text was lost between two paragraphs: doc_id, id, page_idx, source_index, box, previous, previous_text, next, next_text.
+
+    A gap has the type of a text, no text and no caption, and stands where a paragraph
+    can. The located blocks before and behind it are whole paragraphs (without lost
+    characters or captions) on its page or the next one, one of them on its page and
+    in its column. Nothing but text may cover it. Neighbours pass between blocks of
+    ``ordered.BLOCK`` elements, so a large package is spread.
+    """
+    captions = F.length(F.concat_ws("", "image_caption", "table_caption"))
+    unit = lambda c: F.struct(*[(e / G.EXTENT).alias(n) for n, e in (("x", G.part(c, 0)), ("y", G.part(c, 1)), ("width", G.width(c)), ("height", G.height(c)))])
+    blocks = viewer_blocks(elements).filter("box is not null").select(
+        "doc_id", "source_index", "id", "page_idx", "role", "box", X.trim(F.coalesce("text", F.lit(""))).alias("body"),
+        ((F.lower(F.trim("type")) == "text") & (captions == 0)).alias("plain"),
+    )
+    anchor = F.col("role").isin("text", "title") & F.col("plain") & F.length("body").between(*ANCHOR_CHARS) & ~F.col("body").contains("\ufffd")
+    rows = blocks.withColumn("anchor", F.coalesce(anchor, F.lit(False)))
+    near = with_neighbours(rows, "doc_id", "source_index", ["id", "page_idx", "box", "body", "anchor"])
+    beside = lambda side: F.col(f"{side}_page_idx") == F.col("page_idx")
+    column = (beside("prev") & G.stacked(unit(F.col("prev_box")), unit(F.col("box")))) | (beside("next") & G.stacked(unit(F.col("box")), unit(F.col("next_box"))))
+    lost = near.filter((F.col("role") == "text") & F.col("plain") & (F.col("body") == "") & G.paragraph_place(unit(F.col("box"))))
+    open_ = lost.filter("prev_anchor and next_anchor").filter((F.abs(F.col("prev_page_idx") - F.col("page_idx")) <= 1) & (F.abs(F.col("next_page_idx") - F.col("page_idx")) <= 1)).filter(column)
+    others = blocks.filter("role <> 'text'").select(F.col("doc_id").alias("d"), F.col("page_idx").alias("p"), F.col("box").alias("other"))
+    free = open_.join(others, (F.col("doc_id") == F.col("d")) & (F.col("page_idx") == F.col("p")) & (G.intersection_ratio(F.col("box"), F.col("other")) > COVERED), "left_anti")
+    return free.select(
+        "doc_id", "id", "page_idx", "source_index", "box", F.col("prev_id").alias("previous"), F.col("prev_body").alias("previous_text"), F.col("next_id").alias("next"), F.col("next_body").alias("next_text")
+    )
+
+
+def recovery_requests(gaps: DataFrame, articles: DataFrame) -> DataFrame:
+    """Gaps that have one place in their article: doc_id, request_id, id, start, end.
+
+    The paragraphs before and behind stand once each, with only white space between
+    them; a place that several gaps claim is none. Articles: doc_id, markdown.
+    """
+    a = articles.filter("doc_id is not null and markdown is not null").select("doc_id", "markdown")
+    at = gaps.join(a, "doc_id").withColumn("a", X.unique_position(F.col("markdown"), F.col("previous_text"))).withColumn("start", F.col("a") + F.length("previous_text")).withColumn("end", X.unique_position(F.col("markdown"), F.col("next_text")))
+    between = F.substring(F.col("markdown"), F.col("start") + 1, F.col("end") - F.col("start"))
+    placed = at.filter((F.col("start") < F.col("end")) & (F.length(X.trim(between)) == 0))
+    request = F.format_string("mineru-paragraph-%06d", "source_index")
+    return single_claims(placed.select("doc_id", request.alias("request_id"), "id", "start", "end"), ["doc_id", "start", "end"])
+
+
+def insert_paragraph(markdown: Column, start: Column, end: Column, text: Column) -> Column:
+    """An article with a recovered paragraph in a gap; null if the article already holds its words, or the text has none."""
+    compact = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    fresh = (F.length(compact(text)) > 0) & (F.instr(compact(markdown), compact(text)) == 0)
+    return F.when(fresh, F.concat(F.substring(markdown, F.lit(1), start), F.lit("\n\n"), paragraph_markup(text), F.lit("\n\n"), F.substring(markdown, end + 1, F.length(markdown))))

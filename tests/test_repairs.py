@@ -46,3 +46,32 @@ def test_caption_text(spark):
     assert [tuple(x) for x in segments[0]] == [("text", "CO"), ("sub", "2"), ("text", " and "), ("math", "x^2"), ("text", " \\$5")] and segments[1] is None and segments[2] == []
     assert column(X.is_caption_line, "words", "# h", "> q", "1. x", "![a](b)", "", None) == [True, False, False, False, False, False, False]
     assert [[tuple(x) for x in r] for r in column(X.local_resources, "![a](b.png) <img src='https://x/y'> ![[c.png|d]] ![z](../q)")] == [[("b.png", True), ("../q", False), ("https://x/y", False), ("c.png", True)]]
+
+
+def test_paragraph_gaps(spark):
+    """A block without text between two paragraphs of its column, and where it belongs in the article."""
+    from pyspark.sql import functions as F
+
+    from pagemill.operators import repairs
+    from test_visuals import element, frame
+
+    above, below = "A first paragraph that is long enough to be found.", "A second paragraph that is long enough to be found."
+    column = lambda y: (100, y, 480, y + 100)
+
+    def doc(name, middle=None, kind="text", box=None, first=above, extra=()):
+        rows = [element(name, 0, 0, "text", column(100), text=first), element(name, 1, 0, kind, box or column(210), text=middle), element(name, 2, 0, "text", column(320), text=below)]
+        return rows + [element(name, 3 + i, 0, *x) for i, x in enumerate(extra)]
+
+    rows = [
+        *doc("gap"), *doc("text", middle="here"), *doc("type", kind="image"), *doc("wide", box=(20, 210, 980, 310)), *doc("lost", first=above + "\ufffd"), *doc("short", first="Short."),
+        *doc("covered", extra=[("image", (100, 215, 480, 300), "a.png")]), *doc("apart", box=(600, 210, 900, 310)), *doc("twice"), *doc("between"), element("last", 0, 0, "text", column(100)),
+    ]
+    gaps = repairs.paragraph_gaps(frame(spark, rows))
+    assert sorted((r.doc_id, r.id, r.previous_text, r.next_text) for r in gaps.collect()) == [(d, "p0000-s000001", above, below) for d in ("between", "gap", "twice")]
+    articles = spark.createDataFrame([("gap", f"# T\n\n{above}\n\n{below}\n"), ("twice", f"{above}\n{above}\n{below}"), ("between", f"{above} x {below}"), (None, ""), ("none", None)], "doc_id string, markdown string")
+    got = repairs.recovery_requests(gaps, articles)
+    assert [(r.doc_id, r.request_id, r.id) for r in got.collect()] == [("gap", "mineru-paragraph-000001", "p0000-s000001")]
+    put = lambda t: got.join(articles, "doc_id").select(repairs.insert_paragraph(F.col("markdown"), F.col("start"), F.col("end"), F.lit(t)).alias("x")).first().x
+    assert put("New *text*.") == f"# T\n\n{above}\n\nNew \\*text\\*.\n\n{below}\n"
+    assert put("first paragraph that") is None and put("...") is None
+    assert repairs.paragraph_gaps(frame(spark, rows).limit(0)).count() == 0
