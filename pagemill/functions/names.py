@@ -47,10 +47,10 @@ def paragraph_markup(c: Column) -> Column:
     return F.regexp_replace(entities, r"([\\`*_\[\]!$])", r"\\$1")
 
 
-def archive_name(title: Column) -> Column:
-    """Name of the archive of a paper."""
+def archive_name(title: Column, ending: str = ".zip") -> Column:
+    """Name of the archive of a paper, with the writer's ending."""
     plain = one_line(F.regexp_replace(nfkc(title), r'[<>:"/\\|?*\x{00}-\x{1F}]', " "))
-    return F.concat(F.coalesce(F.nullif(F.substring(plain, 1, 120), F.lit("")), F.lit("paper")), F.lit(".paper2md.zip"))
+    return F.concat(F.coalesce(F.nullif(F.substring(plain, 1, 120), F.lit("")), F.lit("paper")), F.lit(ending))
 
 
 def archive_stem(name: Column) -> Column:
@@ -79,10 +79,10 @@ def prefix_place(content: Column, recovered: Column, least: int = 7, most: int =
     return F.when((n >= least) & (F.size(have) >= n) & (F.size(at) == 1), at[0] - 1).otherwise(-1)
 
 
-def article_text(title: Column, content: Column, fields: dict[str, Column]) -> Column:
+def article_text(title: Column, content: Column, fields: dict[str, Column], tags: tuple[str, ...] = ()) -> Column:
     """An article with its front matter and, where the content has no first heading, its title."""
     rows = [F.concat(F.lit(f"{k}: "), F.coalesce(yaml_text(v), F.lit('""'))) for k, v in {"title": title, **fields}.items()]
-    front = F.concat_ws("\n", F.lit("---"), *rows, F.lit("tags:"), F.lit("  - paper2md-web-clipping"), F.lit("---"))
+    front = F.concat_ws("\n", F.lit("---"), *rows, *[F.lit(x) for x in (("tags:", *(f"  - {t}" for t in tags)) if tags else ())], F.lit("---"))
     body = trim(F.coalesce(content, F.lit("")))
     head = F.when(body.startswith("# "), "").otherwise(F.concat(F.lit("# "), heading_text(F.coalesce(title, F.lit(""))), F.lit("\n\n")))
     return F.concat(front, F.lit("\n\n"), head, body, F.lit("\n"))

@@ -159,8 +159,9 @@ def review_package(candidates: DataFrame, most: int = 128) -> DataFrame:
 #: Parts of the reader contract (fixed values).
 ASSET_KINDS, RELATION_TYPES = ("figure", "table", "equation", "unknown"), ("places", "caption-of")
 RELATION_ID, ANY_BLOCK_ID, ASSET_PATH = r"^rel_[0-9a-f]{24}$", r"^(?:blk|slot)_[0-9a-f]{24}$", r"^images/[^/]+\.png$"
-ANCHOR_CONTRACT, FINGERPRINT_CONTRACT, READER_CONTRACT = "paper2md-markdown-anchor-v0.1", "paper2md-visible-block-fingerprint-v0.1", "paper2md-reader-v0.1"
-BOUND_MANIFESTS = ("paper2md-manifest-v0.8", "paper2md-manifest-v0.9", "paper2md-manifest-v0.10")
+#: Names of contracts, without the name of their writer that stands before them, and where the contract lies.
+ANCHOR_CONTRACT, FINGERPRINT_CONTRACT, READER_CONTRACT = "markdown-anchor-v0.1", "visible-block-fingerprint-v0.1", "reader-v0.1"
+BOUND_MANIFESTS, READER_PATH = ("manifest-v0.8", "manifest-v0.9", "manifest-v0.10"), r"^_[a-z0-9]+/reader\.json$"
 ASSET_COUNT, ASSET_BYTES, ALL_ASSET_BYTES = 256, 32 * 1024 * 1024, 256 * 1024 * 1024
 
 
@@ -168,6 +169,11 @@ def _not(c: Column) -> Column:
     return ~F.coalesce(c, F.lit(False))
 
 
+def _named(c: Column, *names: str) -> Column:
+    """Whether a contract's name is one of these behind its writer's."""
+    return F.regexp_extract(c, r"^[a-z0-9]+-(.+)$", 1).isin(*names)
+
+
 def asset_checks(assets: DataFrame) -> DataFrame:
     """Faults of a contract's assets: doc_id, id, code; faults of all assets of a document have a null id.
 
@@ -213,7 +219,7 @@ def contract_heads(contracts: DataFrame) -> DataFrame:
         contracts.filter("doc_id is not null"), ["doc_id"],
         {
             "invalid-article": ~there, "invalid-article-path": there & _not(a["path"] == "article.md"), "invalid-article-hash": there & _not(a["sha256"].rlike(P.SHA256)),
-            "unsupported-anchor-contract": there & _not(a["anchor_contract"] == ANCHOR_CONTRACT), "unsupported-fingerprint-contract": there & _not(a["block_fingerprint_version"] == FINGERPRINT_CONTRACT),
+            "unsupported-anchor-contract": there & _not(_named(a["anchor_contract"], ANCHOR_CONTRACT)), "unsupported-fingerprint-contract": there & _not(_named(a["block_fingerprint_version"], FINGERPRINT_CONTRACT)),
             "invalid-capabilities": _not((c["layout_semantics"] == "reviewed") & (c["caption_binding"] == "reviewed-layout-geometry") & (c["body_references"] == "unavailable")),
         },
     )
@@ -230,7 +236,7 @@ def manifest_binding(manifests: DataFrame, contracts: DataFrame) -> DataFrame:
     """
     m, c = manifests.filter("doc_id is not null").alias("m"), contracts.filter("doc_id is not null").alias("c")
     both = m.join(c, F.col("m.doc_id") == F.col("c.doc_id"), "left").withColumn("key", F.col("m.doc_id"))
-    known, r, outputs = F.coalesce(F.col("m.manifest_version").isin(*BOUND_MANIFESTS), F.lit(False)), F.col("m.reader"), F.col("m.outputs")
+    known, r, outputs = F.coalesce(_named(F.col("m.manifest_version"), *BOUND_MANIFESTS), F.lit(False)), F.col("m.reader"), F.col("m.outputs")
     read, listed = known & r.isNotNull(), known & r.isNotNull() & outputs.isNotNull()
 
     def once(path: Column, role: str, sha: Column) -> Column:
@@ -242,7 +248,7 @@ def manifest_binding(manifests: DataFrame, contracts: DataFrame) -> DataFrame:
         both, ["key"],
         {
             "unsupported-manifest-version": ~known, "manifest-source-mismatch": known & ~F.col("m.source_sha256").eqNullSafe(F.col("c.source_sha256")), "invalid-manifest-reader": known & r.isNull(),
-            "manifest-reader-contract-mismatch": read & _not((r["contract_version"] == READER_CONTRACT) & (r["path"] == "_paper2md/reader.json") & (r["article_path"] == F.col("c.article_path")) & (r["anchor_contract"] == ANCHOR_CONTRACT)),
+            "manifest-reader-contract-mismatch": read & _not(_named(r["contract_version"], READER_CONTRACT) & r["path"].rlike(READER_PATH) & (r["article_path"] == F.col("c.article_path")) & _named(r["anchor_contract"], ANCHOR_CONTRACT)),
             "manifest-reader-hash-mismatch": read & _not(r["sha256"].rlike(P.SHA256) & (r["sha256"] == F.col("c.reader_sha256"))),
             "manifest-article-hash-mismatch": read & _not(r["article_sha256"].rlike(P.SHA256) & (r["article_sha256"] == F.col("c.article_sha256"))),
             "invalid-manifest-outputs": read & outputs.isNull(),

@@ -41,7 +41,7 @@ def test_relations(spark):
 def test_heads(spark):
     ddl = "doc_id string, article struct<path:string,sha256:string,anchor_contract:string,block_fingerprint_version:string>, capabilities struct<layout_semantics:string,caption_binding:string,body_references:string>"
     able = ("reviewed", "reviewed-layout-geometry", "unavailable")
-    df = spark.createDataFrame([("a", ("article.md", SHA, I.ANCHOR_CONTRACT, I.FINGERPRINT_CONTRACT), able), ("b", ("x.md", None, "v9", None), None), ("c", None, able)], ddl)
+    df = spark.createDataFrame([("a", ("article.md", SHA, "w-" + I.ANCHOR_CONTRACT, "w-" + I.FINGERPRINT_CONTRACT), able), ("b", ("x.md", None, "v9", None), None), ("c", None, able)], ddl)
     assert codes(I.contract_heads(df)) == {
         "b": {"invalid-article-path", "invalid-article-hash", "unsupported-anchor-contract", "unsupported-fingerprint-contract", "invalid-capabilities"}, "c": {"invalid-article"},
     }
@@ -49,11 +49,11 @@ def test_heads(spark):
 
 def test_manifest_binding(spark):
     ddl = "doc_id string, manifest_version string, source_sha256 string, reader struct<contract_version:string,path:string,sha256:string,article_path:string,article_sha256:string,anchor_contract:string>, outputs array<struct<path:string,role:string,sha256:string>>"
-    v, path = I.BOUND_MANIFESTS[0], "_paper2md/reader.json"
-    reader = (I.READER_CONTRACT, path, "b" * 64, "article.md", SHA, I.ANCHOR_CONTRACT)
+    v, path = "w-" + I.BOUND_MANIFESTS[0], "_w/reader.json"
+    reader = ("w-" + I.READER_CONTRACT, path, "b" * 64, "article.md", SHA, "w-" + I.ANCHOR_CONTRACT)
     outputs = [(path, "reader_index", "b" * 64), ("article.md", "markdown", SHA)]
     m = [
-        ("good", v, "s", reader, outputs), ("old", "paper2md-manifest-v0.5", "s", None, None), ("bare", v, "s", None, None), ("twice", v, "s", reader, outputs + outputs), ("none", v, None, reader, None),
+        ("good", v, "s", reader, outputs), ("old", "w-manifest-v0.5", "s", None, None), ("bare", v, "s", None, None), ("twice", v, "s", reader, outputs + outputs), ("none", v, None, reader, None),
         ("off", v, "t", ("v9", path, "c" * 64, "article.md", "zz", None), outputs),
     ]
     c = [(d, "s", "article.md", SHA, "b" * 64) for d in ("good", "old", "bare", "twice", "off")]
@@ -75,14 +75,14 @@ def test_claims_and_pdfs(spark):
 def test_names(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     lit = lambda s: F.lit(s).cast("string")
-    assert one(N.archive_name(lit('Ａ: "b"/c\t'))) == "A b c.paper2md.zip" and one(N.archive_name(lit(" "))) == "paper.paper2md.zip" and one(N.archive_name(lit(None))) == "paper.paper2md.zip"
+    assert one(N.archive_name(lit('Ａ: "b"/c\t'))) == "A b c.zip" and one(N.archive_name(lit(" "))) == "paper.zip" and one(N.archive_name(lit(None))) == "paper.zip"
     assert one(N.archive_stem(lit("My File.mineru.zip"))) == "My-File" and one(N.archive_stem(lit(None))) == "paper" and one(N.archive_stem(lit("..zip"))) == "."
     assert one(N.image_extension(lit(" image/PNG; q=1"))) == "png" and one(N.image_extension(lit("image/tiff"))) is None and one(N.image_extension(lit(None))) is None
     assert one(N.yaml_text(lit('a "b"\n'))) == '"a \\"b\\""' and one(N.yaml_text(lit(None))) is None and one(N.heading_text(lit("# A_b "))) == "\\# A\\_b" and one(N.heading_text(lit(""))) == "Untitled paper"
     assert one(N.paragraph_markup(lit("a<b & $c$"))) == "a&lt;b &amp; \\$c\\$"
     assert one(N.prefix_place(lit("x y A b c d e f g z"), lit("a B c d e f g"))) == 2 and one(N.prefix_place(lit("a b"), lit("a b"))) == -1 and one(N.prefix_place(lit("a b c d e f g a b c d e f g"), lit("a b c d e f g"))) == -1
-    text = one(N.article_text(lit("A: b"), lit(" body "), {"source": lit("https://x.org")}))
-    assert text == '---\ntitle: "A: b"\nsource: "https://x.org"\ntags:\n  - paper2md-web-clipping\n---\n\n# A: b\n\nbody\n'
+    text = one(N.article_text(lit("A: b"), lit(" body "), {"source": lit("https://x.org")}, ("clip",)))
+    assert text == '---\ntitle: "A: b"\nsource: "https://x.org"\ntags:\n  - clip\n---\n\n# A: b\n\nbody\n'
     assert one(N.article_text(lit(None), lit("# T\nx"), {})).endswith("---\n\n# T\nx\n")
 
 
